@@ -5,7 +5,7 @@ from __future__ import annotations
 import importlib
 
 #: Modules in the order of their operators.
-MODULES = ["decontaminate", "html_extract", "chat"]
+MODULES = ["url_filter", "decontaminate", "html_extract", "chat"]
 
 
 def _merged(name: str) -> dict:
