@@ -19,7 +19,7 @@ from __future__ import annotations
 import html
 import re
 
-import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -264,10 +264,11 @@ def extract_html(pages: DataFrame) -> DataFrame:
 
     def run(batches):
         for b in batches:
-            text = [extract(x) for x in b["html"]]
-            yield pd.DataFrame({"page_id": b["page_id"].astype("Int64"), "url": b["url"], "text": text, "n_chars": [len(x) for x in text]})
+            text = [extract(x) for x in b.column("html").to_pylist()]
+            columns = [b.column("page_id"), b.column("url"), pa.array(text, pa.string()), pa.array([len(x) for x in text], pa.int64())]
+            yield pa.RecordBatch.from_arrays(columns, names=["page_id", "url", "text", "n_chars"])
 
-    return pages.select(F.col("page_id").cast("long"), "url", "html").mapInPandas(run, "page_id long, url string, text string, n_chars long")
+    return pages.select(F.col("page_id").cast("long"), "url", "html").mapInArrow(run, "page_id long, url string, text string, n_chars long")
 
 
 def op6_html_extract(spark: SparkSession, sf_dir: str) -> DataFrame:
