@@ -2,7 +2,8 @@
 
 A row is a block of consecutive documents of one scan partition, about
 ``BLOCK_TOKENS`` tokens: ``part``, ``block`` (its number in the part), ``before``
-(documents' tokens in the part before it), ``doc_ids``, ``sizes`` and ``ids`` (zstd,
+(sequences of ``length`` ids that the part's earlier blocks make, each block's last
+one padded), ``doc_ids``, ``sizes`` and ``ids`` (zstd,
 little-endian unsigned 16-bit, or 32-bit for larger vocabularies). A part's last
 row also has ``df``: in how many of the part's documents each id occurs (zstd,
 unsigned 32-bit). A document larger than a block has a block of its own.
@@ -29,7 +30,7 @@ def width(vocabulary: int) -> str:
     return "<u2" if vocabulary <= 1 << 16 else "<u4"
 
 
-def staged(docs: DataFrame, end_id: int = 1, tokenizer: str = TOKENIZER, vocabulary: int = VOCABULARY) -> DataFrame:
+def staged(docs: DataFrame, end_id: int = 1, tokenizer: str = TOKENIZER, vocabulary: int = VOCABULARY, length: int = 2048) -> DataFrame:
     """The staged blocks of ``docs (doc_id, text)``; ``end_id`` ends each document. Null texts are empty."""
 
     def run(batches):
@@ -57,7 +58,7 @@ def staged(docs: DataFrame, end_id: int = 1, tokenizer: str = TOKENIZER, vocabul
                     df[own[place[own] == np.arange(len(own))]] += 1
                     if total and total + len(own) > BLOCK_TOKENS:
                         yield row(False)
-                        before, block, total, doc_ids, sizes, pieces = before + total, block + 1, 0, [], [], []
+                        before, block, total, doc_ids, sizes, pieces = before - (-total // length), block + 1, 0, [], [], []
                     doc_ids.append(doc_id)
                     sizes.append(len(own))
                     pieces.append(own)
