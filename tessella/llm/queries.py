@@ -5,7 +5,7 @@ from __future__ import annotations
 import importlib
 
 #: Modules in the order of their operators.
-MODULES = ["url_filter", "decontaminate", "materialise", "quality", "html_extract", "chat", "jaccard", "pack"]
+MODULES = ["url_filter", "decontaminate", "materialise", "quality", "html_extract", "pii", "chat", "jaccard", "pack"]
 
 
 def _merged(name: str) -> dict:
