@@ -10,6 +10,7 @@ import tempfile
 import uuid
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 
 def shared_dir(spark: SparkSession) -> str:
@@ -37,3 +38,8 @@ def written(df: DataFrame, name: str) -> DataFrame:
 def remove(spark: SparkSession, path: str) -> None:
     hadoop = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
     hadoop.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(hadoop, True)
+
+
+def small(df: DataFrame, rows: int = 1_000_000) -> DataFrame:
+    """A written table of ids, marked for broadcast if it has at most that many rows (some MB); else left to a shuffle join."""
+    return F.broadcast(df) if df.limit(rows + 1).count() <= rows else df
