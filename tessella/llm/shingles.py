@@ -37,20 +37,27 @@ def _power(n: int) -> tuple[np.ndarray, np.ndarray]:
     return _powers[0], _powers[1]
 
 
-def word_hashes(raw: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
-    """Hashes of all words of lower-cased texts in a row, and how many each text has."""
+def word_bounds(raw: list[bytes]) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """Texts as one array of bytes; hashes, starts and ends of all their words; and how many words each text has."""
     sizes = np.fromiter(map(len, raw), np.int64, len(raw)) + 1
     data = np.frombuffer(b"\n".join(raw) + b"\n", np.uint8)
     space = _SPACE[data]
-    starts = np.flatnonzero(~space[1:] & space[:-1]) + 1
-    if len(data) and not space[0]:
-        starts = np.concatenate([[0], starts])
-    ends = np.flatnonzero(space[1:] & ~space[:-1]) + 1
+    edges = np.flatnonzero(space[1:] != space[:-1]) + 1
+    if not space[0]:
+        edges = np.concatenate([[0], edges])
+    starts, ends = edges[0::2], edges[1::2]
     power, inverse = _power(len(data) + 1)
     with np.errstate(over="ignore"):
-        sums = np.concatenate([np.zeros(1, np.uint64), np.cumsum(_VALUE[data] * power[: len(data)])])
+        sums = np.zeros(len(data) + 1, np.uint64)
+        np.cumsum(_VALUE[data] * power[: len(data)], out=sums[1:])
         h = mix((sums[ends] - sums[starts]) * inverse[starts] + (ends - starts).astype(np.uint64))
     counts = np.diff(np.concatenate([[0], np.searchsorted(starts, np.cumsum(sizes))]))
+    return data, h, starts, ends, counts
+
+
+def word_hashes(raw: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
+    """Hashes of all words of lower-cased texts in a row, and how many each text has."""
+    _, h, _, _, counts = word_bounds(raw)
     return h, counts
 
 

@@ -2,21 +2,23 @@
 
 The tokenizer of ``word_bpe_49k.json`` drops white space and never joins across
 it, so a text's ids are its white-space-separated words' ids in a row. Words
-repeat; each is encoded once per Python worker and kept in a bounded store, and
-a batch of texts becomes one gather over that store. Texts with the separator
-controls U+001C to U+001F, which Python calls white space and the tokenizer does
-not, are encoded whole. A test compares both ways on arbitrary texts.
+repeat; each is encoded once per Python worker and kept in a bounded store, keyed
+by a 64-bit hash of its bytes and length. A batch of texts is hashed, looked up and
+gathered in a few array operations. A test compares this with encoding whole texts.
 """
 
 from __future__ import annotations
 
-import re
 from itertools import chain
 
 import numpy as np
 
+from .shingles import word_bounds
+
 TOKENIZER = "word_bpe_49k.json"
-_ODD = re.compile("[\x1c-\x1f]")
+#: The byte-level alphabet: printable Latin-1 stands for itself, other bytes for characters from U+0100 on.
+_SELF = [*range(33, 127), *range(161, 173), *range(174, 256)]
+_BYTE_LEVEL = {b: 256 + k for k, b in enumerate(b for b in range(256) if b not in _SELF)}
 _kept: dict[str, Words] = {}
 
 
@@ -28,79 +30,115 @@ class Words:
 
         self.tokenizer, self.capacity = Tokenizer.from_file(path), capacity
         self.tokenizer.encode_special_tokens = True
-        self.ends_word = np.zeros(self.tokenizer.get_vocab_size() + 1, bool)
+        self.vocabulary = self.tokenizer.get_vocab_size()
+        self.ends_word = np.zeros(self.vocabulary + 1, bool)
         self.ends_word[[i for w, i in self.tokenizer.get_vocab().items() if w.endswith("</w>")]] = True
         self.marks = {x: self.tokenizer.encode(x, add_special_tokens=False).ids if x else [] for x in ("", ".", ",")}
         self._empty()
 
     def _empty(self) -> None:
-        self.known: dict[str, int] = {}
+        # an open-addressing table from hashes (0: free) to places in starts and sizes; at most half full
+        self.keys = np.zeros(1 << (2 * self.capacity - 1).bit_length(), np.uint64)
+        self.place = np.zeros(len(self.keys), np.int32)
+        self.n = 0
         self.starts, self.sizes = np.zeros(1 << 16, np.int64), np.zeros(1 << 16, np.int64)
-        self.flat, self.used = np.zeros(1 << 18, np.uint32), 0
+        self.flat, self.used = np.zeros(1 << 18, np.uint16 if self.vocabulary <= 1 << 16 else np.uint32), 0
+
+    def _find(self, h: np.ndarray) -> np.ndarray:
+        """Places of the words with these hashes; -1 for unknown ones."""
+        mask = np.uint64(len(self.keys) - 1)
+        at, left, out = (h & mask).astype(np.int64), np.arange(len(h)), np.full(len(h), -1, np.int64)
+        while len(left):
+            key = self.keys[at]
+            hit = key == h[left]
+            out[left[hit]] = self.place[at[hit]]
+            going = ~hit & (key != 0)
+            left, at = left[going], (at[going] + 1) & int(mask)
+        return out
+
+    def _add(self, h: np.ndarray, first: int) -> None:
+        keys, place, mask = self.keys, self.place, len(self.keys) - 1
+        for k, x in enumerate(h.tolist(), first):
+            at = x & mask
+            while keys[at]:
+                at = (at + 1) & mask
+            keys[at], place[at] = x, k
 
     def _encode_distinct(self, words: list[str]) -> list[list[int]]:
-        """Ids of each word. Words of Latin-1 letters go through as one text, cut after each id that ends a word."""
-        plain = [w for w in words if w.isalpha() and len(w) < 100 and max(w) < "\u0100"]
-        out: dict[str, list[int]] = {}
-        for a in range(0, len(plain), 4096):
-            part = plain[a : a + 4096]
-            ids = self.tokenizer.encode_batch_fast([" ".join(part)], add_special_tokens=False)[0].ids
-            cuts = (np.flatnonzero(self.ends_word[ids]) + 1).tolist()
-            if len(cuts) == len(part):
-                out.update((w, ids[x:y]) for w, x, y in zip(part, [0, *cuts], cuts, strict=False))
-        rest = [w for w in words if w not in out]
-        out.update((w, x.ids) for w, x in zip(rest, self.tokenizer.encode_batch_fast(rest, add_special_tokens=False), strict=True))
-        return [out[w] for w in words]
-
-    def _learn(self, words: list[str]) -> None:
-        # a word of plain letters with a full stop or comma is two pieces to the tokenizer; case is dropped by it
-        forms = []
+        """Ids of each word. Words of Latin-1 letters are single pieces, so the model can take them as they are, byte by byte."""
+        out, rest, model = [], [], self.tokenizer.model
+        for w in words:
+            if w.isalpha() and max(w) < "\u0100":
+                out.append([t.id for t in model.tokenize(w if w.isascii() else w.encode().decode("latin-1").translate(_BYTE_LEVEL))])
+            else:
+                out.append(None)
+                rest.append(w)
+        more = iter(self.tokenizer.encode_batch_fast(rest, add_special_tokens=False))
+        return [next(more).ids if x is None else x for x in out]
+
+    def _learn(self, words: list[str], h: np.ndarray) -> None:
+        """Stores new words with these hashes. A word of plain letters with a full stop or comma is two pieces, and case is dropped."""
+        stems, ends = [], []
         for w in words:
-            end = w[-1:] if w[-1:] in ".," else ""
+            end = w[-1] if w[-1] in ".," else ""
             stem = w[:-1] if end else w
-            forms.append((stem.lower(), end) if stem.isalpha() and max(stem) < "\u0100" else (w, ""))
-        stems = list(dict.fromkeys(x for x, _ in forms))
-        ids = dict(zip(stems, self._encode_distinct(stems), strict=True))
-        got = [ids[stem] + self.marks[end] for stem, end in forms]
+            plain = stem.isalpha() and max(stem) < "\u0100"
+            stems.append(stem.lower() if plain else w)
+            ends.append(end if plain else "")
+        distinct = list(dict.fromkeys(stems))
+        of = word_bounds([x.encode() for x in distinct])[1]
+        of[of == 0] = 1
+        at = self._find(of)
+        ids: dict[str, list[int]] = {}
+        new = [w for w, k in zip(distinct, at.tolist(), strict=True) if k < 0]
+        for w, k in zip(distinct, at.tolist(), strict=True):
+            if k >= 0:
+                x = int(self.starts[k])
+                ids[w] = self.flat[x : x + int(self.sizes[k])].tolist()
+        ids.update(zip(new, self._encode_distinct(new), strict=True))
+        # stems that are not among the words are stored too
+        own = dict(zip(h.tolist(), range(len(words)), strict=True))
+        more = [(w, k) for w, k in zip(new, of[at < 0].tolist(), strict=True) if k not in own]
+        got = [ids[stem] + self.marks[end] for stem, end in zip(stems, ends, strict=True)] + [ids[w] for w, _ in more]
+        h = np.concatenate([h, np.array([k for _, k in more], np.uint64)])
         sizes = np.fromiter(map(len, got), np.int64, len(got))
-        n, total = len(self.known), int(sizes.sum())
-        while n + len(words) > len(self.starts):
+        n, total = self.n, int(sizes.sum())
+        while n + len(got) > len(self.starts):
             self.starts, self.sizes = np.concatenate([self.starts, self.starts]), np.concatenate([self.sizes, self.sizes])
         while self.used + total > len(self.flat):
             self.flat = np.concatenate([self.flat, self.flat])
-        self.flat[self.used : self.used + total] = np.fromiter(chain.from_iterable(got), np.uint32, total)
-        self.sizes[n : n + len(words)] = sizes
-        self.starts[n : n + len(words)] = self.used + np.cumsum(sizes) - sizes
+        self.flat[self.used : self.used + total] = np.fromiter(chain.from_iterable(got), self.flat.dtype, total)
+        self.sizes[n : n + len(got)] = sizes
+        self.starts[n : n + len(got)] = self.used + np.cumsum(sizes) - sizes
         self.used += total
-        self.known.update(zip(words, range(n, n + len(words)), strict=True))
+        self.n += len(got)
+        if self.n * 4 <= len(self.keys) * 3:  # else this batch's words are used once and then dropped
+            self._add(h, n)
 
     def encode(self, texts: list[str | None]) -> tuple[np.ndarray, np.ndarray]:
         """Ids of all texts in a row (uint32) and where each begins; one more offset than texts."""
-        words: list[str] = []
-        counts = np.zeros(len(texts), np.int64)
-        for k, x in enumerate(texts):
-            if not x:
-                continue
-            if _ODD.search(x):
-                mine = [x]
-            else:
-                mine = (x.lower() if x.isascii() else x).split()
-            words += mine
-            counts[k] = len(mine)
-        index = list(map(self.known.get, words))
-        if None in index:
-            missing = list(dict.fromkeys(w for w, i in zip(words, index, strict=True) if i is None))
-            if len(self.known) + len(missing) > self.capacity or self.used > 8 * self.capacity:
+        raw = [x.encode("utf-8", "replace") if x else b"" for x in texts]
+        # the tokenizer lower-cases after composing characters, so texts with combining marks keep their case here
+        raw = [x if b"\xcc" in x or b"\xcd" in x else x.lower() for x in raw]
+        data, h, starts, ends, counts = word_bounds(raw)
+        h[h == 0] = 1
+        at = self._find(h)
+        missing = at < 0
+        if missing.any():
+            if self.n + np.count_nonzero(missing) > self.capacity or self.used > 8 * self.capacity:
                 self._empty()
-                missing = list(dict.fromkeys(words))
-            self._learn(missing)
-            index = list(map(self.known.get, words))
-        at = np.array(index, np.int64)
+                missing[:] = True
+            new, first, where = np.unique(h[missing], return_index=True, return_inverse=True)
+            here = np.flatnonzero(missing)[first]
+            before = self.n
+            buffer = data.tobytes()
+            self._learn([buffer[x:y].decode() for x, y in zip(starts[here].tolist(), ends[here].tolist(), strict=True)], new)
+            at[missing] = before + where
         sizes = self.sizes[at]
-        ends = np.cumsum(sizes)
-        total = int(ends[-1]) if len(ends) else 0
-        ids = self.flat[np.repeat(self.starts[at] - (ends - sizes), sizes) + np.arange(total)]
-        offsets = np.concatenate([[0], np.concatenate([[0], ends])[np.cumsum(counts)]]).astype(np.int64)
+        stops = np.cumsum(sizes)
+        total = int(stops[-1]) if len(stops) else 0
+        ids = self.flat[np.repeat(self.starts[at] - (stops - sizes), sizes) + np.arange(total)].astype(np.uint32)
+        offsets = np.concatenate([[0], np.concatenate([[0], stops])[np.cumsum(counts)]]).astype(np.int64)
         return ids, offsets
 
 
