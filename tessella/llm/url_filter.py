@@ -29,6 +29,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .decontaminate import ascii_lower
+from .store import written
 
 DEPTH, SUPPORT, SHARE, Z, ALPHA, PURITY = 3, 8, 0.01, 1.96, 4.0, 0.9
 
@@ -67,6 +68,7 @@ def with_templates(urls: DataFrame, depth: int = DEPTH, support: int = SUPPORT,
         p1, p2, p = F.col("bads") / F.col("lab"), (F.col("pbads") - F.col("bads")) / F.when(rest > 0, rest), F.col("pbads") / F.col("plab")
         differs = (p1 - p2) * (p1 - p2) > z * z * p * (1 - p) * (1 / F.col("lab") + 1 / F.when(rest > 0, rest))
         literal = near.where((F.col("n") >= share * F.col("pn")) & (rest > 0) & differs).select("host", "template", "seg", F.lit(True).alias("literal"))
+        literal = written(literal, "segments")  # else each level's plan would hold all plans above it, many times over
         rows = rows.join(literal, ["host", "template", "seg"], "left")
         step = F.when(F.col("literal"), F.col("seg")).when(F.col("seg") != "", "*").otherwise("")
         rows = rows.withColumn("template", F.when(F.col("seg") == "", F.col("template")).otherwise(F.concat("template", F.lit("/"), step))).drop("literal", "seg")
