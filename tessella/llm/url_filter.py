@@ -65,8 +65,9 @@ def with_templates(urls: DataFrame, depth: int = DEPTH, support: int = SUPPORT,
         parents = children.groupBy("host", "template").agg(F.sum("n").alias("pn"), F.sum("lab").alias("plab"), F.sum("bads").alias("pbads"))
         near = children.where((F.col("n") >= support) & (F.col("lab") > 0)).join(parents, ["host", "template"])
         rest = F.col("plab") - F.col("lab")
-        p1, p2, p = F.col("bads") / F.col("lab"), (F.col("pbads") - F.col("bads")) / F.when(rest > 0, rest), F.col("pbads") / F.col("plab")
-        differs = (p1 - p2) * (p1 - p2) > z * z * p * (1 - p) * (1 / F.col("lab") + 1 / F.when(rest > 0, rest))
+        ratio = lambda a, b: F.try_divide(a.cast("double"), b.cast("double"))
+        p1, p2, p = ratio(F.col("bads"), F.col("lab")), ratio(F.col("pbads") - F.col("bads"), rest), ratio(F.col("pbads"), F.col("plab"))
+        differs = (p1 - p2) * (p1 - p2) > z * z * p * (1 - p) * (ratio(F.lit(1), F.col("lab")) + ratio(F.lit(1), rest))
         literal = near.where((F.col("n") >= share * F.col("pn")) & (rest > 0) & differs).select("host", "template", "seg", F.lit(True).alias("literal"))
         literal = written(literal, "segments")  # else each level's plan would hold all plans above it, many times over
         rows = rows.join(literal, ["host", "template", "seg"], "left")
