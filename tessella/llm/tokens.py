@@ -25,7 +25,7 @@ _kept: dict[str, Words] = {}
 class Words:
     """A tokenizer and the ids of words it has met; emptied beyond ``capacity`` words or ids."""
 
-    def __init__(self, path: str, capacity: int = 1_500_000):
+    def __init__(self, path: str, capacity: int = 800_000):
         from tokenizers import Tokenizer
 
         self.tokenizer, self.capacity = Tokenizer.from_file(path), capacity
@@ -41,7 +41,7 @@ class Words:
         self.keys = np.zeros(1 << (2 * self.capacity - 1).bit_length(), np.uint64)
         self.place = np.zeros(len(self.keys), np.int32)
         self.n = 0
-        self.starts, self.sizes = np.zeros(1 << 16, np.int64), np.zeros(1 << 16, np.int64)
+        self.starts, self.sizes = np.zeros(1 << 16, np.int32), np.zeros(1 << 16, np.int32)
         self.flat, self.used = np.zeros(1 << 18, np.uint16 if self.vocabulary <= 1 << 16 else np.uint32), 0
 
     def _find(self, h: np.ndarray) -> np.ndarray:
@@ -115,8 +115,21 @@ class Words:
         if self.n * 4 <= len(self.keys) * 3:  # else this batch's words are used once and then dropped
             self._add(h, n)
 
-    def encode(self, texts: list[str | None]) -> tuple[np.ndarray, np.ndarray]:
-        """Ids of all texts in a row (uint32) and where each begins; one more offset than texts."""
+    def encode(self, texts: list[str | None], chunk: int = 1 << 18) -> tuple[np.ndarray, np.ndarray]:
+        """Ids of all texts in a row (uint32) and where each begins; one more offset than texts. About ``chunk`` characters are worked on at a time."""
+        ids, offsets, at = [], [np.zeros(1, np.int64)], 0
+        while at < len(texts):
+            stop, size = at, 0
+            while stop < len(texts) and (stop == at or size + len(texts[stop] or "") <= chunk):
+                size += len(texts[stop] or "")
+                stop += 1
+            own, ends = self._encode(texts[at:stop])
+            ids.append(own)
+            offsets.append(ends[1:] + offsets[-1][-1])
+            at = stop
+        return np.concatenate(ids) if ids else np.zeros(0, np.uint32), np.concatenate(offsets)
+
+    def _encode(self, texts: list[str | None]) -> tuple[np.ndarray, np.ndarray]:
         raw = [x.encode("utf-8", "replace") if x else b"" for x in texts]
         # the tokenizer lower-cases after composing characters, so texts with combining marks keep their case here
         raw = [x if b"\xcc" in x or b"\xcd" in x else x.lower() for x in raw]
@@ -134,7 +147,7 @@ class Words:
             buffer = data.tobytes()
             self._learn([buffer[x:y].decode() for x, y in zip(starts[here].tolist(), ends[here].tolist(), strict=True)], new)
             at[missing] = before + where
-        sizes = self.sizes[at]
+        sizes = self.sizes[at].astype(np.int64)
         stops = np.cumsum(sizes)
         total = int(stops[-1]) if len(stops) else 0
         ids = self.flat[np.repeat(self.starts[at] - (stops - sizes), sizes) + np.arange(total)].astype(np.uint32)
