@@ -44,6 +44,8 @@ ROLES = set("navigation banner complementary contentinfo search menu menubar dia
 FURNITURE = set(
     "ad ads adv advert adverts advertisement advertising adbox adsense sponsor sponsored promo promotion banner breadcrumb breadcrumbs menu menus nav navbar navigation sidebar sidenav footer masthead topbar toolbar cookie cookies consent gdpr notice notices disclaimer alert popup modal overlay subscribe subscription newsletter signup login share sharing social related recommended recommendations comment comments commentlist disqus respond replies reply pagination pager search widget widgets skip copyright toc".split()
 )
+MODIFIERS = set("has no with without not hide".split())
+CONTENT = set("article main content post entry story body text page".split())
 KEEP = set("html body article main h1 h2 h3 h4 h5 h6 p".split())
 
 
@@ -70,12 +72,14 @@ def furniture(tag: str, attributes: str, inside_article: bool) -> bool:
             return True
         if name == "role" and value.lower() in ROLES:
             return True
-        if name in ("class", "id") and tag not in KEEP:
-            words = {w.lower() for w in _WORDS.findall(value)}
-            if words & FURNITURE or (tag != "header" and "header" in words and not inside_article):
+        if name in ("class", "id") and tag not in KEEP - {"p"}:
+            # a name such as no-sidebar says nothing, and one such as post-content outweighs its neighbours
+            names = [{w.lower() for w in _WORDS.findall(x)} for x in value.split()]
+            names = [words for words in names if words and not words & MODIFIERS]
+            if any(words <= CONTENT for words in names):
+                continue
+            if any(words & FURNITURE for words in names) or (tag != "header" and not inside_article and any("header" in words for words in names)):
                 return True
-        if name in ("class", "id") and tag == "p" and {w.lower() for w in _WORDS.findall(value)} & FURNITURE:
-            return True
     return False
 
 

@@ -42,6 +42,7 @@ PAGES = {
     "<p>a < b &lt; c &#x41;&eacute; &unknown; </p>": "a < b < c Aé &unknown;",
     "": "", "<div>": "", "plain": "plain",
     "<ul><li>one<li>two</ul>": "one\ntwo",
+    '<div class="post-content no-sidebar widgets"><p>Kept, of course, all of it.</p><div class="article-comments"><p>Gone</p></div><p class="notice">Gone too</p></div>': "Kept, of course, all of it.",
 }
 
 
