@@ -12,7 +12,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .store import remove, written
+from .store import mark, sweep, written
 
 
 def _smallest(edges: DataFrame) -> DataFrame:
@@ -41,13 +41,13 @@ def _small_star(edges: DataFrame) -> DataFrame:
 
 def components(edges: DataFrame, a: str = "a", b: str = "b") -> DataFrame:
     """``(node, component)`` for every node with an edge to another; component is the smallest node reachable."""
+    since = mark()
     now = written(edges.select(F.col(a).alias("u"), F.col(b).alias("v")).where("u <> v").distinct(), "edges")
     print_of = lambda df: tuple(df.agg(F.count("*"), F.sum(F.shiftright(F.xxhash64("u", "v"), 20))).first())
     seen = None
-    while (mark := print_of(now)) != seen:
-        seen, old = mark, now
+    while (look := print_of(now)) != seen:
+        seen = look
         now = written(_small_star(_large_star(now)), "edges")
-        for path in {f.rpartition("/")[0] for f in old.inputFiles()}:
-            remove(now.sparkSession, path)
+        sweep(now.sparkSession, since, [now])
     # now every edge leads from a node to its component
     return now.select(F.col("u").alias("node"), F.col("v").alias("component")).unionByName(now.select(F.col("v").alias("node"), F.col("v").alias("component")).distinct())
