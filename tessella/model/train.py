@@ -11,6 +11,7 @@ import io
 import json
 import pickle
 from dataclasses import asdict, dataclass, field
+from pathlib import Path
 
 import numpy as np
 import pyarrow as pa
@@ -18,15 +19,17 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions.scalars import to_double
-from ..operators import split
-from ..operators.loss import BAND, BAND_WEIGHTS, PHASES, SMAPE_WEIGHTS, phase_of
+from ..operators import metrics, split, vocab
+from ..operators.loss import PHASES, PRESETS as LOSSES, Phase, phase_of
 from ..plans.encoder import EncoderModel
 from ..plans.formula import lowered
 from ..sources.roles import Target
 from .nn import AdamW, Network
-from .schedules import cosine_lr, step_lr
+from .schedules import cosine_lr, onecycle_lr, step_lr
 
 #: Named sizes: hidden widths and epochs.
+#: The default loss: absolute error, then with a share of SMAPE, then also with a band penalty; phases begin at the boundaries.
+PHASED = (Phase(mae=1.0), Phase(mae=1.0, smape=0.2), Phase(mae=1.0, smape=0.15, band=0.05))
 PRESETS = {"tiny": ((32,), 20), "small": ((64, 32), 50), "medium": ((256, 128, 64), 200), "large": ((512, 256, 128, 64), 500)}
 
 
@@ -48,14 +51,32 @@ def _apply(x: np.ndarray, transform: str) -> np.ndarray:
 class Trainer:
     """``fit`` on units and observations, then ``predict``; ``save`` and ``load`` keep everything that either needs."""
 
-    def __init__(self, formula: str, targets: list[Target], hidden: tuple[int, ...] = (64, 32), epochs: int = 50, batch: int = 256, lr: float = 1e-3, schedule: str = "none", patience: int = 20, test_share: float = 0.2, dropout: float = 0.1, seed: int = 42, loss: str = "combined", max_train: int = 100_000, callback=None):
+    def __init__(self, formula: str, targets: list[Target], hidden: tuple[int, ...] = (64, 32), epochs: int = 50, batch: int = 256, lr: float = 1e-3, schedule: str = "none", patience: int = 20, test_share: float = 0.2, dropout: float = 0.1, seed: int = 42, loss: str | list[Phase] = "phased", boundaries: tuple[int, ...] = PHASES, max_train: int = 100_000, callback=None, progress: str | None = None):
         self.formula, self.targets, self.hidden, self.epochs, self.batch, self.lr = formula, targets, tuple(hidden), epochs, batch, lr
         self.schedule, self.patience, self.test_share, self.dropout, self.seed, self.loss, self.max_train, self.callback = schedule, patience, test_share, dropout, seed, loss, max_train, callback
+        self.phases = list(PHASED) if loss == "phased" else [LOSSES[loss]] if isinstance(loss, str) else list(loss)
+        self.boundaries, self.progress = tuple(boundaries)[: len(self.phases) - 1], progress
+        if len(self.phases) != len(self.boundaries) + 1 or list(self.boundaries) != sorted(self.boundaries):
+            raise ValueError("n phases need n - 1 ascending boundaries")
         self.encoder: EncoderModel | None = None
         self.net: Network | None = None
         self.scalers: dict[str, tuple[float, float]] = {}
         self.inputs: tuple[np.ndarray, np.ndarray] | None = None
         self.result = Result()
+        self.known: DataFrame | None = None
+
+    def _item_column(self) -> str | None:
+        """The column of the observations whose unseen values make predictions less certain."""
+        return next((s.columns[0] for s in self.encoder.specs if s.source == "obs" and s.kind in ("hash", "embed")), None)
+
+    def _certain(self, table: DataFrame, obs: DataFrame | None) -> DataFrame:
+        """Adds ``_sure``: 1 less the share of a unit's weight in items that training has not seen."""
+        if self.known is None or obs is None:
+            return table.withColumn("_sure", F.lit(1.0))
+        weight = F.col("weight") if "weight" in obs.columns else F.lit(1.0)
+        rows = obs.select("unit_id", F.col(self._item_column()).cast("string").alias("item"), weight.alias("weight"))
+        share = vocab.unknown_share(rows, self.known).select("unit_id", F.col("confidence").alias("_sure"))
+        return table.join(share, "unit_id", "left").fillna({"_sure": 1.0})
 
     @classmethod
     def preset(cls, name: str, formula: str, targets: list[Target], **more) -> Trainer:
@@ -88,6 +109,8 @@ class Trainer:
             labelled = labelled.where(ok)
         if not resume or self.encoder is None:
             self.encoder = lowered(self.formula, units, obs).fit(units, obs)
+            column = self._item_column()
+            self.known = vocab.alphabetical(obs.select(F.col(column).cast("string").alias(column)), column).persist() if column else None
         marked = split.train_test(labelled.select("unit_id"), self.test_share, self.seed)
         chosen = marked.orderBy(F.xxhash64(F.lit(self.seed), "unit_id"), "unit_id").limit(self.max_train)
         rows = self._table(labelled.join(chosen.select("unit_id"), "unit_id", "left_semi"), obs, self.encoder).join(chosen, "unit_id").toArrow().sort_by("unit_id")
@@ -126,6 +149,8 @@ class Trainer:
             self.result.history.append(row)
             if self.callback:
                 self.callback(row)
+            if self.progress:
+                Path(self.progress).write_text(json.dumps(row | {"epochs": self.epochs, "best_epoch": self.result.best_epoch, "best_loss": min(self.result.best_loss, held_loss)}))
             waited += 1
             if held_loss < self.result.best_loss:
                 self.result.best_epoch, self.result.best_loss, waited = epoch, held_loss, 0
@@ -142,13 +167,15 @@ class Trainer:
     def _rate(self, epoch: int) -> float:
         if self.schedule == "step":
             return step_lr(epoch, self.lr, 100, 0.1)
+        if self.schedule == "onecycle":
+            return onecycle_lr(epoch, self.lr, self.epochs)
         return cosine_lr(epoch, self.lr, 1e-6, self.epochs) if self.schedule == "cosine" else self.lr
 
     def _loss(self, h: np.ndarray, raw: dict[str, np.ndarray], epoch: int) -> tuple[float, dict[str, np.ndarray]]:
         """Weighted loss of all targets and the gradients at their heads' outputs."""
         total, grads = 0.0, {}
         n = max(len(h), 1)
-        k = phase_of(epoch, PHASES) - 1 if self.loss == "combined" else 0
+        phase = self.phases[phase_of(epoch, self.boundaries) - 1]
         for t in self.targets:
             out = self.net.head(t.name, h)
             if t.task == "classification":
@@ -163,17 +190,23 @@ class Trainer:
             mean, scale = self.scalers[t.name]
             y = (_apply(raw[t.name], t.transform) - mean) / scale
             d = out[:, 0] - y
-            value, g = float(np.abs(d).mean()) if len(d) else 0.0, np.sign(d) / n
-            if SMAPE_WEIGHTS[k] or BAND_WEIGHTS[k]:
+            size = np.abs(d)
+            value, g = 0.0, np.zeros(len(d))
+            if len(d):
+                small = size <= phase.huber_delta
+                curve = np.where(small, 0.5 * d * d, phase.huber_delta * (size - 0.5 * phase.huber_delta))
+                value = phase.mae * float(size.mean()) + phase.mse * float((d * d).mean()) + phase.huber * float(curve.mean())
+                g = (phase.mae * np.sign(d) + phase.mse * 2 * d + phase.huber * np.where(small, d, phase.huber_delta * np.sign(d))) / n
+            if len(d) and (phase.smape or phase.band):  # these two are taken in the original scale
                 original, truth = _restore(out[:, 0] * scale + mean, t.transform), raw[t.name]
                 slope = scale * (original + 1 if t.transform == "log1p" else 2 * np.abs(out[:, 0] * scale + mean) if t.transform == "sqrt" else 1.0)
                 e, s = original - truth, np.abs(original) + np.abs(truth) + 1e-8
-                value += SMAPE_WEIGHTS[k] * float((np.abs(e) / s).mean())
-                g = g + SMAPE_WEIGHTS[k] * slope * (np.sign(e) / s - np.abs(e) * np.sign(original) / (s * s)) / n
-                size = np.maximum(np.abs(truth), 1e-7)
-                over = np.abs(e) / size - BAND
-                value += BAND_WEIGHTS[k] * float(np.maximum(over, 0).mean())
-                g = g + BAND_WEIGHTS[k] * slope * (over > 0) * np.sign(e) / size / n
+                value += phase.smape * float((np.abs(e) / s).mean())
+                g = g + phase.smape * slope * (np.sign(e) / s - np.abs(e) * np.sign(original) / (s * s)) / n
+                most = np.maximum(np.abs(truth), 1e-7)
+                over = np.abs(e) / most - phase.band_threshold
+                value += phase.band * float(np.maximum(over, 0).mean())
+                g = g + phase.band * slope * (over > 0) * np.sign(e) / most / n
             total += t.weight * value
             grads[t.name] = t.weight * g[:, None]
         return total, grads
@@ -191,7 +224,10 @@ class Trainer:
         """
         if self.net is None:
             raise ValueError("fit or load first")
-        table = self._table(units.drop(*[t.name for t in self.targets]), obs, self.encoder)
+        inputs = {c for s in self.encoder.specs if s.source == "units" for c in s.columns}
+        bare = units.drop(*[t.name for t in self.targets if t.name not in inputs])
+        keep = [c for c in self._table(bare, obs, self.encoder).columns if c not in {t.name for t in self.targets}]
+        table = self._certain(self._table(bare, obs, self.encoder).select(*keep), obs)
         shared = units.sparkSession.sparkContext.broadcast(pickle.dumps((self.net, self.inputs, self.scalers)))
         targets, encoder, seed = self.targets, _Shape(self.encoder), self.seed
 
@@ -216,7 +252,7 @@ class Trainer:
                         sure = p.max(1)
                         columns += [pa.array(p.argmax(1).astype(float), mask=sure < threshold), pa.array(sure)]
                     else:
-                        sure = np.ones(len(h))
+                        sure = np.array(b.column("_sure").to_pylist(), float)
                         columns += [pa.array(values(t, h), mask=sure < threshold), pa.array(sure)]
                     names += [t.name, f"{t.name}_confidence"]
                     if samples and t.task == "regression":
@@ -237,6 +273,20 @@ class Trainer:
                 parts += [f"`{t.name}_{label}` double" for label in ("low", "mid", "high")]
         return table.mapInArrow(forward, ", ".join(parts + ["latent array<double>"] * latent))
 
+    def evaluate(self, units: DataFrame, obs: DataFrame | None = None) -> DataFrame:
+        """``(target, metric, value)`` of all targets, in their original scale."""
+        truth = units.select("unit_id", *[F.col(t.name).cast("double").alias(f"_{t.name}") for t in self.targets])
+        rows, out = self.predict(units, obs).join(truth, "unit_id"), None
+        for t in self.targets:
+            pair = rows.select(F.col(t.name).alias("pred"), F.col(f"_{t.name}").alias("target"))
+            if t.task == "classification":
+                got = metrics.classification(pair.select(F.col("pred").cast("long").alias("pred"), F.col("target").cast("long").alias("target")), t.num_classes)
+            else:
+                got = metrics.regression(pair)
+            got = got.select(F.lit(t.name).alias("target"), "metric", "value")
+            out = got if out is None else out.unionByName(got)
+        return out
+
     def embeddings(self, name: str, column: str) -> dict[str, list[float]]:
         """The learned vector of each vocabulary value, from the first slot's table."""
         for k, (n, c, *_rest) in enumerate(self.encoder.embeddings):
@@ -248,9 +298,11 @@ class Trainer:
     # --- persistence
     def save(self, path: str, spark: SparkSession) -> None:
         self.encoder.save(path, spark)
+        known = self.known.select(F.col("value").cast("string").alias("value"), "idx") if self.known is not None else spark.createDataFrame([], "value string, idx long")
+        known.write.mode("overwrite").parquet(f"{path}/known")
         buffer = io.BytesIO()
         np.savez(buffer, in_mean=self.inputs[0], in_scale=self.inputs[1], **{f"p_{k}": v for k, v in self.net.p.items()}, **{f"s_{k}": v for k, v in self.net.stats.items()}, **{f"om_{k}": v for k, v in self.optimizer.m.items()}, **{f"ov_{k}": v for k, v in self.optimizer.v.items()})
-        about = {"formula": self.formula, "targets": [asdict(t) for t in self.targets], "hidden": self.hidden, "epochs": self.epochs, "batch": self.batch, "lr": self.lr, "schedule": self.schedule, "patience": self.patience, "test_share": self.test_share, "dropout": self.dropout, "seed": self.seed, "loss": self.loss, "max_train": self.max_train, "scalers": self.scalers, "epoch": self.epoch, "t": self.optimizer.t, "result": asdict(self.result)}
+        about = {"formula": self.formula, "targets": [asdict(t) for t in self.targets], "hidden": self.hidden, "epochs": self.epochs, "batch": self.batch, "lr": self.lr, "schedule": self.schedule, "patience": self.patience, "test_share": self.test_share, "dropout": self.dropout, "seed": self.seed, "loss": [asdict(p) for p in self.phases], "boundaries": self.boundaries, "max_train": self.max_train, "scalers": self.scalers, "epoch": self.epoch, "t": self.optimizer.t, "result": asdict(self.result)}
         spark.createDataFrame([(json.dumps(about), bytearray(buffer.getvalue()))], "about string, weights binary").coalesce(1).write.mode("overwrite").parquet(f"{path}/model")
 
     @classmethod
@@ -258,9 +310,10 @@ class Trainer:
         row = spark.read.parquet(f"{path}/model").first()
         a, w = json.loads(row["about"]), np.load(io.BytesIO(bytes(row["weights"])))
         targets = [Target(**(t | {"class_weights": tuple(t["class_weights"])})) for t in a["targets"]]
-        keep = ("hidden", "epochs", "batch", "lr", "schedule", "patience", "test_share", "dropout", "seed", "loss", "max_train")
-        out = cls(a["formula"], targets, **{k: a[k] for k in keep})
+        keep = ("hidden", "epochs", "batch", "lr", "schedule", "patience", "test_share", "dropout", "seed", "boundaries", "max_train")
+        out = cls(a["formula"], targets, loss=[Phase(**p) for p in a["loss"]], **{k: a[k] for k in keep})
         out.encoder = EncoderModel.load(path, spark)
+        out.known = spark.read.parquet(f"{path}/known") if out._item_column() else None
         out.inputs, out.scalers = (w["in_mean"], w["in_scale"]), {k: tuple(v) for k, v in a["scalers"].items()}
         heads = {t.name: t.num_classes if t.task == "classification" else 1 for t in targets}
         out.net = Network(len(out.inputs[0]), [(s, n, d) for _, _, s, n, d in out.encoder.embeddings], out.hidden, heads, out.dropout, out.seed)

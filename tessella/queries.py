@@ -12,6 +12,7 @@ from .functions.scalars import argmax_first, expm1_clamped, finite, restored, so
 from .model.schedules import cosine_lr, onecycle_lr, step_lr
 from .operators import encode, loss, metrics, scale, select, similar, split, units, vocab, weights
 from .plans.formula import lowered
+from .plans.items import ItemEncoder
 from .sources.io import from_one_table, from_two_tables
 from .sources.roles import Roles
 from .streaming.hashing import windowed_hash
@@ -414,6 +415,16 @@ def feature_assembly(s, d):
     return rounded(both.select("unit_id", x.alias("x")).select("unit_id", F.size("x").cast("long").alias("width"), *cells), "first", "third")
 
 
+FREQUENT = "v AS (SELECT item AS value, row_number() OVER (ORDER BY item) AS idx FROM obs GROUP BY item HAVING count(DISTINCT unit_id) >= 20)"
+
+
+@query(f"WITH {OBS}, w AS (SELECT unit_id, item, CAST(count(*) AS DOUBLE) AS weight FROM obs GROUP BY ALL), {FREQUENT}, t AS (SELECT unit_id, item, ln(1 + weight) AS weight FROM w QUALIFY {UP} <= 3) SELECT unit_id, coalesce(idx, 0) AS slot, round(sum(t.weight), 6) AS value FROM t LEFT JOIN v ON item = value GROUP BY ALL")
+def item_encoder_sparse(s, d):
+    o = ol_obs(s, d)
+    fitted = ItemEncoder(k=3, selection="bottom", representation="sparse", norm="log1p", aggregation="count", min_units=20).fit(o)
+    return rounded(fitted.transform(o), "value")
+
+
 # --- scaling, transforms, splits
 @query("SELECT round(avg(o_totalprice), 4) AS price_mean, round(stddev_samp(o_totalprice) + 1e-8, 4) AS price_scale FROM orders")
 def scaler_sample(s, d):

@@ -10,6 +10,7 @@ from tessella.cli import main
 from tessella.model.nn import Network, erf
 from tessella.model.train import Trainer
 from tessella.operators import similar, units, vocab
+from tessella.operators.loss import Phase
 from tessella.sources import io
 from tessella.sources.roles import Roles, Target
 from tessella.streaming.hashing import windowed_hash
@@ -69,12 +70,20 @@ def test_gradients():
 def test_train_predict(spark, tmp_path):
     u, o = io.sample_data(spark, 200, 40)
     u = u.withColumn("carbon", F.col("elevation") / 100 + F.col("ph"))
-    t = Trainer("carbon ~ elevation + ph + hash(item, dim=8) + embed(genus, top=2)", [Target.regression("carbon", "log1p"), Target.classification("habitat", 3)], hidden=(16,), epochs=40, batch=32, lr=5e-3)
+    t = Trainer("carbon ~ elevation + ph + hash(item, dim=8) + embed(genus, top=2)", [Target.regression("carbon", "log1p"), Target.classification("habitat", 3)], hidden=(16,), epochs=40, batch=32, lr=5e-3, progress=str(tmp_path / 'progress.json'))
+    with pytest.raises(ValueError):
+        Trainer('y ~ x', [], loss=[Phase(mae=1), Phase(mse=1)], boundaries=())
     result = t.fit(u, o)
     assert result.history[-1]["train_loss"] < result.history[0]["train_loss"] and t.n_params > 0
     got = t.predict(u, o, latent=True, samples=5).orderBy("unit_id").toPandas()
     assert len(got) == 200 and len(got["latent"][0]) == 16 and (got["carbon_low"] <= got["carbon_high"]).all() and got["habitat"].isin([0.0, 1.0, 2.0]).all()
+    assert (got["carbon_confidence"] == 1).all()
+    strange = o.withColumn("item", F.concat("item", F.lit("x")))
+    assert {r["carbon_confidence"] for r in t.predict(u, strange).collect()} == {0.0}
+    scores = {(r["target"], r["metric"]): r["value"] for r in t.evaluate(u, o).collect()}
+    assert scores["carbon", "r2"] > 0.5 and 0 <= scores["habitat", "accuracy"] <= 1
     assert np.corrcoef(got["carbon"], u.orderBy("unit_id").toPandas()["carbon"])[0, 1] > 0.8
+    assert json.loads((tmp_path / "progress.json").read_text())["epoch"] == t.epoch - 1
     t.save(str(tmp_path / "m"), spark)
     again = Trainer.load(str(tmp_path / "m"), spark)
     assert np.allclose(again.predict(u, o).orderBy("unit_id").toPandas()["carbon"], got["carbon"])
@@ -119,3 +128,11 @@ def test_catalogue():
 
     q, sql = __spark_entry__.queries(), __spark_entry__.oracle_sql()
     assert set(sql) <= set(q) and len(q) > 80 and json.dumps(sql)
+
+
+@pytest.mark.parametrize("loss", ["mae", "combined", "smape", [Phase(mse=1.0), Phase(huber=1.0, band=0.1)]])
+def test_losses_learn(spark, loss):
+    u, _ = io.sample_data(spark, 120, 20)
+    t = Trainer("elevation ~ elevation", [Target.regression("elevation")], hidden=(8,), epochs=12, batch=32, lr=1e-2, dropout=0.0, loss=loss, boundaries=(6,) if isinstance(loss, list) else (), schedule="onecycle")
+    h = t.fit(u).history
+    assert min(r["train_loss"] for r in h[:6]) < h[0]["train_loss"] and all(np.isfinite(r["test_loss"]) for r in h)
