@@ -97,7 +97,12 @@ class Trainer:
     @staticmethod
     def _arrays(rows: pa.Table | pa.RecordBatch, encoder: EncoderModel) -> tuple[np.ndarray, list[np.ndarray]]:
         n = rows.num_rows
-        flat = lambda c: np.array(rows.column(c).to_pylist())
+
+        def flat(name: str) -> np.ndarray:
+            column = rows.column(name)
+            column = column.combine_chunks() if isinstance(column, pa.ChunkedArray) else column
+            return column.flatten().to_numpy(zero_copy_only=False)
+
         x = flat("features").astype(float).reshape(n, encoder.continuous_dim)
         return x, [flat(f"ids_{name}_{column}").astype(np.int64).reshape(n, slots) for name, column, slots, _, _ in encoder.embeddings]
 

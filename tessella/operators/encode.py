@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.hashing import bucket_and_sign
@@ -11,15 +11,30 @@ from .vocab import encoded
 from .weights import item_weights, normalised
 
 
-def hashed_items(items: DataFrame, dim: int) -> DataFrame:
-    """``(unit_id, slot, value)`` of weighted items: each adds its signed weight to its bucket. Distinct items are hashed once."""
+def _keys(items: DataFrame, dim: int) -> DataFrame:
+    """``(item, slot, sign)`` of the distinct items, each hashed once."""
     bucket, sign = bucket_and_sign("item", dim)
-    keys = items.select("item").distinct().select("item", bucket.alias("slot"), sign.alias("sign"))
-    return items.join(keys, "item").groupBy("unit_id", "slot").agg(F.sum(F.col("sign") * F.col("weight")).alias("value"))
+    return items.select("item").distinct().select("item", bucket.alias("slot"), sign.alias("sign"))
+
+
+def hashed_items(items: DataFrame, dim: int) -> DataFrame:
+    """``(unit_id, slot, value)`` of weighted items: each adds its signed weight to its bucket."""
+    return items.join(_keys(items, dim), "item").groupBy("unit_id", "slot").agg(F.sum(F.col("sign") * F.col("weight")).alias("value"))
 
 
 def hash_features(obs: DataFrame, dim: int = 32, mode: str = "all", k_top: int = 0, k_bottom: int = 0, norm: str = "norm", key="item", dedupe: str = "item") -> DataFrame:
-    """Feature hashing of each unit's (selected) items; ``dedupe='record'`` selects among records instead of summed items."""
+    """Feature hashing of each unit's (selected) items; ``dedupe='record'`` selects among records instead of summed items.
+
+    Without a selection the encoding is a sum over rows, raw or divided by a unit's total, so rows go straight to
+    their buckets with map-side sums, and no weight per item is ever shuffled.
+    """
+    if mode == "all" and norm in ("raw", "norm"):
+        rows = obs.select("unit_id", (F.col(key) if isinstance(key, str) else key).alias("item"), F.coalesce("weight", F.lit(1.0)).alias("weight"))
+        signed = rows.join(_keys(rows, dim), "item").groupBy("unit_id", "slot").agg(F.sum(F.col("sign") * F.col("weight")).alias("value"), F.sum("weight").alias("_total"))
+        if norm == "raw":
+            return signed.drop("_total")
+        total = F.sum("_total").over(Window.partitionBy("unit_id"))
+        return signed.select("unit_id", "slot", (F.col("value") / F.when(total < 1e-8, 1.0).otherwise(total)).alias("value"))
     items = item_weights(obs, key) if dedupe == "item" else obs.select("unit_id", "item", F.coalesce("weight", F.lit(1.0)).alias("weight"))
     return hashed_items(normalised(selected(items, mode, k_top, k_bottom), norm), dim)
 
