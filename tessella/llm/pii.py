@@ -33,7 +33,7 @@ from pyspark.sql import functions as F
 from .store import written
 
 KINDS = ["email", "ip", "card", "phone", "term"]
-CONTEXT, SUPPORT, DISCLOSURE, BROADCAST = 48, 3, 0.9, 100_000
+CONTEXT, SUPPORT, DISCLOSURE, BROADCAST = 48, 3, 0.97, 100_000
 #: The contract's patterns, in possessive form; a match may begin only at a run's start or at the last match's end.
 PATTERNS = {
     "email": r"(?:(?<![A-Za-z0-9._%+-])|\G)[A-Za-z0-9._%+-]++@[A-Za-z0-9-]++(?:\.[A-Za-z0-9-]++)++",
