@@ -25,7 +25,7 @@ _kept: dict[str, Words] = {}
 class Words:
     """A tokenizer and the ids of words it has met; emptied beyond ``capacity`` words or ids."""
 
-    def __init__(self, path: str, capacity: int = 800_000):
+    def __init__(self, path: str, capacity: int = 1_040_000):
         from tokenizers import Tokenizer
 
         self.tokenizer, self.capacity = Tokenizer.from_file(path), capacity
@@ -37,8 +37,8 @@ class Words:
         self._empty()
 
     def _empty(self) -> None:
-        # an open-addressing table from hashes (0: free) to places in starts and sizes; at most half full
-        self.keys = np.zeros(1 << (2 * self.capacity - 1).bit_length(), np.uint64)
+        # an open-addressing table from hashes (0: free) to places in starts and sizes; at most two thirds full
+        self.keys = np.zeros(1 << (self.capacity * 3 // 2).bit_length(), np.uint64)
         self.place = np.zeros(len(self.keys), np.int32)
         self.n = 0
         self.starts, self.sizes = np.zeros(1 << 16, np.int32), np.zeros(1 << 16, np.int32)
@@ -138,10 +138,11 @@ class Words:
         at = self._find(h)
         missing = at < 0
         if missing.any():
-            if self.n + np.count_nonzero(missing) > self.capacity or self.used > 8 * self.capacity:
+            new, first, where = np.unique(h[missing], return_index=True, return_inverse=True)
+            if self.n + len(new) > self.capacity or self.used > 8 * self.capacity:
                 self._empty()
                 missing[:] = True
-            new, first, where = np.unique(h[missing], return_index=True, return_inverse=True)
+                new, first, where = np.unique(h, return_index=True, return_inverse=True)
             here = np.flatnonzero(missing)[first]
             before = self.n
             buffer = data.tobytes()
