@@ -32,7 +32,7 @@ from pyspark.sql import functions as F
 
 from .staging import VOCABULARY, staged, unpacked, width
 from .store import new_path
-from .tokens import TOKENIZER
+from .tokens import TOKENIZER, tidy
 
 LENGTH, SHARD_SLOTS, ROUNDS, PAD = 2048, 4096, 6, 0
 
@@ -116,6 +116,7 @@ def materialise(docs: DataFrame, folder: str, key: int = 20_240_601, length: int
                     s = slots[a : a + 256]
                     columns = [pa.array(s // shard_slots, pa.int32()), pa.array(s), pa.array(numbers[a : a + 256]), pa.array(who, pa.list_(pa.int64())), pa.array(share, pa.list_(pa.int64())), pa.array(payload, pa.binary())]
                     yield pa.RecordBatch.from_arrays(columns, names=["shard", "slot", "sequence", "doc_ids", "doc_tokens", "ids"])
+            tidy()
 
     def write(batches):
         store, base = fs.FileSystem.from_uri(folder)
@@ -150,6 +151,7 @@ def materialise(docs: DataFrame, folder: str, key: int = 20_240_601, length: int
             more = [offset, pa.array([x for x, _ in checks], pa.int64()), pa.array([x for _, x in checks], pa.int64()), b.column("doc_ids"), b.column("doc_tokens")]
             yield pa.RecordBatch.from_arrays([*keep, *more], names=["slot", "sequence", "shard", "byte_offset", "n_tokens", "shard_crc32", "doc_ids", "doc_tokens"])
         close()
+        tidy()
 
     cells = blocks.select("part", "before", "doc_ids", "sizes", "ids")
     rows = cells.mapInArrow(cut, "shard int, slot long, sequence long, doc_ids array<bigint>, doc_tokens array<bigint>, ids binary")

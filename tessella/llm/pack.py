@@ -26,7 +26,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .staging import VOCABULARY, corpus_df, staged, unpacked
-from .tokens import TOKENIZER
+from .tokens import TOKENIZER, tidy
 
 LENGTH, SHARD_BLOCKS, TERMS, NEIGHBOURS, K1, B = 2048, 4, 12, 16, 1.2, 0.75
 COLUMNS = ["doc_id", "start", "length", "ids_crc32", "doc_tokens", "sequence_id", "offset"]
@@ -158,8 +158,10 @@ def pack(docs: DataFrame, length: int = LENGTH, tokenizer: str = TOKENIZER, voca
                 kept.append((row["doc_ids"], np.split(flat, np.cumsum(row["sizes"])[:-1])))
                 if len(kept) == SHARD_BLOCKS:
                     yield done()
+            tidy()
         if kept:
             yield done()
+        tidy()
 
     schema = ", ".join(f"{c} long" for c in COLUMNS) + ", ids binary" * with_ids
     return blocks.select("doc_ids", "sizes", "ids").mapInArrow(run, schema)

@@ -18,7 +18,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 
 from .store import new_path
-from .tokens import TOKENIZER, words_of
+from .tokens import TOKENIZER, tidy, words_of
 
 BLOCK_TOKENS = 1 << 20
 VOCABULARY = 49_408
@@ -63,8 +63,11 @@ def staged(docs: DataFrame, end_id: int = 1, tokenizer: str = TOKENIZER, vocabul
                     sizes.append(len(own))
                     pieces.append(own)
                     total += len(own)
+            tidy()
         if total:
             yield row(True)
+        pieces = []
+        tidy()
 
     spark, path = docs.sparkSession, new_path(docs.sparkSession, "tokens")
     docs.select(docs["doc_id"].cast("long").alias("doc_id"), "text").mapInArrow(run, SCHEMA).write.option("compression", "zstd").parquet(path)

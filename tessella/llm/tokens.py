@@ -170,3 +170,16 @@ def words_of(name: str = TOKENIZER) -> Words:
             path = public_tokenizers.path(name)
         _kept[name] = Words(path)
     return _kept[name]
+
+
+def tidy() -> None:
+    """Gives memory that Arrow and the allocator hold but no longer need back to the system; idle workers stay small."""
+    import ctypes
+
+    import pyarrow as pa
+
+    pa.default_memory_pool().release_unused()
+    try:
+        ctypes.CDLL(None).malloc_trim(0)
+    except (AttributeError, OSError):  # not every C library has it
+        pass
