@@ -121,3 +121,19 @@ def test_nn_descent(spark, monkeypatch):
     assert none == []
     one = N.near_links(spark.createDataFrame([(None, [1.0, 1.0], 0, 1), (5, [1.0, 1.0], 0, 1), (5, [1.0, 1.0], 0, 1)], df.schema)).collect()
     assert sorted((str(r["vec_id"]), r["n_links"], r["kept"]) for r in one) == [("5", 1, True), ("5", 1, True), ("None", 0, False)]
+
+
+def test_saturated_groups(spark, monkeypatch):
+    monkeypatch.setattr(N, "BLOCK", 16)
+    monkeypatch.setattr(N, "TILE", 8)
+    rng = np.random.default_rng(5)
+    one, two, far = np.linalg.qr(rng.normal(size=(64, 3)))[0].T
+    two = 0.955 * one + (1 - 0.955**2) ** 0.5 * two
+    rows = [(30 * g + k, (base + 0.0125 * rng.normal(size=64)).tolist(), 1) for g, base in enumerate((one, two, far)) for k in range(30)]
+    x = np.array([r[1] for r in rows])
+    x /= np.linalg.norm(x, axis=1)[:, None]
+    near = x @ x.T >= 0.93
+    # two groups with more near copies within than a list holds, and links across; a third that is alone
+    assert near[:60, :60].all() and near[60:, 60:].all() and not near[:60, 60:].any() and N.K_MAX < 29
+    got = {r["vec_id"]: (r["n_links"], r["component_id"]) for r in N.near_links(spark.createDataFrame(rows, "vec_id long, embedding array<double>, label int")).collect()}
+    assert got == {k: (59, 0) if k < 60 else (29, 60) for k in range(90)}
