@@ -137,3 +137,28 @@ def test_saturated_groups(spark, monkeypatch):
     assert near[:60, :60].all() and near[60:, 60:].all() and not near[:60, 60:].any() and N.K_MAX < 29
     got = {r["vec_id"]: (r["n_links"], r["component_id"]) for r in N.near_links(spark.createDataFrame(rows, "vec_id long, embedding array<double>, label int")).collect()}
     assert got == {k: (59, 0) if k < 60 else (29, 60) for k in range(90)}
+
+
+def sparse(n, linked, dim=64):
+    """Random vectors of one label, of which a few have one near copy."""
+    rng = np.random.default_rng(6)
+    x = rng.normal(size=(n, dim))
+    x /= np.linalg.norm(x, axis=1)[:, None]
+    noise = rng.normal(size=(linked, dim))
+    x[:linked] = x[-linked:] + 0.34 * noise / np.linalg.norm(noise, axis=1)[:, None]
+    x /= np.linalg.norm(x, axis=1)[:, None]
+    return x
+
+
+@pytest.mark.parametrize("audit", [256, 64])
+def test_sparse_links(spark, monkeypatch, audit):
+    # few nodes have a link: no sample tells (256), or it sees enough and finds what one narrow table leaves (64)
+    for name, value in {"TABLES": 1, "WINDOW": 1, "AUDIT": audit, "SEEN": 5, "BLOCK": 256, "PASSES": 2}.items():
+        monkeypatch.setattr(N, name, value, raising=False)
+    x = sparse(1200 if audit == 64 else 400, 90 if audit == 64 else 6)
+    near = x @ x.T >= 0.93
+    n = near.sum(1) - 1
+    want = joined(range(len(x)), [(int(a), int(b)) for a, b in zip(*np.nonzero(np.triu(near, 1)), strict=True)])
+    got = {r["vec_id"]: r for r in N.near_links(spark.createDataFrame([(k, v.tolist(), 1) for k, v in enumerate(x)], "vec_id long, embedding array<double>, label int")).collect()}
+    assert n.sum() > 0 and {k: (r["n_links"], r["component_id"]) for k, r in got.items()} == {k: (n[k], want[k]) for k in want}
+    assert N.last_recall == 1.0
