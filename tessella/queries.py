@@ -362,9 +362,11 @@ def presence_absence(s, d):
 @query(f"WITH {OBS}, {W}, {KNOWN}, {VECTOR}, m AS (SELECT i AS idx, j AS slot, ((i * 7 + j * 3) % 11 - 5) / 10 AS weight FROM range(0, 3000) a(i), range(0, 4) b(j)) SELECT unit_id, slot, round(sum(x.value * m.weight), 6) + 0.0 AS value FROM x JOIN m USING (idx) GROUP BY ALL")
 def sparse_projection(s, d):
     o = ol_obs(s, d)
-    cells = s.range(3000).select(F.col("id").alias("idx"), F.explode(F.sequence(F.lit(0), F.lit(3))).alias("slot"))
+    known = vocab.alphabetical(o, "item", 30)
+    ids = known.select(F.col("idx").cast("long").alias("idx")).unionByName(s.range(1).select(F.col("id").alias("idx")))  # 0: unknown items
+    cells = ids.select("idx", F.explode(F.sequence(F.lit(0), F.lit(3))).alias("slot"))
     matrix = cells.withColumn("slot", F.col("slot").cast("long")).withColumn("weight", ((F.col("idx") * 7 + F.col("slot") * 3) % 11 - 5) / 10)
-    return rounded(encode.sparse_projection(encode.sparse_vector(o, vocab.alphabetical(o, "item", 30)), matrix), "value")
+    return rounded(encode.sparse_projection(encode.sparse_vector(o, known), matrix), "value")
 
 
 PRIORITY = "v AS (SELECT priority AS value, row_number() OVER (ORDER BY priority) AS idx FROM (SELECT DISTINCT priority FROM units WHERE status <> 'P'))"

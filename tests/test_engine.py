@@ -136,3 +136,15 @@ def test_losses_learn(spark, loss):
     t = Trainer("elevation ~ elevation", [Target.regression("elevation")], hidden=(8,), epochs=12, batch=32, lr=1e-2, dropout=0.0, loss=loss, boundaries=(6,) if isinstance(loss, list) else (), schedule="onecycle")
     h = t.fit(u).history
     assert min(r["train_loss"] for r in h[:6]) < h[0]["train_loss"] and all(np.isfinite(r["test_loss"]) for r in h)
+
+
+def test_projection_of_all_items(spark, tmp_path):
+    from tessella.queries import sparse_projection
+
+    part = spark.range(3100).select((F.col("id") + 10_000).alias("p_partkey"), F.lit("b").alias("p_brand"), F.lit("t").alias("p_type"), F.lit(1.0).alias("p_retailprice"))
+    part.write.parquet(str(tmp_path / "part.parquet"))
+    often = part.crossJoin(spark.range(30)).select(F.lit(1).alias("l_orderkey"), F.col("p_partkey").alias("l_partkey"), F.lit(1.0).alias("l_quantity"))
+    last = part.where("p_partkey = 13098").select(F.lit(2).alias("l_orderkey"), F.col("p_partkey").alias("l_partkey"), F.lit(4.0).alias("l_quantity"))
+    often.unionByName(last).write.parquet(str(tmp_path / "lineitem.parquet"))
+    got = {r["slot"]: r["value"] for r in sparse_projection(spark, str(tmp_path)).where("unit_id = 2").collect()}
+    assert got == {j: 4 * ((3099 * 7 + j * 3) % 11 - 5) / 10 for j in range(4)}
