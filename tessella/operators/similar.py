@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from ..functions.scalars import cosine
 
 QUERY_BLOCK = 2_000
+SENTENCE = 1_000
 
 
 def nearest(vectors: DataFrame, queries: DataFrame, k: int) -> DataFrame:
@@ -34,12 +35,18 @@ def cooccurrence(obs: DataFrame, min_count: int = 1) -> DataFrame:
     return pairs.groupBy("a", "b").agg(F.count("*").alias("n")).where(F.col("n") >= min_count)
 
 
+def sentences_of(obs: DataFrame) -> DataFrame:
+    """``(unit_id, items)``: all items of each unit, heaviest first, in consecutive lists of up to ``SENTENCE``."""
+    ranked = obs.withColumn("_r", F.row_number().over(Window.partitionBy("unit_id").orderBy(F.desc("weight"), "item")))
+    parts = ranked.groupBy("unit_id", F.floor((F.col("_r") - 1) / SENTENCE).alias("_part"))
+    return parts.agg(F.transform(F.sort_array(F.collect_list(F.struct("_r", "item"))), lambda x: x["item"]).alias("items")).drop("_part")
+
+
 def item_vectors(obs: DataFrame, dim: int = 16, min_count: int = 2, seed: int = 1):
-    """A Word2Vec model of the items; each unit is a sentence, heaviest items first (at most 1,000 of them)."""
+    """A Word2Vec model of the items; each unit is a sentence, heaviest items first, or several of up to ``SENTENCE`` items in that order."""
     from pyspark.ml.feature import Word2Vec
 
-    ranked = obs.withColumn("_r", F.row_number().over(Window.partitionBy("unit_id").orderBy(F.desc("weight"), "item"))).where("_r <= 1000")
-    sentences = ranked.groupBy("unit_id").agg(F.transform(F.sort_array(F.collect_list(F.struct("_r", "item"))), lambda x: x["item"]).alias("items"))
+    sentences = sentences_of(obs)
     return Word2Vec(vectorSize=dim, minCount=min_count, seed=seed, inputCol="items", outputCol="vector", maxIter=1, numPartitions=1).fit(sentences)
 
 

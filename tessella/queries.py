@@ -690,7 +690,7 @@ def train_predict_classification(s, d):
 
 @query()
 def word2vec_items(s, d):
-    return similar.item_vectors(ol_obs(s, d).select("unit_id", F.col("genus").alias("item"), "weight"), 8).getVectors().select(F.col("word").alias("item"), F.col("vector").cast("string").alias("vector"))
+    return similar.item_vectors(ol_obs(s, d).select("unit_id", "item", "weight"), 8).getVectors().select(F.col("word").alias("item"), F.col("vector").cast("string").alias("vector"))
 
 
 @query()

@@ -148,3 +148,19 @@ def test_projection_of_all_items(spark, tmp_path):
     often.unionByName(last).write.parquet(str(tmp_path / "lineitem.parquet"))
     got = {r["slot"]: r["value"] for r in sparse_projection(spark, str(tmp_path)).where("unit_id = 2").collect()}
     assert got == {j: 4 * ((3099 * 7 + j * 3) % 11 - 5) / 10 for j in range(4)}
+
+
+def test_item_vectors_of_long_units(spark):
+    obs = spark.range(2500).select(F.lit("a").alias("unit_id"), F.format_string("i%04d", "id").alias("item"), (5000 - F.col("id")).cast("double").alias("weight"))
+    model = similar.item_vectors(obs, 2, min_count=1)
+    assert {r["word"] for r in model.getVectors().select("word").collect()} == {f"i{k:04d}" for k in range(2500)}
+    parts = sorted(r["items"] for r in similar.sentences_of(obs).collect())
+    assert [len(p) for p in parts] == [1000, 1000, 500] and sum(parts, []) == [f"i{k:04d}" for k in range(2500)]
+
+
+def test_word2vec_items(spark):
+    from tessella.queries import QUERIES, ol_obs
+
+    sf = "/root/testdata/sf0.001"
+    often = {r["item"] for r in ol_obs(spark, sf).groupBy("item").count().where("count >= 2").collect()}
+    assert {r["item"] for r in QUERIES["word2vec_items"](spark, sf).collect()} == often
