@@ -27,3 +27,11 @@ def test_empty(spark):
     docs = spark.read.parquet(f"{SF}/documents.parquet").limit(0)
     for _, stage in corpus_pipeline.STAGES:
         assert stage(spark, docs, SF).collect() == []
+
+
+def test_near_duplicates_from_80_percent(spark):
+    words = [f"w{k}" for k in range(220)]
+    rows = [(1, " ".join(words[:200])), (2, " ".join(words[:180] + words[200:])), (3, " ".join(words[:170] + [f"x{k}" for k in range(30)]))]
+    # five-word Jaccard of 1 and 2: 176/216 = 0.815; of 1 and 3: 166/226 = 0.735
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    assert sorted(r["doc_id"] for r in corpus_pipeline.near_duplicates(spark, docs, SF).collect()) == [1, 3]
