@@ -1,10 +1,9 @@
 import os
 import sys
-from pathlib import Path
 
 import pytest
 
-ROOT = str(Path(__file__).resolve().parent.parent)
+ROOT = os.path.dirname(os.path.dirname(os.path.abspath(__file__)))
 sys.path.insert(0, ROOT)
 os.environ["PYTHONPATH"] = ROOT + os.pathsep + os.environ.get("PYTHONPATH", "")  # for Python workers
 
