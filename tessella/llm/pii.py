@@ -1,26 +1,33 @@
 """Personal data: fixed patterns, and terms that give protected entities away, in DataFrame operations alone.
 
-Base spans are e-mail and IP addresses, card and phone numbers. Each of their
-values is a protected entity. By information theory a term t discloses entity c to
+Base spans are e-mail and IP addresses, card and phone numbers. They stand for
+protected entities at three levels: the exact value, its pool (mail domain, network,
+card issuer, dialling prefix) and its kind, so that a term can give away a group of
+people whose values all differ. By information theory a term t discloses entity c to
 the degree PMI(c; t) / IC(c), where IC(c) = log(N / n_c) and PMI(c; t) =
-log(N co / (n_c df_t)): 0 if the term says nothing, 1 if whoever reads it knows c.
-Co-occurrence (within ``CONTEXT`` characters) and document counts are taken over
-the whole corpus; a term that stands in ``SUPPORT`` different contexts of an entity
-and discloses it to ``DISCLOSURE`` or more is a span wherever it occurs. ``sanitised``
-generalises base spans to their kind and removes such terms.
+log(P(c | t) N / n_c): 0 if the term says nothing, 1 if whoever reads it knows c.
+P(c | t) is the share of t's documents in which it stands near c, taken at the lower
+end of its one-sided 95% Wilson interval (``Z``), which is smoothing and significance test in one: few
+documents prove little. A term is a span wherever it occurs if it stands in ``SUPPORT``
+different contexts of an entity, discloses it to ``DISCLOSURE`` or more, and makes it
+likelier than not (``POSTERIOR``). Co-occurrence (within ``CONTEXT`` characters) and document
+counts are taken over the whole corpus. ``sanitised`` generalises base spans to their
+kind and removes such terms.
 
 Entities' contexts bound a term's disclosure from above (documents in which it is
 near any entity are at most those it occurs in), which leaves few candidates;
 only their occurrences are sought in the second scan of the texts. Matching is
 linear in the text: patterns are possessive where that changes nothing, and
 cannot restart inside a run that has failed. Candidates are broadcast up to
-``BROADCAST`` of them and joined by shuffle beyond. Texts are shuffled only for documents
-that hold a disclosing term.
-
-Edge cases: null texts are empty and have no spans; spans of different kinds may
-overlap; repeated rows count as one document in co-occurrence and give equal rows;
-positions count code points; null ids are ids like others; other columns are
-kept by ``sanitised`` and ignored by ``find_pii``.
+``BROADCAST`` of them and joined by shuffle beyond. Texts stay where they are: only
+documents that hold a disclosing term are joined with their terms, by broadcast
+where these are few.
+
+Edge cases: null texts are empty and have no spans; base spans of different kinds may
+overlap, terms inside base spans are no spans of their own; repeated rows count as one
+document in co-occurrence and give equal rows; an empty table gives none;
+positions count code points; null ids are ids like others; other columns, whatever
+their names, are kept by ``sanitised`` and ignored by ``find_pii``.
 """
 
 from __future__ import annotations
@@ -30,10 +37,10 @@ from functools import partial
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .store import written
+from .store import small, written
 
 KINDS = ["email", "ip", "card", "phone", "term"]
-CONTEXT, SUPPORT, DISCLOSURE, BROADCAST = 48, 3, 0.97, 100_000
+CONTEXT, SUPPORT, DISCLOSURE, POSTERIOR, Z, BROADCAST = 48, 3, 0.9, 0.5, 1.645, 100_000
 #: The contract's patterns, in possessive form; a match may begin only at a run's start or at the last match's end.
 PATTERNS = {
     "email": r"(?:(?<![A-Za-z0-9._%+-])|\G)[A-Za-z0-9._%+-]++@[A-Za-z0-9-]++(?:\.[A-Za-z0-9-]++)++",
@@ -108,60 +115,102 @@ def _term(w: Column) -> Column:
     return (F.length(w) >= 3) & ~w.rlike("^[0-9]+$")
 
 
-def disclosing_terms(texts: DataFrame, spans: DataFrame, support: int, disclosure: float) -> DataFrame | None:
+def _entities(kind: Column, value: Column) -> Column:
+    """The value, its pool and its kind, as names of protected entities."""
+    digits, name = _digits(value), kind.cast("string")
+    mail = F.lower(value)
+    exact = F.when(kind == 0, mail).when(kind == 1, value).otherwise(digits)
+    pool = F.when(kind == 0, F.substring_index(mail, "@", -1)).when(kind == 1, F.substring_index(value, ".", 2)).when(kind == 2, F.substring(digits, 1, 6)).otherwise(F.substring(digits, 1, 4))
+    return F.array(F.concat(name, F.lit(":"), exact), F.concat(name, F.lit("/"), pool), name)
+
+
+def _around(text: Column, span: Column) -> Column:
+    """The whole words within ``CONTEXT`` characters before and after a span, without other addresses."""
+    start, stop = span["start"], span["stop"]
+    begin = F.greatest(start - CONTEXT, F.lit(0))
+    before, after = F.substring(text, begin + 1, start - begin), F.substring(text, stop + 1, F.lit(CONTEXT))
+    before = F.when(begin > 0, F.regexp_replace(before, r"^[^\s]++", "")).otherwise(before)
+    after = F.when(F.length(after) == CONTEXT, F.regexp_replace(after, r"[^\s]+$", "")).otherwise(after)
+    return F.regexp_replace(F.concat_ws(" ", before, after), r"[^\s@]*+@[^\s]*+", " ")
+
+
+def _degree(co: Column, df: Column, n_c: Column, n: int, z: float) -> tuple[Column, Column]:
+    """Disclosure PMI / IC and P(c | t), both at the lower end of the Wilson interval of co in df."""
+    p, zz = co / df, z * z
+    low = (p + zz / (2 * df) - z * F.sqrt(F.greatest(p * (1 - p), F.lit(0.0)) / df + zz / (4 * df * df))) / (1 + zz / df)
+    information = F.log(F.lit(float(n)) / n_c)
+    return (F.log(low) + information) / information, low
+
+
+def disclosing_terms(texts: DataFrame, spans: DataFrame, support: int, disclosure: float, posterior: float = POSTERIOR, z: float = Z) -> DataFrame | None:
     """Written ``(doc_id, h)`` and ``term`` of all occurrences of disclosing terms; None if there are none.
 
     ``spans``: ``(doc_id, h, around, value, kind)``, one row for each base span with its context.
     """
-    value = F.when(F.col("kind") == 0, F.lower("value")).when(F.col("kind") == 1, F.col("value")).otherwise(_digits(F.col("value")))
-    c = F.concat(F.col("kind").cast("string"), F.lit(":"), value)
-    near = spans.select(F.xxhash64("doc_id", "h").alias("doc"), c.alias("c"), F.xxhash64("around").alias("context"), F.explode(F.array_distinct(_words(F.col("around")))).alias("term"))
-    near = near.where(_term(F.col("term")) & ~F.contains(F.col("c"), F.col("term"))).distinct()
-    docs_of = spans.select(c.alias("c"), F.xxhash64("doc_id", "h").alias("doc")).distinct().groupBy("c").agg(F.count("*").alias("n_c"))
+    each = spans.select(F.xxhash64("doc_id", "h").alias("doc"), "around", F.explode(_entities(F.col("kind"), F.col("value"))).alias("c"))
+    near = each.select("doc", "c", F.xxhash64("around").alias("context"), F.explode(F.array_distinct(_words(F.col("around")))).alias("term")).where(_term(F.col("term"))).distinct()
+    docs_of = each.select("c", "doc").distinct().groupBy("c").agg(F.count("*").alias("n_c"))
     contexts = near.select("c", "term", "context").distinct().groupBy("c", "term").agg(F.count("*").alias("contexts")).where(F.col("contexts") >= support)
     both = near.select("c", "term", "doc").distinct().groupBy("c", "term").agg(F.count("*").alias("co"))
     anywhere = near.select("term", "doc").distinct().groupBy("term").agg(F.count("*").alias("least"))
     n = texts.select("doc_id", "h").distinct().count()
-    degree = lambda df: F.log(F.lit(float(n)) * F.col("co") / (F.col("n_c") * df)) / F.log(F.lit(float(n)) / F.col("n_c"))
-    known = contexts.join(both, ["c", "term"]).join(docs_of, "c").join(anywhere, "term").where((F.col("n_c") < n) & (degree(F.col("least")) >= disclosure))
+
+    def discloses(df: str) -> Column:
+        degree, low = _degree(F.col("co"), F.col(df), F.col("n_c"), n, z)
+        return (degree >= disclosure) & (low >= posterior)
+
+    known = contexts.join(both, ["c", "term"]).join(docs_of, "c").join(anywhere, "term").where((F.col("n_c") < n) & discloses("least"))
     known = written(known.select("term", "co", "n_c"), "terms")
     candidates = known.select("term").distinct()
     m = candidates.limit(BROADCAST + 1).count()
     if not m:
         return None
-    words = texts.select("doc_id", "h", F.explode(F.split(F.lower("text"), r"[^\p{Alnum}\P{ASCII}]++")).alias("term"))
+    words = texts.select("doc_id", "h", F.explode(_words(F.col("text"))).alias("term"))
     seen = written(words.join(F.broadcast(candidates) if m <= BROADCAST else candidates, "term", "left_semi").distinct(), "seen")
     df = seen.groupBy("term").agg(F.count("*").alias("df"))
-    flagged = known.join(df, "term").where(degree(F.col("df")) >= disclosure).select("term").distinct()
+    flagged = known.join(df, "term").where(discloses("df")).select("term").distinct()
     out = written(seen.join(flagged, "term", "left_semi"), "flagged")
     return out if out.head(1) else None
 
 
-def term_spans(text: Column, terms: Column) -> Column:
-    """Places of a text's words that are among ``terms`` (lower-cased)."""
+def term_spans(text: Column, terms: Column, base: Column) -> Column:
+    """Places of a text's words that are among ``terms`` (lower-cased) and not inside a base span."""
     words = _located(text, F.lit(r"[\p{Alnum}\P{ASCII}]++"), 4)
-    return F.filter(words, lambda x: F.array_contains(terms, F.lower(x["value"])))
+    named = F.filter(words, lambda x: F.array_contains(terms, F.lower(x["value"])))
+    return F.filter(named, lambda x: ~F.exists(base, lambda y: (x["start"] < y["stop"]) & (y["start"] < x["stop"])))
 
 
-def with_spans(docs: DataFrame, support: int = SUPPORT, disclosure: float = DISCLOSURE) -> DataFrame:
-    """``(doc_id, h, base, terms)`` for each row of ``docs (doc_id, text)``; h identifies the text."""
+def _keyed(docs: DataFrame) -> DataFrame:
     text = F.coalesce("text", F.lit(""))
-    texts = docs.select("doc_id", text.alias("text"), F.xxhash64(text).alias("h"))
-    spans = base_spans(F.col("text"))
-    cut = lambda s: F.substring(F.col("text"), F.greatest(s["start"] - CONTEXT, F.lit(0)) + 1, s["stop"] - s["start"] + 2 * CONTEXT)
-    rows = texts.select("doc_id", "h", "text", spans.alias("base"))
-    rows = rows.select("doc_id", "h", "base", F.transform("base", cut).alias("around"))
+    return docs.select("doc_id", text.alias("text"), F.xxhash64(text).alias("h"))
+
+
+def analysed(docs: DataFrame, support: int, disclosure: float) -> tuple[DataFrame, DataFrame | None]:
+    """A written table ``(doc_id, h, base)`` of all rows, and ``(id, th, terms)`` of documents with disclosing terms."""
+    texts = _keyed(docs)
+    rows = texts.select("doc_id", "h", "text", base_spans(F.col("text")).alias("base"))
+    rows = rows.select("doc_id", "h", "base", F.transform("base", lambda s: _around(F.col("text"), s)).alias("around"))
     base = written(rows, "spans")
     each = base.where(F.size("base") > 0).select("doc_id", "h", F.explode(F.arrays_zip("base", "around")).alias("x"))
     each = each.select("doc_id", "h", F.col("x.around").alias("around"), F.col("x.base.value").alias("value"), F.col("x.base.kind").alias("kind"))
     found = disclosing_terms(texts, each, support, disclosure)
     if found is None:
+        return base, None
+    return base, written(found.groupBy("doc_id", "h").agg(F.collect_set("term").alias("terms")).withColumnsRenamed({"doc_id": "id", "h": "th"}), "of")
+
+
+def _same() -> Column:
+    return F.col("doc_id").eqNullSafe(F.col("id")) & (F.col("h") == F.col("th"))
+
+
+def with_spans(docs: DataFrame, support: int = SUPPORT, disclosure: float = DISCLOSURE) -> DataFrame:
+    """``(doc_id, h, base, terms)`` for each row of ``docs (doc_id, text)``; h identifies the text."""
+    base, of = analysed(docs, support, disclosure)
+    if of is None:
         return base.select("doc_id", "h", "base", F.array().cast(_SPAN).alias("terms"))
-    of = found.groupBy("doc_id", "h").agg(F.collect_set("term").alias("terms")).withColumnsRenamed({"doc_id": "id", "h": "th"})
-    placed = texts.join(of, F.col("doc_id").eqNullSafe(F.col("id")) & (F.col("h") == F.col("th")))
-    placed = placed.groupBy("id", "th").agg(F.first(term_spans(F.col("text"), F.col("terms"))).alias("terms"))
-    both = base.join(placed, F.col("doc_id").eqNullSafe(F.col("id")) & (F.col("h") == F.col("th")), "left")
-    return both.select("doc_id", "h", "base", F.coalesce("terms", F.array().cast(_SPAN)).alias("terms"))
+    placed = _keyed(docs).join(small(of, BROADCAST), _same())
+    placed = placed.groupBy("id", "th").agg(F.first(term_spans(F.col("text"), F.col("terms"), base_spans(F.col("text")))).alias("terms"))
+    return base.join(placed, _same(), "left").select("doc_id", "h", "base", F.coalesce("terms", F.array().cast(_SPAN)).alias("terms"))
 
 
 def find_pii(docs: DataFrame) -> DataFrame:
@@ -176,26 +225,36 @@ def find_pii(docs: DataFrame) -> DataFrame:
     )
 
 
-def sanitised(docs: DataFrame) -> DataFrame:
+def sanitised(docs: DataFrame, support: int = SUPPORT, disclosure: float = DISCLOSURE) -> DataFrame:
     """All columns of ``docs``: base spans become ``[EMAIL]`` and the like, disclosing terms go; ``n_chars``, if any, is recounted."""
-    spans = with_spans(docs).select(F.col("doc_id").alias("span_id"), F.col("h").alias("span_h"), F.concat("base", "terms").alias("spans")).where(F.size("spans") > 0)
-    spans = spans.groupBy("span_id", "span_h").agg(F.first("spans").alias("spans"))
+    _, of = analysed(docs, support, disclosure)
+    whole = F.coalesce("own.text", F.lit(""))
+    spans = base_spans(whole)
+    rows = docs.select(F.struct(*docs.columns).alias("own"))  # one name, so that none of theirs can clash
+    if of is None:
+        rows = rows.select("own", spans.alias("spans"))
+    else:
+        met = rows.join(small(of, BROADCAST), F.col("own.doc_id").eqNullSafe(F.col("id")) & (F.xxhash64(whole) == F.col("th")), "left").select("own", "terms", spans.alias("base"))
+        extra = F.when(F.col("terms").isNotNull(), term_spans(whole, F.col("terms"), F.col("base"))).otherwise(F.array().cast(_SPAN))
+        rows = met.select("own", F.concat("base", extra).alias("spans"))
     labels = F.array(*[F.lit(x) for x in ("[EMAIL]", "[IP]", "[CARD]", "[PHONE]", "")])
-    both = docs.join(spans, F.col("doc_id").eqNullSafe(F.col("span_id")) & (F.xxhash64(F.coalesce("text", F.lit(""))) == F.col("span_h")), "left")
-    zero = F.struct(F.lit(0).alias("at"), F.array().cast("array<string>").alias("out"))
+    text, zero = F.col("own.text"), F.struct(F.lit(0).alias("at"), F.array().cast("array<string>").alias("out"))
 
     def add(a: Column, x: Column) -> Column:
         # a span that begins inside an earlier one only extends what is removed
-        before = F.substring(F.col("text"), a["at"] + 1, F.greatest(x["start"] - a["at"], F.lit(0)))
+        before = F.substring(text, a["at"] + 1, F.greatest(x["start"] - a["at"], F.lit(0)))
         label = F.when(x["start"] >= a["at"], F.get(labels, x["kind"])).otherwise("")
         return F.struct(F.greatest(a["at"], x["stop"]).alias("at"), F.concat(a["out"], F.array(before, label)).alias("out"))
 
     done = F.aggregate(F.array_sort("spans"), zero, add)
-    new = F.concat(F.array_join(done["out"], ""), F.substring(F.col("text"), done["at"] + 1, F.length("text")))
-    out = both.withColumn("text", F.when(F.col("spans").isNotNull(), new).otherwise(F.col("text")))
-    if "n_chars" in docs.columns:
-        out = out.withColumn("n_chars", F.when(F.col("spans").isNotNull(), F.length("text")).otherwise(F.col("n_chars")).cast(docs.schema["n_chars"].dataType))
-    return out.select(*docs.columns)
+    new = F.concat(F.array_join(done["out"], ""), F.substring(text, done["at"] + 1, F.length(text)))
+    rows = rows.select("own", F.when(F.size("spans") > 0, new).otherwise(text).alias("new"))
+    columns = {name: F.col("own").getField(name).alias(name) for name in docs.columns}
+    columns["text"] = F.col("new").alias("text")
+    if "n_chars" in columns:
+        kept = F.col("own.n_chars")
+        columns["n_chars"] = F.when(F.col("new").eqNullSafe(text), kept).otherwise(F.length("new")).cast(docs.schema["n_chars"].dataType).alias("n_chars")
+    return rows.select(*columns.values())
 
 
 def op7_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
