@@ -4,34 +4,47 @@ Rules are ``host/path`` strings: a rule fits its host and all subdomains where
 the url's path starts with the rule's path; the longest that fits wins.
 
 The method judges the rest. Paths become templates level by level, ``depth``
-levels and a tail: at each node of a host's tree a segment stays literal only if
-it is frequent (``support`` urls and ``share`` of the node's) and its labelled
-bad rate differs significantly (two-proportion test, ``z``) from that of its
-siblings together; all other segments, variable or statistically similar, merge
-into ``*``. A template is blocked if its bad rate, smoothed by ``alpha`` pseudo-urls
-at its host's rate (itself smoothed by the global rate), reaches ``purity``.
-Labels may be given; without them the urls that rules judge are the labelled ones.
-
-Scale: every aggregation has a map-side part and keys on (host, prefix,
+levels and a tail. At each node of a host's tree
+
+1. frequent segments (``support`` urls and ``share`` of the node's) are branches;
+   all others, the variable ones, are one branch ``*``;
+2. each branch has labelled evidence: its own labels, and up to ``alpha`` pseudo-labels
+   at the rate of the same branch over all hosts, so that hosts without labels have some;
+3. branches are put in order of their bad rate, and neighbours whose rates do not
+   differ significantly (two-proportion test, ``z``) merge, as do all without evidence:
+   a merged branch is ``{a|b}``, or ``*`` if the variable one is among them.
+
+A template is judged by its purity, its labelled bad rate smoothed by ``alpha``
+pseudo-labels at an inherited rate. Hosts inherit from their domain (the last two names)
+and this from all urls; templates inherit from the same template over all hosts; the two
+are combined as independent evidence (their odds over the general odds multiply). So
+templates that hold no label themselves are judged as well; they are blocked only if
+the template has ``support`` labels over all hosts. Templates whose purity reaches ``purity``
+are blocked. Labels may be given; without them the urls that rules judge are the labelled ones.
+
+Scale: every aggregation has a map-side part and keys on (host, template,
 segment), so a host with a third of all urls is counted in many tasks. Only
-frequent, distinct segments, at most 1/support of the rows, meet their parent's
-counts. Joins back are left to the planner (by size) and AQE's skew splitting.
+frequent, distinct segments, at most 1/share of a node, are put in order.
+Joins back are left to the planner (by size) and AQE's skew splitting.
 
 Edge cases: null urls or urls without ``://`` have empty host and path, and no
 rule can fit them; they form the template of the empty host. Repeated urls count
-as often as they occur. Without any label nothing is blocked. Other columns are
-ignored.
+as often as they occur; an empty table gives no rows. Rules of equal length: the one listed first.
+A null label is none; several labels of a page: the worst. Without any label nothing
+is blocked. Very long segments are segments like others. Other columns, whatever their names, are ignored.
 """
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from .decontaminate import ascii_lower
 from .store import written
 
 DEPTH, SUPPORT, SHARE, Z, ALPHA, PURITY = 3, 8, 0.01, 1.96, 4.0, 0.9
+#: Rates stay this far from 0 and 1 where their odds are taken.
+EDGE = 1e-6
 
 #: The rules of the contract.
 RULES = [("org/", "allow"), ("example.org/es/", "block"), ("example.org/en/1", "block"), ("com/fr/", "allow"), ("com/de/", "block")]
@@ -54,7 +67,30 @@ def by_rules(host: Column, path: Column, rules: list[tuple[str, str]]) -> tuple[
     return rule, verdict
 
 
-def with_templates(urls: DataFrame, depth: int = DEPTH, support: int = SUPPORT, share: float = SHARE, z: float = Z) -> DataFrame:
+def _branches(children: DataFrame, support: int, share: float, z: float, alpha: float) -> DataFrame:
+    """``(host, template, seg, branch)`` of the frequent segments; ``children``: ``(host, template, seg, n, lab, bads)``."""
+    total = children.groupBy("host", "template").agg(F.sum("n").alias("pn"))
+    frequent = (F.col("n") >= support) & (F.col("n") >= share * F.col("pn")) & ~F.col("seg").isin("", "*")
+    named = children.join(total, ["host", "template"]).withColumn("key", F.when(F.col("seg") == "", "").when(frequent, F.col("seg")).otherwise("*"))
+    own = named.groupBy("host", "template", "key").agg(F.sum("lab").alias("lab"), F.sum("bads").alias("bads"))
+    world = own.groupBy("template", "key").agg(F.sum("lab").alias("wlab"), F.sum("bads").alias("wbads"))
+    pseudo = F.when(F.col("wlab") > 0, F.least(F.lit(alpha), F.col("wlab").cast("double"))).otherwise(0.0)
+    both = own.where("key <> ''").join(world, ["template", "key"]).withColumn("pseudo", pseudo)
+    both = both.select("host", "template", "key", (F.col("lab") + F.col("pseudo")).alias("k"), (F.col("bads") + F.coalesce(F.try_divide(F.col("pseudo") * F.col("wbads"), "wlab"), F.lit(0.0))).alias("b"))
+    both = both.withColumn("rate", F.try_divide("b", "k"))
+    node = Window.partitionBy("host", "template").orderBy(F.col("rate").asc_nulls_last(), "key")
+    before = lambda c: F.lag(c).over(node)
+    pooled = F.try_divide(F.col("b") + before("b"), F.col("k") + before("k"))
+    gap = F.col("rate") - before("rate")
+    # a difference, or evidence beside none, begins a new group
+    differs = (gap * gap > z * z * pooled * (1 - pooled) * (F.try_divide(F.lit(1.0), "k") + F.try_divide(F.lit(1.0), before("k")))) | (F.col("rate").isNull() & before("rate").isNotNull())
+    groups = both.withColumn("first", F.when(F.coalesce(differs, F.lit(False)), 1).otherwise(0)).withColumn("part", F.sum("first").over(node))
+    of = groups.groupBy("host", "template", "part").agg(F.array_sort(F.collect_list("key")).alias("keys"), F.max(F.col("rate").isNull()).alias("unknown"))
+    name = F.when(F.array_contains("keys", "*") | F.col("unknown"), "*").when(F.size("keys") == 1, F.get("keys", F.lit(0))).otherwise(F.concat(F.lit("{"), F.array_join("keys", "|"), F.lit("}")))
+    return of.select("host", "template", F.explode("keys").alias("seg"), name.alias("branch")).where("seg <> '*'")
+
+
+def with_templates(urls: DataFrame, depth: int = DEPTH, support: int = SUPPORT, share: float = SHARE, z: float = Z, alpha: float = ALPHA) -> DataFrame:
     """Adds ``template`` to rows with host, path and bad (1, 0 or null)."""
     segments = F.filter(F.split("path", "/"), lambda x: x != "")
     rows = urls.withColumn("segments", segments).withColumn("template", F.lit(""))
@@ -62,29 +98,34 @@ def with_templates(urls: DataFrame, depth: int = DEPTH, support: int = SUPPORT,
     for level in range(depth):
         rows = rows.withColumn("seg", F.coalesce(F.get("segments", F.lit(level)), F.lit("")))
         children = rows.groupBy("host", "template", "seg").agg(*counts)
-        parents = children.groupBy("host", "template").agg(F.sum("n").alias("pn"), F.sum("lab").alias("plab"), F.sum("bads").alias("pbads"))
-        near = children.where((F.col("n") >= support) & (F.col("lab") > 0)).join(parents, ["host", "template"])
-        rest = F.col("plab") - F.col("lab")
-        ratio = lambda a, b: F.try_divide(a.cast("double"), b.cast("double"))
-        p1, p2, p = ratio(F.col("bads"), F.col("lab")), ratio(F.col("pbads") - F.col("bads"), rest), ratio(F.col("pbads"), F.col("plab"))
-        differs = (p1 - p2) * (p1 - p2) > z * z * p * (1 - p) * (ratio(F.lit(1), F.col("lab")) + ratio(F.lit(1), rest))
-        literal = near.where((F.col("n") >= share * F.col("pn")) & (rest > 0) & differs).select("host", "template", "seg", F.lit(True).alias("literal"))
-        literal = written(literal, "segments")  # else each level's plan would hold all plans above it, many times over
-        rows = rows.join(literal, ["host", "template", "seg"], "left")
-        step = F.when(F.col("literal"), F.col("seg")).when(F.col("seg") != "", "*").otherwise("")
-        rows = rows.withColumn("template", F.when(F.col("seg") == "", F.col("template")).otherwise(F.concat("template", F.lit("/"), step))).drop("literal", "seg")
+        # written, else each level's plan would hold all plans above it, many times over
+        branches = written(_branches(children, support, share, z, alpha), "branches")
+        rows = rows.join(branches, ["host", "template", "seg"], "left")
+        step = F.when(F.col("seg") == "", "").otherwise(F.concat(F.lit("/"), F.coalesce("branch", F.lit("*"))))
+        rows = rows.withColumn("template", F.concat("template", step)).drop("branch", "seg")
     tail = F.when(F.size("segments") > depth, "/**").otherwise("")
     return rows.withColumn("template", F.concat("template", tail)).drop("segments")
 
 
-def blocked_templates(rows: DataFrame, alpha: float = ALPHA, purity: float = PURITY) -> DataFrame:
-    """``(host, template)`` of the templates whose smoothed bad rate reaches ``purity``."""
-    t = rows.where(F.col("bad").isNotNull()).groupBy("host", "template").agg(F.count("*").alias("lab"), F.sum("bad").alias("bads"))
-    hosts = t.groupBy("host").agg(F.sum("lab").alias("hlab"), F.sum("bads").alias("hbads"))
-    world = t.agg(F.sum("lab").alias("wlab"), F.sum("bads").alias("wbads"))  # one row
-    both = t.join(hosts, "host").join(F.broadcast(world))
-    prior = (F.col("hbads") + alpha * F.col("wbads") / F.col("wlab")) / (F.col("hlab") + alpha)
-    return both.where((F.col("bads") + alpha * prior) / (F.col("lab") + alpha) >= purity).select("host", "template")
+def _odds(rate: Column) -> Column:
+    r = F.least(F.greatest(rate, F.lit(EDGE)), F.lit(1 - EDGE))
+    return r / (1 - r)
+
+
+def blocked_templates(rows: DataFrame, support: int = SUPPORT, alpha: float = ALPHA, purity: float = PURITY) -> DataFrame:
+    """``(host, template)`` of the templates whose smoothed purity reaches ``purity``."""
+    t = written(rows.groupBy("host", "template").agg(F.count("bad").alias("lab"), F.coalesce(F.sum("bad"), F.lit(0)).alias("bads")), "templates")
+    t = t.withColumn("domain", F.substring_index("host", ".", -2))
+    sums = lambda key, lab, bads: t.groupBy(key).agg(F.sum("lab").alias(lab), F.sum("bads").alias(bads))
+    world = t.agg(F.sum("lab").alias("wlab"), F.sum("bads").alias("wbads")).where("wlab > 0").select((F.col("wbads") / F.col("wlab")).alias("general"))  # at most one row
+    both = t.join(sums("host", "hlab", "hbads"), "host").join(sums("domain", "dlab", "dbads"), "domain").join(sums("template", "tlab", "tbads"), "template").join(F.broadcast(world))
+    general = F.col("general")
+    domain = (F.col("dbads") + alpha * general) / (F.col("dlab") + alpha)
+    host = (F.col("hbads") + alpha * domain) / (F.col("hlab") + alpha)
+    same = (F.col("tbads") + alpha * general) / (F.col("tlab") + alpha)
+    odds = _odds(host) * _odds(same) / _odds(general)
+    rate = (F.col("bads") + alpha * (odds / (1 + odds))) / (F.col("lab") + alpha)
+    return both.where((rate >= purity) & ((F.col("lab") > 0) | (F.col("tlab") >= support))).select("host", "template")
 
 
 def filter_urls(pages: DataFrame, rules: list[tuple[str, str]], labels: DataFrame | None = None) -> DataFrame:
@@ -110,26 +151,36 @@ def op1_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def _sql() -> str:
     case = lambda of: "CASE " + " ".join(f"WHEN (host = '{r.partition('/')[0]}' OR host LIKE '%.{r.partition('/')[0]}') AND starts_with(path, '/{r.partition('/')[2]}') THEN '{of(r, v)}'" for r, v in sorted(RULES, key=lambda x: -len(x[0]))) + " END"
+    odds = lambda r: f"(least(greatest({r}, {EDGE}), {1 - EDGE}) / (1 - least(greatest({r}, {EDGE}), {1 - EDGE})))"
     levels = ""
     for k in range(DEPTH):
         levels += f""",
 s{k} AS (SELECT *, coalesce(segments[{k + 1}], '') AS seg FROM r{k}),
-c{k} AS (SELECT host, template, seg, count(*) AS n, count(bad) AS lab, coalesce(sum(bad), 0) AS bads FROM s{k} GROUP BY ALL),
-p{k} AS (SELECT host, template, sum(n) AS pn, sum(lab) AS plab, sum(bads) AS pbads FROM c{k} GROUP BY ALL),
-l{k} AS (SELECT host, template, seg FROM (SELECT *, plab - lab AS rest, bads / lab AS p1, (pbads - bads) / (plab - lab) AS p2, pbads / plab AS p
-    FROM c{k} JOIN p{k} USING (host, template) WHERE n >= {SUPPORT} AND lab > 0 AND plab > lab AND n >= {SHARE} * pn)
-  WHERE (p1 - p2) * (p1 - p2) > {Z * Z} * p * (1 - p) * (1 / lab + 1 / rest)),
-r{k + 1} AS (SELECT s.* EXCLUDE (seg, template), CASE WHEN s.seg = '' THEN s.template ELSE s.template || '/' || CASE WHEN l.seg IS NULL THEN '*' ELSE s.seg END END AS template
-  FROM s{k} s LEFT JOIN l{k} l ON s.host = l.host AND s.template = l.template AND s.seg = l.seg)"""
+c{k} AS (SELECT *, sum(n) OVER (PARTITION BY host, template) AS pn FROM (SELECT host, template, seg, count(*) AS n, count(bad) AS lab, coalesce(sum(bad), 0) AS bads FROM s{k} GROUP BY ALL)),
+o{k} AS (SELECT host, template, CASE WHEN seg = '' THEN '' WHEN seg <> '*' AND n >= {SUPPORT} AND n >= {SHARE} * pn THEN seg ELSE '*' END AS key, sum(lab) AS lab, sum(bads) AS bads FROM c{k} GROUP BY ALL),
+w{k} AS (SELECT template, key, sum(lab) AS wlab, sum(bads) AS wbads FROM o{k} GROUP BY ALL),
+e{k} AS (SELECT host, template, key, lab + pseudo AS k, bads + CASE WHEN wlab > 0 THEN pseudo * wbads / wlab ELSE 0 END AS b
+  FROM (SELECT *, CASE WHEN wlab > 0 THEN least({ALPHA}::DOUBLE, wlab::DOUBLE) ELSE 0::DOUBLE END AS pseudo FROM o{k} JOIN w{k} USING (template, key) WHERE key <> '')),
+f{k} AS (SELECT *, CASE WHEN k > 0 THEN b / k END AS rate FROM e{k}),
+g{k} AS (SELECT *, lag(k) OVER w AS k0, lag(b) OVER w AS b0, lag(rate) OVER w AS rate0 FROM f{k} WINDOW w AS (PARTITION BY host, template ORDER BY rate ASC NULLS LAST, key)),
+h{k} AS (SELECT *, sum(CASE WHEN (rate - rate0) * (rate - rate0) > {Z * Z} * ((b + b0) / (k + k0)) * (1 - (b + b0) / (k + k0)) * (1 / k + 1 / k0) OR (rate IS NULL AND rate0 IS NOT NULL) THEN 1 ELSE 0 END)
+  OVER (PARTITION BY host, template ORDER BY rate ASC NULLS LAST, key) AS part FROM g{k}),
+n{k} AS (SELECT host, template, list(key ORDER BY key) AS keys, bool_or(rate IS NULL) AS nothing FROM h{k} GROUP BY host, template, part),
+l{k} AS (SELECT host, template, unnest(keys) AS seg, CASE WHEN list_contains(keys, '*') OR nothing THEN '*' WHEN len(keys) = 1 THEN keys[1] ELSE '{{' || array_to_string(keys, '|') || '}}' END AS branch FROM n{k}),
+r{k + 1} AS (SELECT s.* EXCLUDE (seg, template), s.template || CASE WHEN s.seg = '' THEN '' ELSE '/' || coalesce(l.branch, '*') END AS template
+  FROM s{k} s LEFT JOIN (SELECT * FROM l{k} WHERE seg <> '*') l ON s.host = l.host AND s.template = l.template AND s.seg = l.seg)"""
     return f"""
 WITH u AS (SELECT page_id, translate(regexp_extract(coalesce(url, ''), '(?s)^.*?://([^/?#]*)([^?#]*)', 1), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') AS host,
   regexp_extract(coalesce(url, ''), '(?s)^.*?://([^/?#]*)([^?#]*)', 2) AS path FROM pages),
 j AS (SELECT *, {case(lambda r, v: r)} AS rule, {case(lambda r, v: v)} AS said FROM u),
 r0 AS (SELECT *, CASE said WHEN 'block' THEN 1 WHEN 'allow' THEN 0 END AS bad, list_filter(string_split(path, '/'), lambda x: x <> '') AS segments, '' AS template FROM j){levels},
 done AS (SELECT * REPLACE (template || CASE WHEN len(segments) > {DEPTH} THEN '/**' ELSE '' END AS template) FROM r{DEPTH}),
-t AS (SELECT host, template, count(*) AS lab, sum(bad) AS bads FROM done WHERE bad IS NOT NULL GROUP BY ALL),
-h AS (SELECT host, sum(lab) AS hlab, sum(bads) AS hbads FROM t GROUP BY ALL), w AS (SELECT sum(lab) AS wlab, sum(bads) AS wbads FROM t),
-b AS (SELECT host, template FROM t JOIN h USING (host), w WHERE (bads + {ALPHA} * (hbads + {ALPHA} * wbads / wlab) / (hlab + {ALPHA})) / (lab + {ALPHA}) >= {PURITY})
+t AS (SELECT host, template, array_to_string(string_split(host, '.')[-2:], '.') AS domain, count(bad) AS lab, coalesce(sum(bad), 0) AS bads FROM done GROUP BY ALL),
+v AS (SELECT *, sum(lab) OVER (PARTITION BY host) AS hlab, sum(bads) OVER (PARTITION BY host) AS hbads, sum(lab) OVER (PARTITION BY domain) AS dlab, sum(bads) OVER (PARTITION BY domain) AS dbads,
+  sum(lab) OVER (PARTITION BY template) AS tlab, sum(bads) OVER (PARTITION BY template) AS tbads, sum(lab) OVER () AS wlab, sum(bads) OVER () AS wbads FROM t),
+x AS (SELECT *, wbads / wlab AS general FROM v WHERE wlab > 0),
+y AS (SELECT *, {odds(f'((hbads + {ALPHA} * ((dbads + {ALPHA} * general) / (dlab + {ALPHA}))) / (hlab + {ALPHA}))')} * {odds(f'((tbads + {ALPHA} * general) / (tlab + {ALPHA}))')} / {odds('general')} AS odds FROM x),
+b AS (SELECT host, template FROM y WHERE (bads + {ALPHA} * (odds / (1 + odds))) / (lab + {ALPHA}) >= {PURITY} AND (lab > 0 OR tlab >= {SUPPORT}))
 SELECT page_id, done.host, path, rule, coalesce(said, CASE WHEN b.host IS NULL THEN 'allow' ELSE 'block' END) AS verdict, done.template
 FROM done LEFT JOIN b ON done.host = b.host AND done.template = b.template"""
 

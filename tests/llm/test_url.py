@@ -1,8 +1,10 @@
+import random
 import re
 
+import pandas
 import pytest
 
-from tessella.llm.url_filter import RULES, filter_urls
+from tessella.llm.url_filter import ORACLE_SQL, RULES, filter_urls
 
 URLS = [
     None, "", "no scheme", "http://", "https://A.Example.ORG/es/1?x#y", "http://example.org", "http://example.org/en/15", "http://x.example.org/en/2", "http://sub.site.com/fr/1",
@@ -48,3 +50,50 @@ def test_no_labels(spark, labelled):
     df = spark.createDataFrame([(1, "http://q.net/a"), (2, "http://q.net/b")], "page_id long, url string")
     labels = spark.createDataFrame([], "page_id long, bad int") if labelled else None
     assert {r["verdict"] for r in filter_urls(df, [], labels).collect()} == {"allow"}
+
+
+def test_tree_against_sql(spark):
+    # random hosts, branches that rules label or not, variable segments, a host with half of all urls, literal stars, empty segments
+    duckdb = pytest.importorskip("duckdb")
+    rng = random.Random(5)
+    hosts = ["big.com", "a.example.org", "b.example.org", "quiet.net", "loud.net", "x.big.com", "", "single"]
+    urls = []
+    for k in range(4000):
+        host = "big.com" if k % 2 else rng.choice(hosts)
+        path = [rng.choice(["es", "en", "fr", "de", "fr", "*", f"v{rng.randrange(500)}"])] + [rng.choice(["a", "b", "1", f"{rng.randrange(300)}"]) for _ in range(rng.randrange(5))]
+        urls.append(f"http://{host}/{rng.choice(['', '/'])}{'/'.join(path)}{rng.choice(['', '/', '?q', '#t'])}")
+    rows = [(k, u) for k, u in enumerate(urls + URLS)]
+    got = filter_urls(spark.createDataFrame(rows, "page_id long, url string"), RULES)
+    con, pages = duckdb.connect(), pandas.DataFrame(rows, columns=["page_id", "url"])
+    want = con.register("pages", pages).sql(ORACLE_SQL["op1_url_filter"])
+    assert sorted(map(tuple, got.select(*want.columns).collect()), key=str) == sorted(want.fetchall(), key=str)
+    judged = [r for r in got.where("rule is null").collect()]
+    assert {r["verdict"] for r in judged} == {"allow", "block"}
+
+
+def test_verdicts_follow_labels(spark):
+    # quiet.net has no label at all; its branches are judged by what the same branches are elsewhere
+    urls = [(k, f"http://h{k % 3}.com/{'spam' if k % 2 else 'news'}/{k}") for k in range(300)] + [(1000 + k, f"http://quiet.net/{'spam' if k % 2 else 'news'}/{k}") for k in range(40)]
+    df = spark.createDataFrame(urls, "page_id long, url string")
+
+    def blocked(bad):
+        labels = spark.createDataFrame([(k, bad(k)) for k in range(300)] + [(0, None)], "page_id long, bad int")
+        return {r["page_id"] for r in filter_urls(df, [], labels).where("page_id >= 1000 and verdict = 'block'").collect()}
+
+    assert blocked(lambda k: k % 2) == {1000 + k for k in range(1, 40, 2)}
+    assert blocked(lambda k: 1 - k % 2) == {1000 + k for k in range(0, 40, 2)}
+    assert blocked(lambda k: 0) == set()
+
+
+def test_similar_siblings_merge(spark):
+    urls = [(k, f"http://h.net/{('bad1', 'bad2', 'good1', 'good2')[k % 4]}/{k}") for k in range(400)]
+    labels = spark.createDataFrame([(k, int(k % 4 < 2)) for k in range(400)], "page_id long, bad int")
+    got = filter_urls(spark.createDataFrame(urls, "page_id long, url string"), [], labels).collect()
+    assert {r["template"] for r in got} == {"/{bad1|bad2}/*", "/{good1|good2}/*"}
+
+
+def test_equal_rules_and_long_urls(spark):
+    df = spark.createDataFrame([(1, "http://a.b/xy/z"), (2, "http://a.b/" + "s/" * 20_000), (3, "http://" + "h" * 50_000 + "/p"), (1, "http://a.b/xy/z")], "page_id long, url string")
+    got = filter_urls(df, [("a.b/xy", "block"), ("b/xy/z", "allow"), ("a.b/x/", "allow")], None).collect()
+    assert sorted((r["page_id"], r["rule"], r["verdict"]) for r in got if r["page_id"] == 1) == [(1, "a.b/xy", "block")] * 2
+    assert {r["page_id"]: r["verdict"] for r in got}[2] == "allow" and len(got) == 4
