@@ -1,17 +1,21 @@
 """Main-text extraction by tree scoring.
 
 The page becomes a tree (with the end tags that HTML lets authors leave out).
-Page furniture is pruned by element, ARIA role and class or id words. Every
-paragraph then passes points for its length and commas to its ancestors, less at
+Every paragraph passes points for its length and commas to its ancestors, less at
 each level; a container's points are discounted by the share of its text that
-lies in links. The best container is kept with those siblings that are headings,
-paragraphs of prose, or score well themselves.
+lies in links. The container with the most is the best, wherever it stands, article element
+or not; elements whose tag, ARIA role or class and id words name them page furniture
+hold no points. From the best container the way leads up while it is
+inside an ``article`` or ``main``, else one level: siblings are kept if they are headings,
+prose, or score well themselves, and boxes of links, teasers and stray text are not.
 
 Edge cases: null or empty html gives empty text; pages without any paragraph fall
 back to whatever text the body holds after pruning; malformed tags are text;
 unclosed elements end where their parent ends; references to invalid code points
 decode as HTML prescribes; nothing is capped, and the walk is iterative, so very
-deep or very long pages are fine. Repeated pages give repeated rows.
+deep or very long pages are fine. Of containers with equal values the first in the page
+is the best. Repeated pages give repeated rows, an empty table none; null ids and urls
+stay; other columns, whatever their names, are ignored.
 """
 
 from __future__ import annotations
@@ -46,6 +50,8 @@ FURNITURE = set(
 )
 MODIFIERS = set("has no with without not hide".split())
 CONTENT = set("article main content post entry story body text page".split())
+BOXES = set("ul ol div section table dl article".split())
+READERS = set("comment comments reply replies respond".split())
 KEEP = set("html body article main h1 h2 h3 h4 h5 h6 p".split())
 
 
@@ -72,6 +78,9 @@ def furniture(tag: str, attributes: str, inside_article: bool) -> bool:
             return True
         if name == "role" and value.lower() in ROLES:
             return True
+        readers = tag == "article" and inside_article and name in ("class", "id") and READERS & {w.lower() for w in _WORDS.findall(value)}
+        if readers:  # readers' comments may be articles inside the article
+            return True
         if name in ("class", "id") and tag not in KEEP - {"p"}:
             # a name such as no-sidebar says nothing, and one such as post-content outweighs its neighbours
             names = [{w.lower() for w in _WORDS.findall(x)} for x in value.split()]
@@ -180,13 +189,46 @@ def density(x: Node) -> float:
     return x.links / x.own if x.own else 0.0
 
 
-def is_menu(x: Node) -> bool:
+def is_menu(x: Node, least: float = 0.8) -> bool:
     """A list or box that is nearly all links, several of them."""
-    if x.tag not in ("ul", "ol", "div", "section", "table", "dl") or density(x) < 0.8:
+    if x.tag not in BOXES or density(x) < least:
         return False
     return sum(y.tag == "a" for y in nodes(x)) >= 3
 
 
+def value(x: Node) -> float:
+    return x.score * (1 - density(x)) * (1.25 if x.tag in ("article", "main") else 1)
+
+
+def pass_points(order: list[Node]) -> list[Node]:
+    """Each paragraph's points go to its ancestors; returned are the containers that got some, in page order."""
+    scored: dict[Node, None] = {}
+    for x in order:
+        has_block = any(isinstance(y, Node) and y.tag in BLOCK and not y.junk for y in x.items)
+        prose = x.tag in ("p", "pre", "td", "blockquote", "dd", "li") or (x.tag in BLOCK and x.tag[0] != "h" and not has_block)
+        if not prose or has_block or not x.own:
+            continue
+        points = min(x.own / 25, 1) + x.commas + min(x.own / 100, 3)
+        up, level = x.parent, 0
+        while up is not None and level < 4:
+            up.score += points / (1, 2, 6, 9)[level]
+            scored[up] = None
+            up, level = up.parent, level + 1
+    return list(scored)
+
+
+def _kept(y: Node, top: float, inside: bool) -> bool:
+    """Whether a sibling of the best container (or of what holds it) belongs to the text."""
+    if y.junk or not y.own:
+        return False
+    good = y.score > 0 and value(y) >= 0.2 * top
+    if inside:  # the article's own parts, but no boxes of links and no teasers
+        return not is_menu(y, 0.5) and (y.tag != "article" or good)
+    heading = y.tag in ("h1", "h2", "h3", "h4", "h5", "h6", "header")
+    prose = y.tag in ("p", "blockquote", "pre") and density(y) < 0.25
+    return heading or prose or (good and value(y) >= 10)
+
+
 def main_nodes(root: Node) -> list[Node]:
     """The best container with its kept siblings, in page order."""
     order = nodes(root)
@@ -198,39 +240,30 @@ def main_nodes(root: Node) -> list[Node]:
     for x in order:
         x.own = x.links = x.commas = 0
     measure(order)
-    scored: list[Node] = []
-    for x in order:
-        has_block = any(isinstance(y, Node) and y.tag in BLOCK and not y.junk for y in x.items)
-        prose = x.tag in ("p", "pre", "td", "blockquote", "dd", "li") or (x.tag in BLOCK and x.tag[0] != "h" and not has_block)
-        if not prose or has_block or not x.own:
-            continue
-        points = min(x.own / 25, 1) + x.commas + min(x.own / 100, 3)
-        up, level = x.parent, 0
-        while up is not None and level < 4:
-            up.score += points / (1, 2, 6, 9)[level]
-            scored.append(up)
-            up, level = up.parent, level + 1
+    scored = pass_points(order)
     if not scored:
         return [root]
-    value = lambda x: x.score * (1 - density(x)) * (1.25 if x.tag in ("article", "main") else 1)
-    best = max(dict.fromkeys(scored), key=value)
-    up = best.parent
-    while up is not None:  # a part of an article stands for the article
+    best = at = max(scored, key=value)
+    top, kept = value(best), [best]
+    framed, up = set(), best.parent
+    while up is not None:  # all that stands inside the outermost article or main
         if up.tag in ("article", "main"):
-            best = up
+            framed.add(up)
         up = up.parent
-    if best.parent is None or best.tag in ("article", "main"):
-        siblings = [y for y in (best.parent.items if best.parent else [best]) if y is best or isinstance(y, Node) and not y.junk and y.tag == best.tag]
-        return [y for y in siblings if y is best or value(y) >= 0.2 * value(best)]
-    kept = []
-    for y in best.parent.items:
-        if y is best:
-            kept.append(y)
-        elif isinstance(y, Node) and not y.junk and y.own:
-            heading = y.tag in ("h1", "h2", "h3", "h4", "h5", "h6", "header")
-            prose = y.tag in ("p", "blockquote", "pre") and density(y) < 0.25
-            if heading or prose or (y.score and value(y) >= max(10, 0.2 * value(best))):
-                kept.append(y)
+    while at.parent is not None:
+        inside, same = bool(framed), at.tag in ("article", "main")
+        around = []
+        for y in at.parent.items:
+            if y is at:
+                around += kept
+            elif isinstance(y, str):
+                around += [y] * inside
+            elif (same and not inside and not y.junk and y.tag == at.tag and value(y) >= 0.2 * top) or ((inside or not same) and _kept(y, top, inside)):
+                around.append(y)
+        at, kept = at.parent, around
+        framed.discard(at)
+        if not inside or (at.tag in ("article", "main") and not framed):
+            break
     return kept
 
 

@@ -9,7 +9,7 @@ import numpy as np
 import pytest
 
 from tessella.llm import chat, pii, quality
-from tessella.llm.html_extract import extract, extract_html
+from tessella.llm.html_extract import blocks, extract, extract_html, tree
 
 GOOD = "The river rose over night, and the people of the town moved their boats. Nobody was hurt in the end."
 
@@ -56,6 +56,35 @@ def test_html(spark):
     assert len(got) == len(rows) and got[0]["text"] == PAGES[next(iter(PAGES))] and got[len(PAGES)]["text"] == "" and all(r["n_chars"] == len(r["text"]) for r in got.values())
 
 
+LONG = "A first clause, a second clause, and a third, which goes on, and on, until there are enough words, commas, and letters for a paragraph of prose."
+#: Pages whose furniture has no telling names: only points and link density find the text.
+SCORED = {
+    # no article element: boxes of teasers and links beside the content
+    f"<body><div><p>Teaser one</p><a href=1>more</a></div><div><h1>T</h1><p>{LONG}<p>{LONG}</div><div><p>Short, stray.</p></div></body>": f"T\n{LONG}\n{LONG}",
+    # the text stands outside the only article, which is a teaser
+    f"<body><div><article><p>Read next</p></article></div><div><p>{LONG}<p>{LONG}<p>{LONG}</div></body>": f"{LONG}\n{LONG}\n{LONG}",
+    # nested articles: the inner ones are a teaser and a reader's comment
+    f'<article><h1>T</h1><div><p>{LONG}<p>{LONG}</div><article><p>Next</p></article><article class="comment"><p>{LONG}</p></article><p>End.</article>': f"T\n{LONG}\n{LONG}\nEnd.",
+    # siblings heavy with links, inside the article and outside
+    f"<main><article><p>{LONG}</p><div>See <a>one thing</a> <a>another thing</a> <a>a third</a></div></article><div><p><a>x</a> <a>y</a> <a>z</a></div></main>": LONG,
+    # sections of one article stay together, whatever their length, with captions and lists
+    f"<article><section><h2>A</h2><p>{LONG}<p>{LONG}<p>{LONG}</section><section><h2>B</h2><p>Tiny</section><figure><figcaption>Cap</figcaption></figure><ul><li>one<li>two</ul></article><div><p>Bye</div>": f"A\n{LONG}\n{LONG}\n{LONG}\nB\nTiny\nCap\none\ntwo",
+    # the same text split over two articles
+    f"<div><article><p>{LONG}</article><article><p>{LONG}</article><article><p>No</article></div>": f"{LONG}\n{LONG}",
+}
+
+
+def test_html_points_choose(spark):
+    for page, text in SCORED.items():
+        assert extract(page) == text, page
+        printed = "\n".join(blocks([tree(page)]))  # all that no tag and no name marks as furniture
+        assert printed != text, page
+    empty = spark.createDataFrame([], "page_id long, url string, html string, text string")
+    assert extract_html(empty).collect() == []
+    odd = extract_html(spark.createDataFrame([(None, None, "<p>x", 1, "m"), (None, None, "<p>x", 1, "m")], "page_id long, url string, html string, n_chars int, text string")).collect()
+    assert [tuple(r) for r in odd] == [(None, None, "x", 1)] * 2
+
+
 BASE = [("email", r"[A-Za-z0-9._%+-]+@[A-Za-z0-9-]+(\.[A-Za-z0-9-]+)+"), ("ip", r"[0-9]+(\.[0-9]+)(\.[0-9]+)(\.[0-9]+)"), ("card", r"[0-9]([\x20-]?[0-9])+"), ("phone", r"\+[0-9][\x20().0-9-]+[0-9]")]
 
 AT_RUN = {"ip": "(?<![0-9])", "email": "(?<![A-Za-z0-9._%+-])"}  # in these long texts nothing starts inside a run: saves the plain patterns a quadratic search
