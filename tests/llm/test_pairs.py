@@ -162,3 +162,44 @@ def test_sparse_links(spark, monkeypatch, audit):
     got = {r["vec_id"]: r for r in N.near_links(spark.createDataFrame([(k, v.tolist(), 1) for k, v in enumerate(x)], "vec_id long, embedding array<double>, label int")).collect()}
     assert n.sum() > 0 and {k: (r["n_links"], r["component_id"]) for k, r in got.items()} == {k: (n[k], want[k]) for k in want}
     assert N.last_recall == 1.0
+
+
+def test_repeated_ids_with_other_vectors(spark):
+    rows = [(5, [1.0, 0.0], 0), (5, [0.0, 1.0], 0), (6, [1.0, 0.01], 0), (7, [0.0, 2.0], 0), (7, [0.0, 2.0], 0), (8, [1.0, 0.0], 1)]
+    got = N.near_links(spark.createDataFrame(rows, "vec_id long, embedding array<double>, label int")).collect()
+    assert sorted(map(tuple, got)) == sorted([(5, 1, 5, True), (5, 2, 5, True), (6, 1, 5, False), (7, 2, 5, False), (7, 2, 5, False), (8, 0, 8, True)])
+
+
+def test_thousands_of_links_and_recall(spark, monkeypatch, caplog):
+    # groups of 2 to 60 near copies in a random background: the descent itself must find the links, no exact comparison of all
+    monkeypatch.setattr(N, "EXACT", 0)
+    rng, rows = np.random.default_rng(9), []
+    for g in range(150):
+        base = rng.normal(size=48)
+        for _ in range(int(rng.choice([1, 2, 3, 8, 20, 60], p=[0.3, 0.2, 0.2, 0.15, 0.1, 0.05]))):
+            rows.append((len(rows), (base + 0.2 * rng.normal(size=48)).tolist(), g % 2))
+    rows += [(len(rows) + k, rng.normal(size=48).tolist(), k % 2) for k in range(600)]
+    x = np.array([r[1] for r in rows])
+    x /= np.linalg.norm(x, axis=1)[:, None]
+    label = np.array([r[2] for r in rows])
+    near = (x @ x.T >= 0.93) & (label[:, None] == label)
+    n = near.sum(1) - 1
+    want = joined(range(len(x)), [(int(a), int(b)) for a, b in zip(*np.nonzero(np.triu(near, 1)), strict=True)])
+    with caplog.at_level("INFO", logger=N.__name__):
+        got = {r["vec_id"]: r for r in N.near_links(spark.createDataFrame(rows, "vec_id long, embedding array<double>, label int")).collect()}
+    found = sum(r["n_links"] for r in got.values())
+    assert n.sum() > 4000 and "exact comparison of all" not in caplog.text and "links" in caplog.text
+    print(f"recall {found / n.sum():.4f} of {n.sum() // 2} links")
+    assert found >= 0.98 * n.sum() and all(r["n_links"] <= n[k] for k, r in got.items())
+    assert sum(got[k]["component_id"] != want[k] for k in got) <= 0.02 * len(got)
+
+
+def test_recapture(spark, monkeypatch):
+    # links too rare for a sample, more nodes than are compared exactly: new tables tell
+    for name, value in {"EXACT": 0, "AUDIT": 64, "AUDIT_MAX": 64}.items():
+        monkeypatch.setattr(N, name, value)
+    x = sparse(1200, 12)
+    near = x @ x.T >= 0.93
+    n = near.sum(1) - 1
+    got = {r["vec_id"]: r["n_links"] for r in N.near_links(spark.createDataFrame([(k, v.tolist(), 1) for k, v in enumerate(x)], "vec_id long, embedding array<double>, label int")).collect()}
+    assert n.sum() > 0 and N.last_recall is not None and sum(got.values()) >= 0.9 * n.sum() and all(v <= n[k] for k, v in got.items())
