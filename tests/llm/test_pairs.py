@@ -54,9 +54,12 @@ def corpus():
     return [(k, t or "") for k, t in out]
 
 
-@pytest.mark.parametrize("pivots", [1, 12])
-def test_jaccard(spark, monkeypatch, pivots):
+@pytest.mark.parametrize(("pivots", "hot", "pairs"), [(1, 10, 3000), (12, 10, 10**7), (2, 1, 10**7)])
+def test_jaccard(spark, monkeypatch, pivots, hot, pairs):
+    # few pivots, hot buckets dealt over tasks, rounds of few pairs: the links are the same
     monkeypatch.setattr(J, "PIVOTS", pivots)
+    monkeypatch.setattr(J, "HOT", hot)
+    monkeypatch.setattr(J, "ROUND_PAIRS", pairs)
     monkeypatch.setattr(J, "GROWTH", 4)
     docs = corpus() + [(2000, None), (2001, "a b"), (2002, " A  b\n"), (2003, "")]
     sets = {k: shingles(t) for k, t in docs}
@@ -67,6 +70,34 @@ def test_jaccard(spark, monkeypatch, pivots):
     assert {k: r["n_shingles"] for k, r in got.items()} == {k: len(s) for k, s in sets.items()}
 
 
+def test_orders_come_before_texts(spark, monkeypatch):
+    # pairs that meet under the first order only are gone before any text is fetched; no link is lost
+    seen = []
+
+    def counted(docs, pairs, *more):
+        seen.append({tuple(r) for r in pairs.collect()})
+        return verify(docs, pairs, *more)
+
+    def passed(pairs, sets):
+        before.append(pairs.count())
+        return intersect(pairs, sets)
+
+    before, verify, intersect = [], J.verified, J.intersected
+    monkeypatch.setattr(J, "verified", counted)
+    monkeypatch.setattr(J, "intersected", passed)
+    docs, rng = corpus(), random.Random(8)
+    for k in range(200):  # pairs that share a quarter of their shingles: too little for a link
+        own = [f"v{rng.randrange(900)}" for _ in range(40)]
+        docs += [(3000 + 2 * k, " ".join(own)), (3001 + 2 * k, " ".join(own[:12] + [f"u{rng.randrange(900)}" for _ in range(28)]))]
+    sets = {k: shingles(t) for k, t in docs}
+    J.jaccard_components(spark.createDataFrame(docs, "doc_id long, text string")).collect()
+    assert sum(before) > sum(map(len, seen)) > 0
+    firsts = {frozenset(s): k for k, s in reversed(list(sets.items()))}
+    links = {(a, b) for a in firsts.values() for b in firsts.values() if a < b and sets[a] and 100 * len(sets[a] & sets[b]) >= 85 * len(sets[a] | sets[b])}
+    met = set().union(*seen)
+    assert joined(firsts.values(), links & met) == joined(firsts.values(), links)
+
+
 def test_jaccard_edges(spark, awkward, nothing):
     rows = J.jaccard_components(awkward).collect()
     assert len(rows) == awkward.count()
