@@ -9,13 +9,14 @@ fewest errors, separates accepted from rejected texts, and a slope fitted on
 the same scores turns the distance from the cut into a value from 0 to 1.
 
 The model is fitted on at most ``MAX_TRAIN`` labelled rows (a bound, chosen by hash
-of the id): about 40 MB on the driver. Scoring is a map over all rows with the
+of the id, that holds for labels and again for the rows they meet): about 40 MB on the driver. Scoring is a map over all rows with the
 weights (some KB) in the closure; nothing is shuffled.
 
 Edge cases: null or empty texts are scored like any other, on their (empty)
 features; null labels are not used; several labels of a document are several
 training rows; with only one kind of label, or none, every score is the smoothed
-share of label 1; null ids are not held out and match no label; other columns are ignored.
+share of label 1; null ids are not held out and match no label; an empty table gives no rows; other
+columns, whatever their names, are ignored (``accepted`` keeps them).
 """
 
 from __future__ import annotations
@@ -31,6 +32,8 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.types import DoubleType, StructField, StructType
 
+from .store import written
+
 MAX_TRAIN = 12_000
 SHAPES, BINS = 384, 6
 _CLASS = bytearray(b"x" * 256)  # letters of any case and all non-ASCII bytes by class; others stand for themselves
@@ -68,7 +71,7 @@ def _features(text: str | None) -> tuple[np.ndarray, np.ndarray]:
     )
     dense[16:] = np.sqrt(counts[_PUNCTUATION] / n)
     for form, k in forms.items():
-        shapes[zlib.crc32(form[:40]) % SHAPES] += k
+        shapes[zlib.crc32(form) % SHAPES] += k
     return dense, np.sqrt(shapes / n)
 
 
@@ -145,7 +148,9 @@ def train(docs: DataFrame, labels: DataFrame, max_train: int = MAX_TRAIN) -> Mod
                 c = b.iloc[a : a + 256]
                 yield pd.DataFrame({"doc_id": c["doc_id"], "y": c["quality"], "x": [r.tobytes() for r in features(c["text"].tolist())]})
 
-    got = sorted(rows.mapInPandas(run, "doc_id long, y int, x binary").collect(), key=lambda r: (r["doc_id"], r["y"], bytes(r["x"])))[: 2 * max_train]
+    # ids may repeat in docs: the bound holds for the rows that meet, before any of them reaches the driver
+    met = rows.mapInPandas(run, "doc_id long, y int, x binary").orderBy(F.xxhash64("doc_id"), "doc_id", "y", "x").limit(max_train)
+    got = sorted(written(met, "labelled").collect(), key=lambda r: (r["doc_id"], r["y"], bytes(r["x"])))
     if not got:
         return Model()
     return Model().fit(np.stack([np.frombuffer(r["x"], np.float32) for r in got]), np.array([r["y"] for r in got]))

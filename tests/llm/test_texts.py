@@ -4,6 +4,7 @@ import hashlib
 import math
 import random
 import re
+import zlib
 
 import numpy as np
 import pytest
@@ -36,6 +37,36 @@ def test_quality(spark, awkward, nothing):
     assert quality.Model().fit(quality.features(["a", "b"]), np.array([1, 1])).score([""])[0] == pytest.approx(0.75)
 
 
+def test_quality_of_the_query(spark):
+    # the contract's split, scores of all rows, and accuracy on documents that training never saw
+    sf = "/root/testdata/sf0.1"
+    labels = {r["doc_id"]: r["quality"] for r in spark.read.parquet(f"{sf}/labels.parquet").where("quality is not null").collect()}
+    rows = quality.op5_quality(spark, sf).collect()
+    assert len(rows) == spark.read.parquet(f"{sf}/documents.parquet").count()
+    assert all(r["held_out"] == (zlib.crc32(str(r["doc_id"]).encode()) % 3 == 1) and 0 <= r["score"] <= 1 and r["predicted"] == int(r["score"] >= 0.5) for r in rows)
+    right = [r["predicted"] == labels[r["doc_id"]] for r in rows if r["held_out"] and r["doc_id"] in labels]
+    assert len(right) > 500 and np.mean(right) > 0.98
+
+
+def test_quality_bound_with_repeated_ids(spark):
+    # null labels, several labels of an id, and an id that repeats in docs: never more rows than the bound
+    docs = spark.createDataFrame([(k % 3 if k < 300 else k, f"text {'!' * (k % 7)} number {k}") for k in range(400)], "doc_id long, text string")
+    labels = spark.createDataFrame([(0, 1), (0, 0), (1, None), (2, 0), (None, 1)] + [(k, k % 2) for k in range(300, 400)], "doc_id long, quality int")
+    shapes = []
+    fit = quality.Model.fit
+
+    class Seen(quality.Model):
+        def fit(self, x, y, **more):
+            shapes.append(len(y))
+            return fit(self, x, y, **more)
+
+    with pytest.MonkeyPatch.context() as m:
+        m.setattr(quality, "Model", Seen)
+        quality.train(docs, labels, max_train=50)
+        quality.train(docs, labels, max_train=10_000)
+    assert shapes[0] == 50 and shapes[1] == 100 + 100 + 100 + 100
+
+
 PAGES = {
     '<html><head><title>T</title><style>p{}</style></head><body><nav><a href=1>menu</a></nav><article><h1>Head</h1><p>One, two &amp;\n three&nbsp;four<p><b>Bold<br>line<p>x</article><footer>foot</footer></body></html>': "Head\nOne, two & three four\nBold line\nx",
     '<div class="menu"><ul><li><a>a</a><li><a>b</a><li><a>c</a></ul></div><div id=content><h1>Hi</h1><p>Some words, more words, and yet more words to read here.<p>Three<div class="comments"><p>Nice, very, nice, lots, of, commas</div></div><aside>side</aside>': "Hi\nSome words, more words, and yet more words to read here.\nThree",
