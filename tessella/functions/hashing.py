@@ -12,7 +12,9 @@ MULTIPLIER, SHIFT = 0x5BD1E995, 15
 def hash_sql(w: str, seed: int) -> str:
     """Spark SQL for the hash of string expression ``w``; a bigint from 0 to 2**32 - 1."""
     m = f"(((h ^ CASE WHEN b > 127 THEN b + 4294967040 ELSE b END) * {MULTIPLIER}) & 4294967295)"
-    data = f"transform(sequence(1, octet_length({w})), i -> cast(conv(substring(hex({w}), 2 * i - 1, 2), 16, 10) AS bigint))"
+    plain = f"transform(sequence(1, char_length({w})), i -> cast(ascii(substring({w}, i, 1)) AS bigint))"
+    coded = f"transform(sequence(1, octet_length({w})), i -> cast(conv(substring(hex({w}), 2 * i - 1, 2), 16, 10) AS bigint))"
+    data = f"CASE WHEN octet_length({w}) = char_length({w}) THEN {plain} ELSE {coded} END"  # ASCII alone is the common and much cheaper case
     return f"CASE WHEN {w} = '' THEN cast({seed} AS bigint) ELSE aggregate({data}, cast({seed} AS bigint), (h, b) -> {m} ^ shiftright({m}, {SHIFT})) END"
 
 

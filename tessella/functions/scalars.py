@@ -52,3 +52,15 @@ def cosine(a: Column | str, b: Column | str) -> Column:
     a, b = _col(a), _col(b)
     dot = lambda x, y: F.aggregate(F.zip_with(x, y, lambda p, q: p.cast("double") * q), F.lit(0.0), lambda s, v: s + v)
     return F.try_divide(dot(a, b), F.sqrt(dot(a, a)) * F.sqrt(dot(b, b)))
+
+
+def linear(x: Column | str, w: Column, bias: float = 0.0) -> Column:
+    """A linear head: the product of an array with weights, and a bias."""
+    return F.aggregate(F.zip_with(_col(x), w, lambda p, q: p.cast("double") * q), F.lit(bias), lambda a, v: a + v)
+
+
+def unit_vector(x: Column | str) -> Column:
+    """The array as doubles, over its length; null if that is 0."""
+    x = _col(x).cast("array<double>")
+    length = F.sqrt(F.aggregate(x, F.lit(0.0), lambda a, v: a + v * v))
+    return F.transform(x, lambda v: F.try_divide(v, length))

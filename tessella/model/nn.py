@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import zlib
+
 import numpy as np
 
 _A = np.array([0.254829592, -0.284496736, 1.421413741, -1.453152027, 1.061405429])
@@ -98,6 +100,27 @@ class Network:
         return g
 
 
+class UnitRandom:
+    """Uniform numbers, as ``Generator.random`` gives them, that depend on a row's unit and the draw alone."""
+
+    def __init__(self, seed: int, units: list):
+        self.own = np.array([zlib.crc32(str(u).encode()) | zlib.crc32(str(u).encode(), 1) << 32 for u in units], np.uint64)
+        self.draw = np.uint64(seed)
+
+    def random(self, shape: tuple[int, int]) -> np.ndarray:
+        with np.errstate(over="ignore"):
+            self.draw += np.uint64(1)
+            x = self.own[:, None] + self._mixed(self.draw + np.arange(shape[1], dtype=np.uint64) * np.uint64(0x9E3779B97F4A7C15))[None]
+            return (self._mixed(x) >> np.uint64(11)) * 2.0**-53
+
+    @staticmethod
+    def _mixed(x: np.ndarray) -> np.ndarray:
+        """The finaliser of SplitMix64 (Steele, Lea and Flood, 2014)."""
+        x = (x ^ (x >> np.uint64(30))) * np.uint64(0xBF58476D1CE4E5B9)
+        x = (x ^ (x >> np.uint64(27))) * np.uint64(0x94D049BB133111EB)
+        return x ^ (x >> np.uint64(31))
+
+
 class AdamW:
     """Adam with decoupled weight decay; gradients are clipped by their norm together."""
 

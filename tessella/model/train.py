@@ -24,7 +24,8 @@ from ..operators.loss import PHASES, PRESETS as LOSSES, Phase, phase_of
 from ..plans.encoder import EncoderModel
 from ..plans.formula import lowered
 from ..sources.roles import Target
-from .nn import AdamW, Network
+from ..sources.shared import written
+from .nn import AdamW, Network, UnitRandom
 from .schedules import cosine_lr, onecycle_lr, step_lr
 
 #: Named sizes: hidden widths and epochs.
@@ -49,15 +50,22 @@ def _apply(x: np.ndarray, transform: str) -> np.ndarray:
 
 
 class Trainer:
-    """``fit`` on units and observations, then ``predict``; ``save`` and ``load`` keep everything that either needs."""
+    """``fit`` on units and observations, then ``predict``; ``save`` and ``load`` keep everything that either needs.
 
-    def __init__(self, formula: str, targets: list[Target], hidden: tuple[int, ...] = (64, 32), epochs: int = 50, batch: int = 256, lr: float = 1e-3, schedule: str = "none", patience: int = 20, test_share: float = 0.2, dropout: float = 0.1, seed: int = 42, loss: str | list[Phase] = "phased", boundaries: tuple[int, ...] = PHASES, max_train: int = 100_000, callback=None, progress: str | None = None):
+    ``unknown_features`` adds two inputs: the share of a unit's weight in items that are unknown (found in fewer than
+    ``min_units`` units, or not seen in training), and the number of such rows. ``clip`` bounds the gradient's norm;
+    ``min_delta`` is the least gain that counts as one; the rate rises over the first ``warmup`` epochs. With ``checkpoint``
+    everything is saved there every ``checkpoint_every`` epochs: ``load`` it and ``fit(.., resume=True)`` goes on.
+    """
+
+    def __init__(self, formula: str, targets: list[Target], hidden: tuple[int, ...] = (64, 32), epochs: int = 50, batch: int = 256, lr: float = 1e-3, schedule: str = "none", patience: int = 20, test_share: float = 0.2, dropout: float = 0.1, seed: int = 42, loss: str | list[Phase] = "phased", boundaries: tuple[int, ...] = PHASES, max_train: int = 100_000, callback=None, progress: str | None = None, unknown_features: bool = False, min_units: int = 1, clip: float = 1.0, min_delta: float = 0.0, warmup: int = 0, checkpoint: str | None = None, checkpoint_every: int = 10):
         self.formula, self.targets, self.hidden, self.epochs, self.batch, self.lr = formula, targets, tuple(hidden), epochs, batch, lr
         self.schedule, self.patience, self.test_share, self.dropout, self.seed, self.loss, self.max_train, self.callback = schedule, patience, test_share, dropout, seed, loss, max_train, callback
         self.phases = list(PHASED) if loss == "phased" else [LOSSES[loss]] if isinstance(loss, str) else list(loss)
         self.boundaries, self.progress = tuple(boundaries)[: len(self.phases) - 1], progress
         if len(self.phases) != len(self.boundaries) + 1 or list(self.boundaries) != sorted(self.boundaries):
             raise ValueError("n phases need n - 1 ascending boundaries")
+        self.unknown_features, self.min_units, self.clip, self.min_delta, self.warmup, self.checkpoint, self.checkpoint_every = unknown_features, min_units, clip, min_delta, warmup, checkpoint, checkpoint_every
         self.encoder: EncoderModel | None = None
         self.net: Network | None = None
         self.scalers: dict[str, tuple[float, float]] = {}
@@ -70,13 +78,31 @@ class Trainer:
         return next((s.columns[0] for s in self.encoder.specs if s.source == "obs" and s.kind in ("hash", "embed")), None)
 
     def _certain(self, table: DataFrame, obs: DataFrame | None) -> DataFrame:
-        """Adds ``_sure``: 1 less the share of a unit's weight in items that training has not seen."""
+        """Adds ``_sure``: 1 less the share of a unit's weight in unknown items; and the unknown features to the others, if wanted."""
         if self.known is None or obs is None:
-            return table.withColumn("_sure", F.lit(1.0))
+            bare = table.withColumn("_sure", F.lit(1.0))
+            return bare.withColumn("features", F.concat("features", F.array(F.lit(0.0), F.lit(0.0)))) if self.unknown_features and self.known is not None else bare
         weight = F.col("weight") if "weight" in obs.columns else F.lit(1.0)
         rows = obs.select("unit_id", F.col(self._item_column()).cast("string").alias("item"), weight.alias("weight"))
-        share = vocab.unknown_share(rows, self.known).select("unit_id", F.col("confidence").alias("_sure"))
-        return table.join(share, "unit_id", "left").fillna({"_sure": 1.0})
+        share = vocab.unknown_share(rows, self.known).select("unit_id", F.col("confidence").alias("_sure"), F.col("unknown_count").cast("double").alias("_lost"))
+        both = table.join(share, "unit_id", "left").fillna({"_sure": 1.0, "_lost": 0.0})
+        if self.unknown_features:
+            both = both.withColumn("features", F.concat("features", F.array(1 - F.col("_sure"), F.col("_lost"))))
+        return both.drop("_lost")
+
+    def _known(self, obs: DataFrame, column: str) -> DataFrame:
+        rows = obs.select("unit_id", F.col(column).cast("string").alias(column))
+        return vocab.in_units(rows, column, self.min_units) if self.min_units > 1 else vocab.alphabetical(rows, column)
+
+    def summary(self) -> str:
+        """What the model is, line by line."""
+        lines = [f"formula   {self.formula}", f"targets   {', '.join(f'{t.name} ({t.task})' for t in self.targets)}", f"network   {' > '.join(map(str, self.hidden))}, dropout {self.dropout}, {self.n_params} parameters"]
+        lines += [f"training  {self.schedule} rate {self.lr}, batch {self.batch}, {self.epochs} epochs, patience {self.patience}"]
+        if self.encoder is not None:
+            lines += [f"  {x.name:<8}{x.kind} of {', '.join(x.columns)} ({x.source})" for x in self.encoder.specs]
+        if self.result.history:
+            lines.append(f"best      epoch {self.result.best_epoch}, test loss {self.result.best_loss:.6g}")
+        return "\n".join(lines)
 
     @classmethod
     def preset(cls, name: str, formula: str, targets: list[Target], **more) -> Trainer:
@@ -103,7 +129,7 @@ class Trainer:
             column = column.combine_chunks() if isinstance(column, pa.ChunkedArray) else column
             return column.flatten().to_numpy(zero_copy_only=False)
 
-        x = flat("features").astype(float).reshape(n, encoder.continuous_dim)
+        x = flat("features").astype(float).reshape(n, -1) if n else np.zeros((0, encoder.continuous_dim))
         return x, [flat(f"ids_{name}_{column}").astype(np.int64).reshape(n, slots) for name, column, slots, _, _ in encoder.embeddings]
 
     # --- fitting
@@ -115,10 +141,13 @@ class Trainer:
         if not resume or self.encoder is None:
             self.encoder = lowered(self.formula, units, obs).fit(units, obs)
             column = self._item_column()
-            self.known = vocab.alphabetical(obs.select(F.col(column).cast("string").alias(column)), column).persist() if column else None
+            self.known = written(self._known(obs, column), "known") if column and obs is not None else None
         marked = split.train_test(labelled.select("unit_id"), self.test_share, self.seed)
         chosen = marked.orderBy(F.xxhash64(F.lit(self.seed), "unit_id"), "unit_id").limit(self.max_train)
-        rows = self._table(labelled.join(chosen.select("unit_id"), "unit_id", "left_semi"), obs, self.encoder).join(chosen, "unit_id").toArrow().sort_by("unit_id")
+        table = self._table(labelled.join(chosen.select("unit_id"), "unit_id", "left_semi"), obs, self.encoder)
+        if self.unknown_features:
+            table = self._certain(table, obs).drop("_sure")
+        rows = table.join(chosen, "unit_id").toArrow().sort_by("unit_id")
         x, ids = self._arrays(rows, self.encoder)
         test = np.array(rows.column("is_test").to_pylist(), bool)
         raw = {t.name: np.array(rows.column(t.name).to_pylist(), float) for t in self.targets}
@@ -132,7 +161,7 @@ class Trainer:
             heads = {t.name: t.num_classes if t.task == "classification" else 1 for t in self.targets}
             sizes = [(slots, size, dim) for _, _, slots, size, dim in self.encoder.embeddings]
             self.net = Network(x.shape[1], sizes, self.hidden, heads, self.dropout, self.seed)
-            self.optimizer, self.epoch, self.result = AdamW(self.net.p), 0, Result()
+            self.optimizer, self.epoch, self.result = AdamW(self.net.p, clip=self.clip), 0, Result()
         x = (x - self.inputs[0]) / self.inputs[1]
         rng = np.random.default_rng(self.seed + self.epoch)
         train, held = np.flatnonzero(~test), np.flatnonzero(test)
@@ -157,9 +186,12 @@ class Trainer:
             if self.progress:
                 Path(self.progress).write_text(json.dumps(row | {"epochs": self.epochs, "best_epoch": self.result.best_epoch, "best_loss": min(self.result.best_loss, held_loss)}))
             waited += 1
-            if held_loss < self.result.best_loss:
+            if held_loss < self.result.best_loss - self.min_delta:
                 self.result.best_epoch, self.result.best_loss, waited = epoch, held_loss, 0
                 best = {k: v.copy() for k, v in (self.net.p | self.net.stats).items()}
+            if self.checkpoint and (epoch + 1) % self.checkpoint_every == 0:
+                self.epoch = epoch + 1
+                self.save(self.checkpoint, units.sparkSession)
             if waited >= self.patience:
                 break
         self.epoch = epoch + 1 if self.epochs else self.epoch
@@ -170,6 +202,10 @@ class Trainer:
         return self.result
 
     def _rate(self, epoch: int) -> float:
+        """The schedule's rate, rising in equal steps over the warm-up epochs."""
+        return self._scheduled(epoch) * min(1.0, (epoch + 1) / self.warmup if self.warmup else 1.0)
+
+    def _scheduled(self, epoch: int) -> float:
         if self.schedule == "step":
             return step_lr(epoch, self.lr, 100, 0.1)
         if self.schedule == "onecycle":
@@ -261,7 +297,8 @@ class Trainer:
                         columns += [pa.array(values(t, h), mask=sure < threshold), pa.array(sure)]
                     names += [t.name, f"{t.name}_confidence"]
                     if samples and t.task == "regression":
-                        rng = np.random.default_rng(seed)
+                        # masks depend on the unit, not on the batch it comes in
+                        rng = UnitRandom(seed, b.column("unit_id").to_pylist())
                         runs = np.sort(np.stack([values(t, net.latent(x, ids, rng)) for _ in range(samples)]), axis=0)
                         for label, at in (("low", int(0.05 * samples)), ("mid", samples // 2), ("high", min(samples - 1, int(0.95 * samples)))):
                             columns.append(pa.array(runs[at]))
@@ -307,7 +344,7 @@ class Trainer:
         known.write.mode("overwrite").parquet(f"{path}/known")
         buffer = io.BytesIO()
         np.savez(buffer, in_mean=self.inputs[0], in_scale=self.inputs[1], **{f"p_{k}": v for k, v in self.net.p.items()}, **{f"s_{k}": v for k, v in self.net.stats.items()}, **{f"om_{k}": v for k, v in self.optimizer.m.items()}, **{f"ov_{k}": v for k, v in self.optimizer.v.items()})
-        about = {"formula": self.formula, "targets": [asdict(t) for t in self.targets], "hidden": self.hidden, "epochs": self.epochs, "batch": self.batch, "lr": self.lr, "schedule": self.schedule, "patience": self.patience, "test_share": self.test_share, "dropout": self.dropout, "seed": self.seed, "loss": [asdict(p) for p in self.phases], "boundaries": self.boundaries, "max_train": self.max_train, "scalers": self.scalers, "epoch": self.epoch, "t": self.optimizer.t, "result": asdict(self.result)}
+        about = {"formula": self.formula, "targets": [asdict(t) for t in self.targets], "hidden": self.hidden, "epochs": self.epochs, "batch": self.batch, "lr": self.lr, "schedule": self.schedule, "patience": self.patience, "test_share": self.test_share, "dropout": self.dropout, "seed": self.seed, "loss": [asdict(p) for p in self.phases], "boundaries": self.boundaries, "max_train": self.max_train, **{k: getattr(self, k) for k in ("unknown_features", "min_units", "clip", "min_delta", "warmup")}, "scalers": self.scalers, "epoch": self.epoch, "t": self.optimizer.t, "result": asdict(self.result)}
         spark.createDataFrame([(json.dumps(about), bytearray(buffer.getvalue()))], "about string, weights binary").coalesce(1).write.mode("overwrite").parquet(f"{path}/model")
 
     @classmethod
@@ -316,7 +353,8 @@ class Trainer:
         a, w = json.loads(row["about"]), np.load(io.BytesIO(bytes(row["weights"])))
         targets = [Target(**(t | {"class_weights": tuple(t["class_weights"])})) for t in a["targets"]]
         keep = ("hidden", "epochs", "batch", "lr", "schedule", "patience", "test_share", "dropout", "seed", "boundaries", "max_train")
-        out = cls(a["formula"], targets, loss=[Phase(**p) for p in a["loss"]], **{k: a[k] for k in keep})
+        more = ("unknown_features", "min_units", "clip", "min_delta", "warmup")
+        out = cls(a["formula"], targets, loss=[Phase(**p) for p in a["loss"]], **{k: a[k] for k in keep}, **{k: a[k] for k in more if k in a})
         out.encoder = EncoderModel.load(path, spark)
         out.known = spark.read.parquet(f"{path}/known") if out._item_column() else None
         out.inputs, out.scalers = (w["in_mean"], w["in_scale"]), {k: tuple(v) for k, v in a["scalers"].items()}
@@ -324,7 +362,7 @@ class Trainer:
         out.net = Network(len(out.inputs[0]), [(s, n, d) for _, _, s, n, d in out.encoder.embeddings], out.hidden, heads, out.dropout, out.seed)
         out.net.p = {k[2:]: w[k].copy() for k in w.files if k.startswith("p_")}
         out.net.stats = {k[2:]: w[k].copy() for k in w.files if k.startswith("s_")}
-        out.optimizer, out.epoch, out.result = AdamW(out.net.p), a["epoch"], Result(**a["result"])
+        out.optimizer, out.epoch, out.result = AdamW(out.net.p, clip=out.clip), a["epoch"], Result(**a["result"])
         out.optimizer.t = a["t"]
         out.optimizer.m, out.optimizer.v = ({k[3:]: w[k].copy() for k in w.files if k.startswith(x)} for x in ("om_", "ov_"))
         return out

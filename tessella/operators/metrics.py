@@ -6,10 +6,11 @@ full precision; callers round.
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.scalars import finite
+from .order import running
 
 EPS = 1e-8
 
@@ -117,12 +118,8 @@ def coverage(df: DataFrame, thresholds: tuple[float, ...] = (0.0, 0.5, 0.8, 0.9,
 
 def _steps(df: DataFrame) -> DataFrame:
     """Per distinct score, from the highest: positives and negatives there, and sums down to it."""
-    from pyspark.sql import Window
-
     at = df.groupBy("score").agg(F.sum("label").alias("p"), F.sum(1 - F.col("label")).alias("q"))
-    # distinct scores, not rows, run through the one ordered window
-    down = Window.orderBy(F.desc("score")).rowsBetween(Window.unboundedPreceding, 0)
-    return at.select("score", "p", "q", F.sum("p").over(down).alias("tp"), F.sum("q").over(down).alias("fp"))
+    return running(at, F.desc("score"), {"tp": "p", "fp": "q"})
 
 
 def roc_auc(df: DataFrame) -> DataFrame:
@@ -136,3 +133,16 @@ def pr_auc(df: DataFrame) -> DataFrame:
     """One row ``pr_auc``: average precision, the sum of precision times the step in recall."""
     steps = _steps(df)
     return steps.agg(F.try_divide(F.sum(F.col("p") * F.col("tp") / (F.col("tp") + F.col("fp"))), F.sum("p").cast("double")).alias("pr_auc"))
+
+
+def intervals(samples: DataFrame, key: str, value: str, low: float = 0.05, high: float = 0.95) -> DataFrame:
+    """``(key, low, mid, high)``: quantiles by index of each key's sorted samples; ranked rows, no lists."""
+    w = Window.partitionBy(key)
+    rows = samples.select(key, F.col(value).alias("v"), F.row_number().over(w.orderBy(value)).alias("r"), F.count("*").over(w).alias("n"))
+    at = lambda i: F.max(F.when(F.col("r") == F.least(i + 1, F.col("n")), F.col("v")))
+    return rows.groupBy(key).agg(at(F.floor(low * F.col("n"))).alias("low"), at(F.floor(F.col("n") / 2)).alias("mid"), at(F.floor(high * F.col("n"))).alias("high"))
+
+
+def sure(prediction: Column, confidence: Column, threshold: float) -> Column:
+    """The prediction, or null where the confidence is below the threshold."""
+    return F.when(confidence >= threshold, prediction)

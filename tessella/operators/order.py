@@ -1,4 +1,4 @@
-"""Dense numbers in a total order."""
+"""Dense numbers and running sums in a total order."""
 
 from __future__ import annotations
 
@@ -26,3 +26,21 @@ def numbered(df: DataFrame, *order: Column | str, name: str = "number", one_task
     before = F.coalesce(F.sum("_n").over(Window.orderBy("_part").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
     starts = sizes.select("_part", before.alias("_before"))
     return parts.join(F.broadcast(starts), "_part").withColumn(name, F.col("_before") + F.col("_place") + 1).drop("_part", "_place", "_before")
+
+
+def running(df: DataFrame, order: Column, sums: dict[str, str], one_task: int = ONE_TASK) -> DataFrame:
+    """Adds the sums of columns, named ``{new: column}``, over all rows down to each in the order given, which must be total.
+
+    As in ``numbered``, small tables take one window; larger ones are range-partitioned and written, each part is summed
+    on its own, and the parts' totals (a row for each part) are carried over.
+    """
+    if df.limit(one_task + 1).count() <= one_task:
+        down = Window.orderBy(order).rowsBetween(Window.unboundedPreceding, 0)
+        return df.withColumns({new: F.sum(c).over(down) for new, c in sums.items()})
+    parts = written(df.repartitionByRange(order).withColumn("_part", F.spark_partition_id()), "running")
+    totals = parts.groupBy("_part").agg(*[F.sum(c).alias(f"_{new}") for new, c in sums.items()])
+    above = Window.orderBy("_part").rowsBetween(Window.unboundedPreceding, -1)
+    carried = totals.select("_part", *[F.coalesce(F.sum(f"_{new}").over(above), F.lit(0)).alias(f"_{new}") for new in sums])
+    own = Window.partitionBy("_part").orderBy(order).rowsBetween(Window.unboundedPreceding, 0)
+    both = parts.join(F.broadcast(carried), "_part")
+    return both.withColumns({new: F.sum(c).over(own) + F.col(f"_{new}") for new, c in sums.items()}).drop("_part", *[f"_{new}" for new in sums])

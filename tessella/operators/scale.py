@@ -30,5 +30,11 @@ def scaled(df: DataFrame, scaler: DataFrame, columns: list[str]) -> DataFrame:
     return both.withColumns(z).drop(*scaler.columns)
 
 
-def unscaled(x: Column, mean: float, scale: float) -> Column:
+def unscaled(x: Column, mean: Column | float, scale: Column | float) -> Column:
     return x * scale + mean
+
+
+def restored(df: DataFrame, scaler: DataFrame, columns: list[str]) -> DataFrame:
+    """What ``scaled`` came from."""
+    both = df.crossJoin(F.broadcast(scaler))  # one row
+    return both.withColumns({c: unscaled(F.col(c), F.col(f"{c}_mean"), F.col(f"{c}_scale")) for c in columns}).drop(*scaler.columns)

@@ -35,6 +35,14 @@ def top_bottom(items: DataFrame, k_top: int, k_bottom: int, by: str = "weight")
     return both.withColumn("slot", slot.cast("long")).where("slot is not null").drop("rank", "size")
 
 
+def slotted(items: DataFrame, mode: str = "all", k_top: int = 0, k_bottom: int = 0) -> DataFrame:
+    """The selected items with their places as ``slot``: heaviest first, for ``bottom`` lightest first."""
+    if mode == "top_bottom":
+        return top_bottom(items, k_top, k_bottom)
+    ranked = top(items, k_top) if mode == "top" else bottom(items, k_bottom) if mode == "bottom" else _ranked(items, True, "weight", ["item"])
+    return ranked.withColumn("slot", (F.col("rank") - 1).cast("long")).drop("rank")
+
+
 def selected(items: DataFrame, mode: str = "all", k_top: int = 0, k_bottom: int = 0) -> DataFrame:
     if mode == "all":
         return items

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from ..functions.scalars import cosine
+from ..functions.scalars import linear, unit_vector
 
 QUERY_BLOCK = 2_000
 SENTENCE = 1_000
@@ -18,16 +18,32 @@ def nearest(vectors: DataFrame, queries: DataFrame, k: int) -> DataFrame:
     of at most ``QUERY_BLOCK`` (the vectors are never shuffled), and ranks are group-limited.
     """
     n = queries.count()
+    vectors, queries = (df.select("id", unit_vector("vector").alias("vector")) for df in (vectors, queries))  # lengths are taken once, not per pair
     blocks, out = max(1, -(-n // QUERY_BLOCK)), None
     for b in range(blocks):
         block = queries.where(F.pmod(F.xxhash64("id"), F.lit(blocks)) == b) if blocks > 1 else queries
         block = block.select(F.col("id").alias("query"), F.col("vector").alias("_q"))
-        pairs = vectors.join(F.broadcast(block), F.col("id") != F.col("query")).select("query", "id", cosine("vector", "_q").alias("similarity"))
+        pairs = vectors.join(F.broadcast(block), F.col("id") != F.col("query")).select("query", "id", linear("vector", F.col("_q")).alias("similarity"))
         best = pairs.withColumn("rank", F.row_number().over(Window.partitionBy("query").orderBy(F.desc("similarity"), "id"))).where(F.col("rank") <= k)
         out = best if out is None else out.unionByName(best)
     return out
 
 
+def outliers(vectors: DataFrame, queries: DataFrame, k: int = 10) -> DataFrame:
+    """``(id, score)`` of the queries: 1 less the mean cosine with their k nearest other vectors; the higher, the more alone."""
+    return nearest(vectors, queries, k).groupBy(F.col("query").alias("id")).agg((1 - F.avg("similarity")).alias("score"))
+
+
+def clusters(vectors: DataFrame, k: int, seed: int = 1) -> DataFrame:
+    """``(id, cluster)`` by bisecting k-means on unit vectors; all vectors train, on the executors. Vectors without a direction are in none."""
+    from pyspark.ml.clustering import BisectingKMeans
+    from pyspark.ml.functions import array_to_vector
+
+    usable = F.forall("v", lambda x: x.isNotNull() & ~F.isnan(x)) & (F.size("v") > 0)
+    rows = vectors.select("id", unit_vector("vector").alias("v")).where(F.coalesce(usable, F.lit(False))).select("id", array_to_vector("v").alias("features"))
+    return BisectingKMeans(k=k, seed=seed).fit(rows).transform(rows).select("id", F.col("prediction").alias("cluster"))
+
+
 def cooccurrence(obs: DataFrame, min_count: int = 1) -> DataFrame:
     """``(a, b, n)``, a < b: in how many units two items occur together. A self-join on the unit: use it where units hold few items."""
     once = obs.select("unit_id", "item").distinct()

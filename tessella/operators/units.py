@@ -23,6 +23,17 @@ def restrict(df: DataFrame, ids: DataFrame) -> DataFrame:
     return df.join(ids.select("unit_id").distinct(), "unit_id", "left_semi")
 
 
+def requested(df: DataFrame, ids: list) -> DataFrame:
+    """``df``'s rows for a caller's list of ids, with ``place`` (from 0) in the list's order.
+
+    Ids may repeat and may have no rows: each place has a row, with nulls where there is nothing. The list is the caller's own, so it is broadcast.
+    """
+    kind = dict(df.dtypes)["unit_id"]
+    asked = df.sparkSession.createDataFrame(list(enumerate(ids)), f"place long, unit_id {kind}")
+    some = df.join(F.broadcast(asked.select("unit_id").distinct()), "unit_id", "left_semi")
+    return asked.join(some, "unit_id", "left").select("place", *df.columns)
+
+
 def has_target(target: str) -> Column:
     return finite(F.col(target).cast("double"))
 

@@ -14,23 +14,25 @@ def _numbered(values: DataFrame, *order) -> DataFrame:
     return numbered(values, *order, name="idx").select("value", "idx")
 
 
+def _counted(rows: DataFrame, column: str, n) -> DataFrame:
+    """``(value, n)`` of a column's values; missing and empty ones never."""
+    return rows.where(F.col(column).isNotNull() & (F.col(column) != "")).groupBy(F.col(column).alias("value")).agg(n.alias("n"))
+
+
 def alphabetical(rows: DataFrame, column: str, min_count: int = 1) -> DataFrame:
     """``(value, idx)`` in binary order of the values that occur ``min_count`` times; empty ones never."""
-    counts = rows.where(F.col(column).isNotNull() & (F.col(column) != "")).groupBy(F.col(column).alias("value")).agg(F.count("*").alias("n"))
-    return _numbered(counts.where(F.col("n") >= min_count), "value")
+    return _numbered(_counted(rows, column, F.count("*")).where(F.col("n") >= min_count), "value")
 
 
 def by_frequency(rows: DataFrame, column: str, top: int | None = None) -> DataFrame:
     """``(value, idx)`` from the most frequent value on, ties in binary order."""
-    counts = rows.where(F.col(column).isNotNull()).groupBy(F.col(column).alias("value")).agg(F.count("*").alias("n"))
-    out = _numbered(counts, F.desc("n"), "value")
+    out = _numbered(_counted(rows, column, F.count("*")), F.desc("n"), "value")
     return out.where(F.col("idx") <= top) if top else out
 
 
 def in_units(obs: DataFrame, column: str, min_units: int) -> DataFrame:
     """``(value, idx)`` of the values found in at least ``min_units`` units."""
-    counts = obs.where(F.col(column).isNotNull()).groupBy(F.col(column).alias("value")).agg(F.count_distinct("unit_id").alias("n"))
-    return _numbered(counts.where(F.col("n") >= min_units), "value")
+    return _numbered(_counted(obs, column, F.count_distinct("unit_id")).where(F.col("n") >= min_units), "value")
 
 
 def encoded(rows: DataFrame, column: str, vocabulary: DataFrame, out: str) -> DataFrame:

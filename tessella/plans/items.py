@@ -7,7 +7,7 @@ from dataclasses import dataclass
 from pyspark.sql import DataFrame
 
 from ..operators import encode, vocab
-from ..operators.select import selected
+from ..operators.select import selected, slotted
 from ..operators.weights import item_weights, normalised
 
 SELECTIONS, REPRESENTATIONS, NORMS, AGGREGATIONS = ("top", "bottom", "top_bottom", "all"), ("hash", "embed", "sparse", "presence"), ("raw", "norm", "log1p"), ("weight", "count")
@@ -44,11 +44,12 @@ class FittedItems:
 
     def transform(self, obs: DataFrame) -> DataFrame:
         c = self.config
-        items = normalised(selected(item_weights(obs, mode=c.aggregation), c.selection, c.k, c.k), c.norm)
+        weights = item_weights(obs, mode=c.aggregation)
+        if c.representation == "embed":
+            return encode.ids_of(slotted(weights, c.selection, c.k, c.k), self.vocabulary).withColumnRenamed("idx", "value")
+        items = normalised(selected(weights, c.selection, c.k, c.k), c.norm)
         if c.representation == "hash":
             return encode.hashed_items(items, c.dim)
-        if c.representation == "embed":
-            return encode.embed_slots(obs, self.vocabulary, c.slots).withColumnRenamed("idx", "value")
         return encode.sparse_vector(items, self.vocabulary, c.representation == "presence").withColumnRenamed("idx", "slot")
 
     def unknown(self, obs: DataFrame) -> DataFrame:

@@ -4,11 +4,11 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .functions.hashing import hash_column
-from .functions.scalars import argmax_first, expm1_clamped, finite, restored, softmax_max, to_double, transformed
+from .functions.scalars import argmax_first, expm1_clamped, finite, linear, restored, softmax_max, to_double, transformed
 from .model.schedules import cosine_lr, onecycle_lr, step_lr
 from .operators import encode, loss, metrics, scale, select, similar, split, units, vocab, weights
 from .plans.formula import lowered
@@ -280,7 +280,7 @@ def unknown_count(s, d):
 @query(f"WITH {OBS}, {UNITS}, {LOST} SELECT unit_id, round(1 - unknown_fraction, 6) AS confidence, CASE WHEN round(1 - unknown_fraction, 6) >= 0.5 THEN price END AS prediction FROM units JOIN f USING (unit_id)")
 def confidence_filter(s, d):
     both = rounded(ol_units(s, d).join(_lost(s, d), "unit_id"), "confidence")
-    return both.select("unit_id", "confidence", F.when(F.col("confidence") >= 0.5, F.col("price")).alias("prediction"))
+    return both.select("unit_id", "confidence", metrics.sure(F.col("price"), F.col("confidence"), 0.5).alias("prediction"))
 
 
 # --- encoders
@@ -411,10 +411,9 @@ def formula_features(s, d):
 
 @query(f"WITH {OBS}, {UNITS}, {LOST}, g AS (SELECT unit_id, [coalesce(custkey, 0.0), price, coalesce(unknown_fraction, 0.0), CAST(coalesce(unknown_count, 0) AS DOUBLE)] AS x FROM units LEFT JOIN f USING (unit_id)) SELECT unit_id, len(x) AS width, round(x[1], 6) AS first, x[2] AS second, round(x[3], 6) AS third, x[4] AS fourth FROM g")
 def feature_assembly(s, d):
-    both = units.with_observations(ol_units(s, d), _lost(s, d), {"unknown_fraction": 0.0, "unknown_count": 0})
-    x = F.array("custkey", "price", "unknown_fraction", F.col("unknown_count").cast("double"))
+    x = encode.assembled(ol_units(s, d), ["custkey", "price"], _lost(s, d), ["unknown_fraction", "unknown_count"], "x")
     cells = [F.get("x", F.lit(k)).alias(name) for k, name in enumerate(("first", "second", "third", "fourth"))]
-    return rounded(both.select("unit_id", x.alias("x")).select("unit_id", F.size("x").cast("long").alias("width"), *cells), "first", "third")
+    return rounded(x.select("unit_id", F.size("x").cast("long").alias("width"), *cells), "first", "third")
 
 
 FREQUENT = "v AS (SELECT item AS value, row_number() OVER (ORDER BY item) AS idx FROM obs GROUP BY item HAVING count(DISTINCT unit_id) >= 20)"
@@ -427,7 +426,55 @@ def item_encoder_sparse(s, d):
     return rounded(fitted.transform(o), "value")
 
 
+@query(f"WITH {OBS}, w AS (SELECT unit_id, item, CAST(count(*) AS DOUBLE) AS weight FROM obs GROUP BY ALL), {FREQUENT}, {TOP_BOTTOM} SELECT unit_id, slot, coalesce(idx, 0) AS value FROM tb LEFT JOIN v ON item = value")
+def item_encoder_embed(s, d):
+    o = ol_obs(s, d)
+    return ItemEncoder(k=2, selection="top_bottom", representation="embed", aggregation="count", min_units=20).fit(o).transform(o)
+
+
+@query(f"WITH {OBS}, {W}, {FREQUENT} SELECT unit_id, r - 1 AS slot, coalesce(idx, 0) AS value FROM (SELECT *, {UP} AS r FROM w) LEFT JOIN v ON item = value WHERE r <= 2")
+def item_encoder_embed_bottom(s, d):
+    o = ol_obs(s, d)
+    return ItemEncoder(k=2, selection="bottom", representation="embed", min_units=20).fit(o).transform(o)
+
+
+@query(f"WITH {OBS}, {W}, {FREQUENT} SELECT unit_id, {DOWN} - 1 AS slot, coalesce(idx, 0) AS value FROM w LEFT JOIN v ON item = value")
+def item_encoder_embed_all(s, d):
+    o = ol_obs(s, d)
+    return ItemEncoder(selection="all", representation="embed", min_units=20).fit(o).transform(o)
+
+
+@query(f"WITH {OBS}, {W}, t AS (SELECT * FROM w QUALIFY {UP} <= 2), {hashed('t', 16, 'ln(1 + weight)')}")
+def item_encoder_hash(s, d):
+    o = ol_obs(s, d)
+    return rounded(ItemEncoder(dim=16, k=2, selection="bottom", norm="log1p").fit(o).transform(o), "value")
+
+
+@query(f"WITH {OBS}, {W}, {FREQUENT}, t AS (SELECT * FROM w QUALIFY {DOWN} <= 3) SELECT DISTINCT unit_id, coalesce(idx, 0) AS slot, 1.0::DOUBLE AS value FROM t LEFT JOIN v ON item = value")
+def item_encoder_presence(s, d):
+    o = ol_obs(s, d)
+    return ItemEncoder(k=3, selection="top", representation="presence", min_units=20).fit(o).transform(o)
+
+
+@query("SELECT unit_id, sum(weight) AS weight, n AS n_rows FROM (SELECT l_orderkey AS unit_id, coalesce(CASE WHEN l_linenumber % 2 = 0 THEN l_quantity END, 1.0) AS weight, count(*) OVER (PARTITION BY l_orderkey) AS n FROM lineitem) GROUP BY ALL")
+def null_weight_default(s, d):
+    o = table(s, d, "lineitem").select(F.col("l_orderkey").alias("unit_id"), F.col("l_partkey").cast("string").alias("item"), F.when(F.col("l_linenumber") % 2 == 0, F.col("l_quantity")).alias("weight"))
+    rows = o.groupBy("unit_id").agg(F.count("*").alias("n_rows"))
+    return weights.item_weights(o).groupBy("unit_id").agg(F.sum("weight").alias("weight")).join(rows, "unit_id")
+
+
+@query(f"WITH {UNITS}, a AS (SELECT * FROM (VALUES (0, 7), (1, 3), (2, 999999999), (3, 7), (4, 33)) t(place, unit_id)) SELECT CAST(a.place AS BIGINT) AS place, CAST(a.unit_id AS BIGINT) AS unit_id, price, status FROM a LEFT JOIN units ON a.unit_id = units.unit_id")
+def requested_rows(s, d):
+    return units.requested(ol_units(s, d), [7, 3, 999_999_999, 7, 33]).select("place", F.col("unit_id").cast("long").alias("unit_id"), "price", "status")
+
+
 # --- scaling, transforms, splits
+@query("SELECT round(avg(x), 6) AS x_mean, round(CASE WHEN stddev_samp(x) < 1e-8 THEN 1.0 ELSE stddev_samp(x) END, 6) AS x_scale, 3.0::DOUBLE AS y_mean, 1.0::DOUBLE AS y_scale FROM (SELECT o_totalprice / 1000 AS x FROM orders)")
+def scaler_sample_guarded(s, d):
+    u = table(s, d, "orders").select((F.col("o_totalprice") / 1000).alias("x"), F.lit(3.0).alias("y"))
+    return rounded(scale.fitted(u, ["x", "y"], "sample_guarded"), "x_mean", "x_scale", "y_mean", "y_scale")
+
+
 @query("SELECT round(avg(o_totalprice), 4) AS price_mean, round(stddev_samp(o_totalprice) + 1e-8, 4) AS price_scale FROM orders")
 def scaler_sample(s, d):
     return rounded(scale.fitted(ol_units(s, d), ["price"]), "price_mean", "price_scale", digits=4)
@@ -442,8 +489,7 @@ def scaler_population(s, d):
 def zscore_inverse(s, d):
     u = ol_units(s, d).select("unit_id", "price")
     m = scale.fitted(u, ["price"])
-    back = scale.scaled(u, m, ["price"]).crossJoin(F.broadcast(m))
-    return rounded(back.select("unit_id", (F.col("price") * F.col("price_scale") + F.col("price_mean")).alias("price")), "price", digits=4)
+    return rounded(scale.restored(scale.scaled(u, m, ["price"]), m, ["price"]), "price", digits=4)
 
 
 @query("WITH t AS (SELECT o_orderkey AS unit_id, ln(1 + o_totalprice) AS y FROM orders), m AS (SELECT avg(y) AS a, stddev_samp(y) + 1e-8 AS b FROM t) SELECT unit_id, round((y - a) / b, 6) + 0.0 AS y FROM t, m")
@@ -610,19 +656,13 @@ def argmax_first_max(s, d):
 
 @query("WITH t AS (SELECT l_partkey, list_sort(list(l_extendedprice)) AS v FROM lineitem GROUP BY ALL) SELECT l_partkey, v[CAST(floor(0.05 * len(v)) AS BIGINT) + 1] AS low, v[len(v) // 2 + 1] AS mid, v[CAST(floor(0.95 * len(v)) AS BIGINT) + 1] AS high FROM t")
 def mc_quantiles(s, d):
-    """Quantiles by index of sorted samples, as prediction intervals take them; ranked rows, no lists."""
-    w = Window.partitionBy("l_partkey")
-    r = F.row_number().over(w.orderBy("l_extendedprice"))
-    rows = table(s, d, "lineitem").select("l_partkey", F.col("l_extendedprice").alias("v"), r.alias("r"), F.count("*").over(w).alias("n"))
-    at = lambda i: F.max(F.when(F.col("r") == i + 1, F.col("v")))
-    return rows.groupBy("l_partkey").agg(at(F.floor(0.05 * F.col("n"))).alias("low"), at(F.floor(F.col("n") / 2)).alias("mid"), at(F.floor(0.95 * F.col("n"))).alias("high"))
+    return metrics.intervals(table(s, d, "lineitem"), "l_partkey", "l_extendedprice")
 
 
 @query("SELECT vec_id, round(list_dot_product(embedding::DOUBLE[], list_transform(range(1, len(embedding) + 1), lambda i: (i % 5 - 2) / 10)) + 0.25, 6) AS value FROM embeddings")
 def linear_head_forward(s, d):
     w = F.transform(F.sequence(F.lit(1), F.size("embedding")), lambda i: (i % 5 - 2) / 10)
-    dot = F.aggregate(F.zip_with("embedding", w, lambda x, y: x.cast("double") * y), F.lit(0.25), lambda a, v: a + v)
-    return table(s, d, "embeddings").select("vec_id", F.round(dot, 6).alias("value"))
+    return table(s, d, "embeddings").select("vec_id", F.round(linear("embedding", w, 0.25), 6).alias("value"))
 
 
 @query("WITH e AS (SELECT vec_id AS id, embedding::DOUBLE[] AS v FROM embeddings), p AS (SELECT a.id AS query, b.id AS id, list_dot_product(a.v, b.v) / (sqrt(list_dot_product(a.v, a.v)) * sqrt(list_dot_product(b.v, b.v))) AS similarity FROM e a, e b WHERE a.id % 100 = 0 AND a.id <> b.id) SELECT query, id, round(similarity, 6) AS similarity, CAST(row_number() OVER (PARTITION BY query ORDER BY similarity DESC, id) AS INT) AS rank FROM p QUALIFY rank <= 5")
@@ -631,6 +671,18 @@ def latent_cosine_knn(s, d):
     return rounded(similar.nearest(v, v.where("id % 100 = 0"), 5), "similarity")
 
 
+@query("WITH e AS (SELECT vec_id AS id, embedding::DOUBLE[] AS v FROM embeddings), p AS (SELECT a.id AS query, b.id AS id, list_dot_product(a.v, b.v) / (sqrt(list_dot_product(a.v, a.v)) * sqrt(list_dot_product(b.v, b.v))) AS similarity FROM e a, e b WHERE a.id % 100 = 0 AND a.id <> b.id) SELECT query AS id, round(1 - avg(similarity), 6) AS score FROM (SELECT * FROM p QUALIFY row_number() OVER (PARTITION BY query ORDER BY similarity DESC, id) <= 10) GROUP BY query")
+def latent_outliers(s, d):
+    v = table(s, d, "embeddings").select(F.col("vec_id").alias("id"), F.col("embedding").alias("vector"))
+    return rounded(similar.outliers(v, v.where("id % 100 = 0")), "score")
+
+
+@query()
+def latent_clusters(s, d):
+    v = table(s, d, "embeddings").select(F.col("vec_id").alias("id"), F.col("embedding").alias("vector"))
+    return similar.clusters(v, 4)
+
+
 @query(f"WITH {OBS}, o AS (SELECT DISTINCT unit_id, genus AS item FROM obs) SELECT x.item AS a, y.item AS b, count(*) AS n FROM o x JOIN o y ON x.unit_id = y.unit_id AND x.item < y.item GROUP BY ALL HAVING count(*) >= 2")
 def item_cooccurrence(s, d):
     return similar.cooccurrence(ol_obs(s, d).select("unit_id", F.col("genus").alias("item")), 2)

@@ -164,3 +164,62 @@ def test_word2vec_items(spark):
     sf = "/root/testdata/sf0.001"
     often = {r["item"] for r in ol_obs(spark, sf).groupBy("item").count().where("count >= 2").collect()}
     assert {r["item"] for r in QUERIES["word2vec_items"](spark, sf).collect()} == often
+
+
+def test_item_encoder_embeds_what_it_selects(spark):
+    from tessella.operators import vocab
+    from tessella.plans.items import ItemEncoder
+
+    obs = spark.createDataFrame([("u", "a", 9.0), ("u", "b", 5.0), ("u", "c", 1.0), ("v", "c", 2.0), ("v", "", 1.0)], "unit_id string, item string, weight double")
+    slots = lambda **more: sorted(tuple(r) for r in ItemEncoder(representation="embed", **more).fit(obs).transform(obs).where("unit_id = 'u'").collect())
+    assert slots(k=1, selection="bottom") == [("u", 0, 3)] and slots(k=1, selection="top") == [("u", 0, 1)]
+    assert slots(k=1, selection="top_bottom") == [("u", 0, 1), ("u", 1, 3)] and slots(selection="all") == [("u", 0, 1), ("u", 1, 2), ("u", 2, 3)]
+    # empty items are in no vocabulary
+    assert {r["value"] for v in (vocab.by_frequency(obs, "item"), vocab.in_units(obs, "item", 1), vocab.alphabetical(obs, "item")) for r in v.collect()} == {"a", "b", "c"}
+
+
+def test_running_sums_over_many_parts(spark):
+    from tessella.operators.order import running
+
+    rows = spark.range(5000).select(((F.col("id") * 7919) % 5000).alias("x"), (F.col("id") % 13).alias("p"))
+    small, large = (running(rows, F.desc("x"), {"down": "p"}, one_task=n) for n in (10**6, 100))
+    assert sorted(map(tuple, small.collect())) == sorted(map(tuple, large.select(small.columns).collect()))
+
+
+def test_requested_rows(spark):
+    from tessella.operators.units import requested
+
+    df = spark.createDataFrame([("a", 1), ("b", 2), ("b", 3), ("c", None)], "unit_id string, x int")
+    got = [tuple(r) for r in requested(df, ["c", "b", "missing", "a", "c"]).orderBy("place", "x").collect()]
+    assert got == [(0, "c", None), (1, "b", 2), (1, "b", 3), (2, "missing", None), (3, "a", 1), (4, "c", None)]
+    assert requested(df, []).collect() == []
+
+
+def test_outliers_and_clusters(spark):
+    rows = [(k, [1.0, 0.01 * k]) for k in range(12)] + [(20 + k, [0.01 * k, -1.0]) for k in range(12)] + [(99, [-1.0, 1.0]), (100, [0.0, 0.0]), (101, None)]
+    v = spark.createDataFrame(rows, "id long, vector array<double>")
+    score = {r["id"]: r["score"] for r in similar.outliers(v.where("id < 100"), v.where("id < 100"), 3).collect()}
+    assert max(score, key=score.get) == 99 and len(score) == 25
+    of = {r["id"]: r["cluster"] for r in similar.clusters(v.where("id <> 99"), 2).collect()}
+    assert len(of) == 24 and len({of[k] for k in range(12)}) == len({of[20 + k] for k in range(12)}) == 1 and of[0] != of[20]
+
+
+def test_unknown_features_checkpoint_and_summary(spark, tmp_path):
+    u, o = io.sample_data(spark, 80, 20)
+    rare = o.withColumn("item", F.when(F.col("unit_id") == u.first()["unit_id"], F.concat(F.lit("rare"), F.monotonically_increasing_id())).otherwise(F.col("item")))
+    more = {"hidden": (8,), "epochs": 4, "lr": 1e-2, "unknown_features": True, "min_units": 2, "clip": 0.5, "min_delta": 1e-9, "warmup": 3}
+    t = Trainer("elevation ~ ph + hash(item, dim=8)", [Target.regression("elevation")], checkpoint=str(tmp_path / "c"), checkpoint_every=2, **more)
+    t.fit(u, rare)
+    assert len(t.inputs[0]) == t.encoder.continuous_dim + 2 and t.optimizer.clip == 0.5
+    rates = [r["lr"] for r in t.result.history]
+    assert rates[0] == pytest.approx(1e-2 / 3) and rates[2] == pytest.approx(1e-2)
+    again = Trainer.load(str(tmp_path / "c"), spark)
+    assert again.epoch == 4 and again.unknown_features and again.min_units == 2
+    again.fit(u, rare, resume=True)
+    assert again.epoch == 8 and len(again.result.history) == 8
+    assert "hash of item" in again.summary() and "best" in again.summary()
+    alone = t.predict(u, rare.limit(0)).count()
+    assert alone == 80
+    # intervals don't depend on how rows come in batches
+    a, b = ({r["unit_id"]: r["elevation_low"] for r in t.predict(u.repartition(n), rare, samples=9).collect()} for n in (1, 7))
+    assert a.keys() == b.keys() and all(abs(a[k] - b[k]) < 1e-6 * max(1, abs(a[k])) for k in a)
