@@ -45,6 +45,7 @@ from pyspark.sql import functions as F
 from .graph import components
 from .shingles import lowered, mix, shingle_sets
 from .store import mark, small, sweep, written
+from .tokens import tidy
 
 ORDERS, PIVOTS, TABLE_BITS, SAMPLE_PERCENT, COMMON, GROWTH = 3, 12, 22, 12, 2, 16
 BROADCAST_IDS = 500_000
@@ -66,13 +67,14 @@ def common_tokens(docs: DataFrame, k: int, bits: int = TABLE_BITS) -> np.ndarray
     def sample(batches):
         for b in batches:
             texts = b.column("text")
-            for a in range(0, b.num_rows, 2000):
+            for a in range(0, b.num_rows, 500):
                 out = []
-                for x in shingle_sets([lowered(t) for t in texts.slice(a, 2000).to_pylist()], k):
+                for x in shingle_sets([lowered(t) for t in texts.slice(a, 500).to_pylist()], k):
                     keep = len(x) * SAMPLE_PERCENT // 100 + 1
                     own = mix(x ^ np.bitwise_xor.reduce(mix(x, 7)), 77) if keep < len(x) else x
                     out.append(x[np.argpartition(own, keep)[:keep]] if keep < len(x) else x)
                 yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(out).view(np.int64))], names=["token"])
+            tidy()
 
     def table(batches):
         top = np.zeros(size, np.uint8)
@@ -115,8 +117,8 @@ def described(docs: DataFrame, k: int, percent: int, classes) -> DataFrame:
     def run(batches):
         table = np.frombuffer(zstandard.decompress(classes.value), np.uint8)
         for b in batches:
-            for a in range(0, b.num_rows, 2000):
-                c = b.slice(a, 2000)
+            for a in range(0, b.num_rows, 500):
+                c = b.slice(a, 500)
                 sets = shingle_sets([lowered(x) for x in c.column("text").to_pylist()], k)
                 n = pa.array([len(x) for x in sets], pa.int64())
                 with np.errstate(over="ignore"):
@@ -124,6 +126,7 @@ def described(docs: DataFrame, k: int, percent: int, classes) -> DataFrame:
                 prefix = pa.array([_prefix(x, table, 0, percent).tobytes() if len(x) else None for x in sets], pa.binary())
                 others = [_lists([(_prefix(x, table, o, percent) >> np.uint64(32)).astype(np.uint32).view(np.int32) if len(x) else np.zeros(0, np.int32) for x in sets]) for o in range(1, ORDERS)]
                 yield pa.RecordBatch.from_arrays([c.column("doc_id"), n, pa.array(f[0]), pa.array(f[1]), prefix, *others], names=["doc_id", "n", "f1", "f2", "prefix", *_OTHERS])
+            tidy()
 
     schema = "doc_id long, n long, f1 long, f2 long, prefix binary, " + ", ".join(f"{p} array<int>" for p in _OTHERS)
     return written(docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").mapInArrow(run, schema), "sets")
@@ -218,8 +221,8 @@ def verified(docs: DataFrame, pairs: DataFrame, k: int, percent: int) -> DataFra
             a = batch.column("a").to_pylist()
             za, zb = batch.column("za"), batch.column("zb")
             keep = np.zeros(len(a), bool)
-            for at in range(0, len(a), 500):
-                theirs = shingle_sets([zstandard.decompress(x) for x in zb.slice(at, 500).to_pylist()], k)
+            for at in range(0, len(a), 200):
+                theirs = shingle_sets([zstandard.decompress(x) for x in zb.slice(at, 200).to_pylist()], k)
                 for j, y in enumerate(theirs, at):
                     z = za[j].as_py()
                     if z != last:
@@ -230,6 +233,7 @@ def verified(docs: DataFrame, pairs: DataFrame, k: int, percent: int) -> DataFra
                     keep[j] = 100 * both >= percent * (len(own) + len(y) - both)
             mask = pa.array(keep)
             yield pa.RecordBatch.from_arrays([batch.column("a").filter(mask), batch.column("b").filter(mask)], names=["a", "b"])
+            tidy()
 
     both = pairs.join(texts.select(F.col("id").alias("b"), F.col("z").alias("zb")), "b")
     both = both.join(texts.select(F.col("id").alias("a"), F.col("z").alias("za")), "a")
