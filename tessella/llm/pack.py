@@ -5,7 +5,7 @@ frequencies and lengths are counted over the whole corpus. A shard is
 ``SHARD_BLOCKS`` neighbouring blocks (about 4 million tokens), indexed and packed by
 one task, so memory has a bound and the index grows by shards, without any shuffle.
 Each window starts with a seed (the rest of a cut document, else the next unused
-one); the seed's strongest terms query the shard's postings, and the best unused
+one); the seed's ``TERMS`` strongest terms query the shard's postings, and the best unused
 neighbours fill the window: those that fit whole first, then the best one is cut
 to fill it to the last token. A shard's last, partial window is cut at powers of two, so
 no sequence needs padding.
