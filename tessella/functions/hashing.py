@@ -34,3 +34,53 @@ def hash_of(text: str, seed: int) -> int:
         h = ((h ^ (b + 0xFFFFFF00 if b > 127 else b)) * MULTIPLIER) & 0xFFFFFFFF
         h ^= h >> SHIFT
     return h
+
+
+#: The multipliers of MurmurHash3's 64-bit finaliser (Appleby, public domain).
+FINALISER = (0xFF51AFD7ED558CCD, 0xC4CEB9FE1A85EC53)
+_WORD, _HALF = 0xFFFFFFFF, 0xFFFF
+
+
+def _let(value: Column, f) -> Column:
+    """``f(value)``, with the value computed once."""
+    return F.transform(F.array(value), f)[0]
+
+
+def _low_product(a: Column, c: int) -> Column:
+    """The low 32 bits of the product of two 32-bit words; no step exceeds a bigint, so ANSI mode has nothing to object to."""
+    upper = (F.shiftright(a, 16) * c).bitwiseAND(F.lit(_HALF))
+    return (a.bitwiseAND(F.lit(_HALF)) * c + F.shiftleft(upper, 16)).bitwiseAND(F.lit(_WORD))
+
+
+def _product(w: Column, c: int) -> Column:
+    """A 64-bit number, as a struct of two 32-bit words, times a constant, modulo 2**64."""
+    upper, lower = c >> 32, c & _WORD
+    below, above = w["lo"].bitwiseAND(F.lit(_HALF)) * lower, F.shiftright(w["lo"], 16) * lower
+
+    def joined(t: Column) -> Column:
+        low = t["below"] + F.shiftleft(t["above"].bitwiseAND(F.lit(_HALF)), 16)
+        high = F.shiftright(low, 32) + F.shiftright(t["above"], 16) + t["rest"]
+        return F.struct(high.bitwiseAND(F.lit(_WORD)).alias("hi"), low.bitwiseAND(F.lit(_WORD)).alias("lo"))
+
+    rest = _low_product(w["hi"], lower) + _low_product(w["lo"], upper)
+    return _let(F.struct(below.alias("below"), above.alias("above"), rest.alias("rest")), joined)
+
+
+def _folded(w: Column) -> Column:
+    """The number xor itself shifted right by 33 bits."""
+    return F.struct(w["hi"].alias("hi"), w["lo"].bitwiseXOR(F.shiftright(w["hi"], 1)).alias("lo"))
+
+
+def integer_hash(x: Column) -> Column:
+    """The finaliser's low 32 bits, signed, of an integer id."""
+    w = F.struct(F.shiftrightunsigned(x.cast("long"), 32).alias("hi"), x.cast("long").bitwiseAND(F.lit(_WORD)).alias("lo"))
+    for c in FINALISER:
+        w = _let(_let(w, _folded), lambda v: _product(v, c))  # noqa: B023  called at once
+    low = _let(w, _folded)["lo"]
+    return F.when(low > 0x7FFFFFFF, low - 0x100000000).otherwise(low)
+
+
+def integer_bucket_and_sign(x: Column, dim: int) -> tuple[Column, Column]:
+    """An integer id's feature and the sign with which it counts there."""
+    h = integer_hash(x)
+    return (F.abs(h) % dim).cast("long"), F.when(h >= 0, 1.0).otherwise(-1.0)

@@ -24,12 +24,41 @@ def gelu_slope(x: np.ndarray) -> np.ndarray:
     return 0.5 * (1 + erf(x / np.sqrt(2))) + x * np.exp(-0.5 * x * x) / np.sqrt(2 * np.pi)
 
 
+class Bags:
+    """Sparse rows: row k has the values ``value[starts[k]:starts[k + 1]]`` at the columns ``idx[...]``."""
+
+    def __init__(self, starts: np.ndarray, idx: np.ndarray, value: np.ndarray):
+        self.starts, self.idx, self.value = starts, idx, value
+        self.rows = np.repeat(np.arange(len(starts) - 1), np.diff(starts))
+
+    def __getitem__(self, rows: np.ndarray) -> Bags:
+        sizes = np.diff(self.starts)[rows]
+        starts = np.concatenate([[0], np.cumsum(sizes)])
+        at = np.repeat(self.starts[:-1][rows] - starts[:-1], sizes) + np.arange(starts[-1])
+        return Bags(starts, self.idx[at], self.value[at])
+
+    def times(self, matrix: np.ndarray) -> np.ndarray:
+        """The product with a dense matrix; only the rows of ``matrix`` that occur are read."""
+        out = np.zeros((len(self.starts) - 1, matrix.shape[1]))
+        np.add.at(out, self.rows, self.value[:, None] * matrix[self.idx])
+        return out
+
+    def transposed_times(self, d: np.ndarray, size: int) -> np.ndarray:
+        out = np.zeros((size, d.shape[1]))
+        np.add.at(out, self.idx, self.value[:, None] * d[self.rows])
+        return out
+
+
 class Network:
-    """Parameters in ``p``, running batch-norm statistics in ``stats``; ``heads`` maps targets to output widths."""
+    """Parameters in ``p``, running batch-norm statistics in ``stats``; ``heads`` maps targets to output widths.
+
+    ``ids`` of the methods has an array of ids for each embedding, then ``Bags`` for each sparse input, which is
+    projected linearly; ``bags`` holds their (vocabulary size, dimension).
+    """
 
-    def __init__(self, continuous: int, embeddings: list[tuple[int, int, int]], hidden: tuple[int, ...], heads: dict[str, int], dropout: float = 0.1, seed: int = 0):
+    def __init__(self, continuous: int, embeddings: list[tuple[int, int, int]], hidden: tuple[int, ...], heads: dict[str, int], dropout: float = 0.1, seed: int = 0, bags: list[tuple[int, int]] | None = None):
         rng = np.random.default_rng(seed)
-        self.embeddings, self.hidden, self.heads, self.dropout = embeddings, hidden, heads, dropout
+        self.embeddings, self.hidden, self.heads, self.dropout, self.bags = embeddings, hidden, heads, dropout, bags or []
         self.p: dict[str, np.ndarray] = {}
         self.stats: dict[str, np.ndarray] = {}
         width = continuous
@@ -37,6 +66,9 @@ class Network:
             self.p[f"e{k}"] = rng.normal(0, 0.1, (slots, size, dim))
             self.p[f"e{k}"][:, 0] = 0  # what is absent or unknown adds nothing
             width += slots * dim
+        for k, (size, dim) in enumerate(self.bags):
+            self.p[f"q{k}"] = rng.uniform(-1, 1, (size, dim)) / np.sqrt(max(size, 1))
+            width += dim
         for k, n in enumerate(hidden):
             bound = 1 / np.sqrt(max(width, 1))
             self.p |= {f"w{k}": rng.uniform(-bound, bound, (width, n)), f"b{k}": np.zeros(n), f"g{k}": np.ones(n), f"s{k}": np.zeros(n)}
@@ -49,9 +81,10 @@ class Network:
     def size(self) -> int:
         return sum(x.size for x in self.p.values())
 
-    def latent(self, x: np.ndarray, ids: list[np.ndarray], rng: np.random.Generator | None = None, keep: list | None = None, batch_stats: bool = False) -> np.ndarray:
+    def latent(self, x: np.ndarray, ids: list[np.ndarray | Bags], rng: np.random.Generator | None = None, keep: list | None = None, batch_stats: bool = False) -> np.ndarray:
         """The last hidden layer. A generator switches dropout on; ``batch_stats`` is for training."""
-        parts = [x] + [self.p[f"e{k}"][np.arange(i.shape[1])[None], i].reshape(len(i), -1) for k, i in enumerate(ids)]
+        parts = [x] + [self.p[f"e{k}"][np.arange(i.shape[1])[None], i].reshape(len(i), -1) for k, i in enumerate(ids[: len(self.embeddings)])]
+        parts += [bag.times(self.p[f"q{k}"]) for k, bag in enumerate(ids[len(self.embeddings) :])]
         h = np.concatenate(parts, axis=1)
         for k in range(len(self.hidden)):
             z = h @ self.p[f"w{k}"] + self.p[f"b{k}"]
@@ -74,7 +107,7 @@ class Network:
     def head(self, name: str, h: np.ndarray) -> np.ndarray:
         return h @ self.p[f"hw_{name}"] + self.p[f"hb_{name}"]
 
-    def backward(self, ids: list[np.ndarray], keep: list, h: np.ndarray, at_heads: dict[str, np.ndarray]) -> dict[str, np.ndarray]:
+    def backward(self, ids: list[np.ndarray | Bags], keep: list, h: np.ndarray, at_heads: dict[str, np.ndarray]) -> dict[str, np.ndarray]:
         """Gradients of all parameters from those of the heads' outputs."""
         g: dict[str, np.ndarray] = {}
         dh = np.zeros_like(h)
@@ -89,7 +122,7 @@ class Network:
             dz = scale * (dn - dn.mean(0) - n * (dn * n).mean(0)) if len(dn) > 1 else scale * dn
             g[f"w{k}"], g[f"b{k}"] = below.T @ dz, dz.sum(0)
             dh = dz @ self.p[f"w{k}"].T
-        at = dh.shape[1] - sum(s * d for s, _, d in self.embeddings)
+        at = dh.shape[1] - sum(s * d for s, _, d in self.embeddings) - sum(d for _, d in self.bags)
         for k, (slots, _, dim) in enumerate(self.embeddings):
             d = dh[:, at : at + slots * dim].reshape(-1, slots, dim)
             grad = np.zeros_like(self.p[f"e{k}"])
@@ -97,6 +130,9 @@ class Network:
             grad[:, 0] = 0
             g[f"e{k}"] = grad
             at += slots * dim
+        for k, (size, dim) in enumerate(self.bags):
+            g[f"q{k}"] = ids[len(self.embeddings) + k].transposed_times(dh[:, at : at + dim], size)
+            at += dim
         return g
 
 

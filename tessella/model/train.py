@@ -25,13 +25,23 @@ from ..plans.encoder import EncoderModel
 from ..plans.formula import lowered
 from ..sources.roles import Target
 from ..sources.shared import written
-from .nn import AdamW, Network, UnitRandom
+from .nn import AdamW, Bags, Network, UnitRandom
 from .schedules import cosine_lr, onecycle_lr, step_lr
 
-#: Named sizes: hidden widths and epochs.
 #: The default loss: absolute error, then with a share of SMAPE, then also with a band penalty; phases begin at the boundaries.
 PHASED = (Phase(mae=1.0), Phase(mae=1.0, smape=0.2), Phase(mae=1.0, smape=0.15, band=0.05))
-PRESETS = {"tiny": ((32,), 20), "small": ((64, 32), 50), "medium": ((256, 128, 64), 200), "large": ((512, 256, 128, 64), 500)}
+#: Fixed values. Named sizes, as first and last hidden width (each is half of the one before), and what all of them train with.
+PRESETS = {"tiny": (128, 64), "small": (256, 64), "medium": (512, 64), "large": (1024, 64), "xl": (2048, 64), "max": (2048, 32)}
+COMMON = {"epochs": 1000, "patience": 50, "batch": 16384, "lr": 1e-3, "dropout": 0.1, "test_share": 0.2, "seed": 42, "loss": "combined", "decay": 1e-5}
+
+
+def preset_keywords(name: str, checkpoint: str | None = None, checkpoint_every: int = 50) -> dict:
+    """The keyword arguments of ``Trainer`` that a named size stands for, with a place for checkpoints if one is given."""
+    if name not in PRESETS:
+        raise ValueError(f"{name} is none of {', '.join(PRESETS)}")
+    width, last = PRESETS[name]
+    hidden = tuple(width >> k for k in range(width.bit_length() - last.bit_length() + 1))
+    return COMMON | {"hidden": hidden} | ({"checkpoint": checkpoint, "checkpoint_every": checkpoint_every} if checkpoint else {})
 
 
 @dataclass
@@ -58,7 +68,7 @@ class Trainer:
     everything is saved there every ``checkpoint_every`` epochs: ``load`` it and ``fit(.., resume=True)`` goes on.
     """
 
-    def __init__(self, formula: str, targets: list[Target], hidden: tuple[int, ...] = (64, 32), epochs: int = 50, batch: int = 256, lr: float = 1e-3, schedule: str = "none", patience: int = 20, test_share: float = 0.2, dropout: float = 0.1, seed: int = 42, loss: str | list[Phase] = "phased", boundaries: tuple[int, ...] = PHASES, max_train: int = 100_000, callback=None, progress: str | None = None, unknown_features: bool = False, min_units: int = 1, clip: float = 1.0, min_delta: float = 0.0, warmup: int = 0, checkpoint: str | None = None, checkpoint_every: int = 10):
+    def __init__(self, formula: str, targets: list[Target], hidden: tuple[int, ...] = (64, 32), epochs: int = 50, batch: int = 256, lr: float = 1e-3, schedule: str = "none", patience: int = 20, test_share: float = 0.2, dropout: float = 0.1, seed: int = 42, loss: str | list[Phase] = "phased", boundaries: tuple[int, ...] = PHASES, max_train: int = 100_000, callback=None, progress: str | None = None, unknown_features: bool = False, min_units: int = 1, clip: float = 1.0, min_delta: float = 0.0, warmup: int = 0, checkpoint: str | None = None, checkpoint_every: int = 10, decay: float = 1e-4):
         self.formula, self.targets, self.hidden, self.epochs, self.batch, self.lr = formula, targets, tuple(hidden), epochs, batch, lr
         self.schedule, self.patience, self.test_share, self.dropout, self.seed, self.loss, self.max_train, self.callback = schedule, patience, test_share, dropout, seed, loss, max_train, callback
         self.phases = list(PHASED) if loss == "phased" else [LOSSES[loss]] if isinstance(loss, str) else list(loss)
@@ -66,6 +76,7 @@ class Trainer:
         if len(self.phases) != len(self.boundaries) + 1 or list(self.boundaries) != sorted(self.boundaries):
             raise ValueError("n phases need n - 1 ascending boundaries")
         self.unknown_features, self.min_units, self.clip, self.min_delta, self.warmup, self.checkpoint, self.checkpoint_every = unknown_features, min_units, clip, min_delta, warmup, checkpoint, checkpoint_every
+        self.decay = decay
         self.encoder: EncoderModel | None = None
         self.net: Network | None = None
         self.scalers: dict[str, tuple[float, float]] = {}
@@ -75,7 +86,7 @@ class Trainer:
 
     def _item_column(self) -> str | None:
         """The column of the observations whose unseen values make predictions less certain."""
-        return next((s.columns[0] for s in self.encoder.specs if s.source == "obs" and s.kind in ("hash", "embed")), None)
+        return next((s.columns[0] for s in self.encoder.specs if s.source == "obs" and s.kind in ("hash", "embed", "sparse")), None)
 
     def _certain(self, table: DataFrame, obs: DataFrame | None) -> DataFrame:
         """Adds ``_sure``: 1 less the share of a unit's weight in unknown items; and the unknown features to the others, if wanted."""
@@ -106,8 +117,12 @@ class Trainer:
 
     @classmethod
     def preset(cls, name: str, formula: str, targets: list[Target], **more) -> Trainer:
-        hidden, epochs = PRESETS[name]
-        return cls(formula, targets, **({"hidden": hidden, "epochs": epochs} | more))
+        return cls(formula, targets, **(preset_keywords(name) | more))
+
+    def keywords(self) -> dict:
+        """The keyword arguments that make an untrained trainer like this one."""
+        plain = ("hidden", "epochs", "batch", "lr", "schedule", "patience", "test_share", "dropout", "seed", "boundaries", "max_train", "callback", "progress", "unknown_features", "min_units", "clip", "min_delta", "warmup", "checkpoint", "checkpoint_every", "decay")
+        return {k: getattr(self, k) for k in plain} | {"loss": self.phases}
 
     # --- features
     def _table(self, units: DataFrame, obs: DataFrame | None, encoder: EncoderModel) -> DataFrame:
@@ -118,19 +133,32 @@ class Trainer:
             got = encoder.ids(units, obs, name).where(F.col("column") == column).groupBy("unit_id").agg(F.map_from_entries(F.collect_list(F.struct(F.col("slot").cast("int"), "idx"))).alias("m"))
             ids = F.transform(F.sequence(F.lit(0), F.lit(slots - 1)), lambda i: F.coalesce(F.try_element_at("m", i), F.lit(0).cast("long")))
             out = out.join(got, "unit_id", "left").withColumn(f"ids_{name}_{column}", ids).drop("m")
+        for name, column, _, _ in encoder.bags:
+            bag = F.array_sort(F.collect_list(F.struct("idx", "value")))
+            got = encoder.sparse(units, obs, name, column).groupBy("unit_id").agg(bag.alias("b"))
+            at = F.coalesce(F.col("b.idx"), F.array().cast("array<long>"))
+            of = F.coalesce(F.col("b.value"), F.array().cast("array<double>"))
+            out = out.join(got, "unit_id", "left").withColumn(f"at_{name}_{column}", at).withColumn(f"of_{name}_{column}", of).drop("b")
         return out
 
     @staticmethod
-    def _arrays(rows: pa.Table | pa.RecordBatch, encoder: EncoderModel) -> tuple[np.ndarray, list[np.ndarray]]:
+    def _arrays(rows: pa.Table | pa.RecordBatch, encoder: EncoderModel) -> tuple[np.ndarray, list[np.ndarray | Bags]]:
         n = rows.num_rows
 
-        def flat(name: str) -> np.ndarray:
+        def whole(name: str) -> pa.ListArray:
             column = rows.column(name)
-            column = column.combine_chunks() if isinstance(column, pa.ChunkedArray) else column
-            return column.flatten().to_numpy(zero_copy_only=False)
+            return column.combine_chunks() if isinstance(column, pa.ChunkedArray) else column
+
+        def flat(name: str) -> np.ndarray:
+            return whole(name).flatten().to_numpy(zero_copy_only=False)
+
+        def bags(name: str) -> Bags:
+            sizes = whole(f"at_{name}").value_lengths().to_numpy(zero_copy_only=False)
+            return Bags(np.concatenate([[0], np.cumsum(sizes)]).astype(np.int64), flat(f"at_{name}").astype(np.int64), flat(f"of_{name}").astype(float))
 
         x = flat("features").astype(float).reshape(n, -1) if n else np.zeros((0, encoder.continuous_dim))
-        return x, [flat(f"ids_{name}_{column}").astype(np.int64).reshape(n, slots) for name, column, slots, _, _ in encoder.embeddings]
+        ids = [flat(f"ids_{name}_{column}").astype(np.int64).reshape(n, slots) for name, column, slots, _, _ in encoder.embeddings]
+        return x, ids + [bags(f"{name}_{column}") for name, column, _, _ in encoder.bags]
 
     # --- fitting
     def fit(self, units: DataFrame, obs: DataFrame | None = None, resume: bool = False) -> Result:
@@ -160,8 +188,8 @@ class Trainer:
                 self.scalers[t.name] = (float(y.mean()), float(s) if s >= 1e-8 else 1.0) if t.task == "regression" and len(y) else (0.0, 1.0)
             heads = {t.name: t.num_classes if t.task == "classification" else 1 for t in self.targets}
             sizes = [(slots, size, dim) for _, _, slots, size, dim in self.encoder.embeddings]
-            self.net = Network(x.shape[1], sizes, self.hidden, heads, self.dropout, self.seed)
-            self.optimizer, self.epoch, self.result = AdamW(self.net.p, clip=self.clip), 0, Result()
+            self.net = Network(x.shape[1], sizes, self.hidden, heads, self.dropout, self.seed, [(size, dim) for _, _, size, dim in self.encoder.bags])
+            self.optimizer, self.epoch, self.result = AdamW(self.net.p, self.decay, self.clip), 0, Result()
         x = (x - self.inputs[0]) / self.inputs[1]
         rng = np.random.default_rng(self.seed + self.epoch)
         train, held = np.flatnonzero(~test), np.flatnonzero(test)
@@ -330,7 +358,10 @@ class Trainer:
         return out
 
     def embeddings(self, name: str, column: str) -> dict[str, list[float]]:
-        """The learned vector of each vocabulary value, from the first slot's table."""
+        """The learned vector of each vocabulary value, from the first slot's table or the projection of a sparse input."""
+        for k, (n, c, *_rest) in enumerate(self.encoder.bags):
+            if (n, c) == (name, column):
+                return {r["value"]: self.net.p[f"q{k}"][r["idx"]].tolist() for r in self.encoder.vocabularies[f"{name}:{column}"].toLocalIterator()}
         for k, (n, c, *_rest) in enumerate(self.encoder.embeddings):
             if (n, c) == (name, column):
                 rows = self.encoder.vocabularies[f"{name}:{column}"].collect()
@@ -344,7 +375,7 @@ class Trainer:
         known.write.mode("overwrite").parquet(f"{path}/known")
         buffer = io.BytesIO()
         np.savez(buffer, in_mean=self.inputs[0], in_scale=self.inputs[1], **{f"p_{k}": v for k, v in self.net.p.items()}, **{f"s_{k}": v for k, v in self.net.stats.items()}, **{f"om_{k}": v for k, v in self.optimizer.m.items()}, **{f"ov_{k}": v for k, v in self.optimizer.v.items()})
-        about = {"formula": self.formula, "targets": [asdict(t) for t in self.targets], "hidden": self.hidden, "epochs": self.epochs, "batch": self.batch, "lr": self.lr, "schedule": self.schedule, "patience": self.patience, "test_share": self.test_share, "dropout": self.dropout, "seed": self.seed, "loss": [asdict(p) for p in self.phases], "boundaries": self.boundaries, "max_train": self.max_train, **{k: getattr(self, k) for k in ("unknown_features", "min_units", "clip", "min_delta", "warmup")}, "scalers": self.scalers, "epoch": self.epoch, "t": self.optimizer.t, "result": asdict(self.result)}
+        about = {"formula": self.formula, "targets": [asdict(t) for t in self.targets], "hidden": self.hidden, "epochs": self.epochs, "batch": self.batch, "lr": self.lr, "schedule": self.schedule, "patience": self.patience, "test_share": self.test_share, "dropout": self.dropout, "seed": self.seed, "loss": [asdict(p) for p in self.phases], "boundaries": self.boundaries, "max_train": self.max_train, **{k: getattr(self, k) for k in ("unknown_features", "min_units", "clip", "min_delta", "warmup", "decay")}, "scalers": self.scalers, "epoch": self.epoch, "t": self.optimizer.t, "result": asdict(self.result)}
         spark.createDataFrame([(json.dumps(about), bytearray(buffer.getvalue()))], "about string, weights binary").coalesce(1).write.mode("overwrite").parquet(f"{path}/model")
 
     @classmethod
@@ -353,16 +384,16 @@ class Trainer:
         a, w = json.loads(row["about"]), np.load(io.BytesIO(bytes(row["weights"])))
         targets = [Target(**(t | {"class_weights": tuple(t["class_weights"])})) for t in a["targets"]]
         keep = ("hidden", "epochs", "batch", "lr", "schedule", "patience", "test_share", "dropout", "seed", "boundaries", "max_train")
-        more = ("unknown_features", "min_units", "clip", "min_delta", "warmup")
+        more = ("unknown_features", "min_units", "clip", "min_delta", "warmup", "decay")
         out = cls(a["formula"], targets, loss=[Phase(**p) for p in a["loss"]], **{k: a[k] for k in keep}, **{k: a[k] for k in more if k in a})
         out.encoder = EncoderModel.load(path, spark)
         out.known = spark.read.parquet(f"{path}/known") if out._item_column() else None
         out.inputs, out.scalers = (w["in_mean"], w["in_scale"]), {k: tuple(v) for k, v in a["scalers"].items()}
         heads = {t.name: t.num_classes if t.task == "classification" else 1 for t in targets}
-        out.net = Network(len(out.inputs[0]), [(s, n, d) for _, _, s, n, d in out.encoder.embeddings], out.hidden, heads, out.dropout, out.seed)
+        out.net = Network(len(out.inputs[0]), [(s, n, d) for _, _, s, n, d in out.encoder.embeddings], out.hidden, heads, out.dropout, out.seed, [(n, d) for _, _, n, d in out.encoder.bags])
         out.net.p = {k[2:]: w[k].copy() for k in w.files if k.startswith("p_")}
         out.net.stats = {k[2:]: w[k].copy() for k in w.files if k.startswith("s_")}
-        out.optimizer, out.epoch, out.result = AdamW(out.net.p, clip=out.clip), a["epoch"], Result(**a["result"])
+        out.optimizer, out.epoch, out.result = AdamW(out.net.p, out.decay, out.clip), a["epoch"], Result(**a["result"])
         out.optimizer.t = a["t"]
         out.optimizer.m, out.optimizer.v = ({k[3:]: w[k].copy() for k in w.files if k.startswith(x)} for x in ("om_", "ov_"))
         return out
@@ -372,4 +403,4 @@ class _Shape:
     """What executors need to know of an encoder."""
 
     def __init__(self, encoder: EncoderModel):
-        self.continuous_dim, self.embeddings = encoder.continuous_dim, encoder.embeddings
+        self.continuous_dim, self.embeddings, self.bags = encoder.continuous_dim, encoder.embeddings, encoder.bags

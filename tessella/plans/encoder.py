@@ -17,7 +17,7 @@ from ..operators import encode, scale, vocab
 from ..operators.select import selected, top, top_bottom
 from ..operators.weights import composite_key, item_weights, normalised
 
-KINDS = ("numeric", "raw", "hash", "embed", "onehot")
+KINDS = ("numeric", "raw", "hash", "embed", "onehot", "sparse")
 
 
 @dataclass(frozen=True)
@@ -71,6 +71,10 @@ class Encoder:
             top = 1  # else nothing would be selected
         return self._add(Spec("embed", name, tuple(columns), source, dim, top, bottom, by))
 
+    def add_sparse(self, name: str, columns: list[str], dim: int = 16, top: int = 0, bottom: int = 0, by: str | None = None, source: str = "obs") -> Encoder:
+        """Shares of weight over the whole vocabulary of each column, of which the network learns a projection to ``dim``."""
+        return self._add(Spec("sparse", name, tuple(columns), source, dim, top, bottom, by))
+
     def add_onehot(self, name: str, columns: list[str], source: str = "units") -> Encoder:
         return self._add(Spec("onehot", name, tuple(columns), source))
 
@@ -82,7 +86,7 @@ class Encoder:
                 raise ValueError(f"{s.name} needs observations")
             if missing := [c for c in s.columns if c not in rows.columns]:
                 raise ValueError(f"{s.name}: no column {', '.join(missing)} in {s.source}")
-            if s.kind in ("embed", "onehot"):
+            if s.kind in ("embed", "onehot", "sparse"):
                 for c in s.columns:
                     vocabularies[f"{s.name}:{c}"] = vocab.alphabetical(rows.select(F.col(c).cast("string").alias(c)), c).persist()
             elif s.kind == "numeric":
@@ -118,7 +122,7 @@ class EncoderModel:
     def width(self, s: Spec) -> int:
         if s.kind == "hash":
             return s.dim
-        return sum(self.vocab_size(s.name, c) for c in s.columns) if s.kind == "onehot" else 0 if s.kind == "embed" else len(s.columns)
+        return sum(self.vocab_size(s.name, c) for c in s.columns) if s.kind == "onehot" else 0 if s.kind in ("embed", "sparse") else len(s.columns)
 
     @property
     def continuous_dim(self) -> int:
@@ -129,6 +133,21 @@ class EncoderModel:
         """(name, column, slots, vocabulary size, dimension) of each embedding."""
         return [(s.name, c, s.slots, self.vocab_size(s.name, c), s.dim) for s in self.specs if s.kind == "embed" for c in s.columns]
 
+    @property
+    def bags(self) -> list[tuple[str, str, int, int]]:
+        """(name, column, vocabulary size, dimension) of each sparse input."""
+        return [(s.name, c, self.vocab_size(s.name, c), s.dim) for s in self.specs if s.kind == "sparse" for c in s.columns]
+
+    def sparse(self, units: DataFrame, obs: DataFrame | None, name: str, column: str) -> DataFrame:
+        """``(unit_id, idx, value)``: the shares of a unit's (selected) weight in the known values; never made dense."""
+        s = next((s for s in self.specs if s.name == name and s.kind == "sparse"), None)
+        if s is None:
+            raise KeyError(f"no sparse input {name}")
+        items = self._items(s, F.col(column).cast("string"), units, obs).where("item is not null")
+        shares = normalised(self._chosen(s, items), "norm")
+        known = vocab.encoded(shares, "item", self.vocabularies[f"{name}:{column}"], "idx").where("idx > 0")
+        return known.select("unit_id", "idx", F.col("weight").alias("value"))
+
     def _items(self, s: Spec, key, units: DataFrame, obs: DataFrame | None) -> DataFrame:
         if s.source == "units":
             return units.select("unit_id", key.alias("item"), F.lit(1.0).alias("weight"))
@@ -162,7 +181,7 @@ class EncoderModel:
         """``(unit_id, slot, value)``; slots of all specifications follow each other in their order."""
         out, at = None, 0
         for s in self.specs:
-            if s.kind == "embed":
+            if s.kind in ("embed", "sparse"):
                 continue
             part = self._part(s, units, obs).withColumn("slot", F.col("slot").cast("long") + at)
             out, at = part if out is None else out.unionByName(part), at + self.width(s)
@@ -200,5 +219,5 @@ class EncoderModel:
         found = json.loads(spark.read.text(f"{path}/encoder").first()[0])
         specs = [Spec(**(s | {"columns": tuple(s["columns"])})) for s in found["specs"]]
         rows = spark.read.parquet(f"{path}/vocabularies")
-        keys = [f"{s.name}:{c}" for s in specs if s.kind in ("embed", "onehot") for c in s.columns]
+        keys = [f"{s.name}:{c}" for s in specs if s.kind in ("embed", "onehot", "sparse") for c in s.columns]
         return cls(specs, {k: rows.where(F.col("vocabulary") == k).select("value", "idx") for k in keys}, found["scalers"])

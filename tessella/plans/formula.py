@@ -1,4 +1,4 @@
-"""Formulas such as ``price ~ depth + hash(item, dim=32, top=3, by="cover") + embed(genus, family, top=2) + onehot(soil)``.
+"""Formulas such as ``price ~ depth + hash(item, dim=32, top=3, by="cover") + embed(genus, family, top=2) + sparse(item) + onehot(soil)``.
 
 A formula is tokenised and parsed to terms, checked against both tables'
 columns, and lowered to an encoder. ``cbind(a, b)`` names several targets.
@@ -14,7 +14,7 @@ from pyspark.sql import DataFrame
 from .encoder import Encoder
 
 _TOKEN = re.compile(r"""\s*(?:(?P<name>[A-Za-z_.][\w.]*)|(?P<number>\d+)|(?P<text>"[^"]*"|'[^']*')|(?P<mark>[~+(),=]))""")
-CALLS = {"raw": set(), "hash": {"dim", "top", "bottom", "by"}, "embed": {"dim", "top", "bottom", "by"}, "onehot": set()}
+CALLS = {"raw": set(), "hash": {"dim", "top", "bottom", "by"}, "embed": {"dim", "top", "bottom", "by"}, "onehot": set(), "sparse": {"dim", "top", "bottom", "by"}}
 
 
 @dataclass

@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .functions.hashing import hash_column
+from .functions.hashing import hash_column, integer_bucket_and_sign, integer_hash
 from .functions.scalars import argmax_first, expm1_clamped, finite, linear, restored, softmax_max, to_double, transformed
 from .model.schedules import cosine_lr, onecycle_lr, step_lr
 from .operators import encode, loss, metrics, scale, select, similar, split, units, vocab, weights
@@ -369,6 +369,23 @@ def sparse_projection(s, d):
     return rounded(encode.sparse_projection(encode.sparse_vector(o, known), matrix), "value")
 
 
+@query(f"WITH {OBS}, {W}, {ALPHA_ITEM}, t AS (SELECT * FROM w QUALIFY {DOWN} <= 3), n AS (SELECT unit_id, item, {SHARE} AS share FROM t) SELECT unit_id, idx, round(share, 6) AS value FROM n JOIN v ON item = v.value")
+def sparse_term(s, d):
+    u, o = ol_units(s, d), ol_obs(s, d)
+    return rounded(lowered("price ~ sparse(item, dim=4, top=3)", u, o).fit(u, o).sparse(u, o, "sparse_item", "item"), "value")
+
+
+@query("""WITH a AS (SELECT p_partkey, CAST(CAST(p_partkey AS BIGINT) AS UHUGEINT) AS h FROM part),
+b AS (SELECT p_partkey, (xor(h, h >> 33) * 18397679294719823053::UHUGEINT) & 18446744073709551615::UHUGEINT AS h FROM a),
+c AS (SELECT p_partkey, (xor(h, h >> 33) * 14181476777654086739::UHUGEINT) & 18446744073709551615::UHUGEINT AS h FROM b),
+e AS (SELECT p_partkey, CAST(xor(h, h >> 33) & 4294967295::UHUGEINT AS BIGINT) AS h FROM c),
+f AS (SELECT p_partkey, CASE WHEN h > 2147483647 THEN h - 4294967296 ELSE h END AS h FROM e)
+SELECT p_partkey, h AS hash, abs(h) % 32 AS slot, CASE WHEN h >= 0 THEN 1.0::DOUBLE ELSE -1.0::DOUBLE END AS sign FROM f""")
+def hash_integer_ids(s, d):
+    slot, sign = integer_bucket_and_sign(F.col("p_partkey"), 32)
+    return table(s, d, "part").select("p_partkey", integer_hash(F.col("p_partkey")).alias("hash"), slot.alias("slot"), sign.alias("sign"))
+
+
 PRIORITY = "v AS (SELECT priority AS value, row_number() OVER (ORDER BY priority) AS idx FROM (SELECT DISTINCT priority FROM units WHERE status <> 'P'))"
 
 

@@ -49,6 +49,17 @@ def from_one_table(rows: DataFrame, roles: Roles, order: list[str], keep: tuple[
     return roles.units_of(first, keep), roles.obs_of(rows)
 
 
+def from_pandas(spark: SparkSession, units, obs, roles: Roles, keep: tuple[str, ...] = ()) -> tuple[DataFrame, DataFrame]:
+    """Units and observations of two pandas frames, which the driver holds already; missing values of any kind are nulls."""
+    return from_two_tables(_of_pandas(spark, units), _of_pandas(spark, obs), roles, keep)
+
+
+def _of_pandas(spark: SparkSession, rows) -> DataFrame:
+    texts = rows.select_dtypes(exclude=["number", "bool", "datetime"])
+    df = spark.createDataFrame(rows.assign(**{c: x.astype(object).where(x.notna(), None) for c, x in texts.items()}))
+    return df.select(*[F.when(~F.isnan(f"`{c}`"), F.col(f"`{c}`")).alias(c) if t in ("double", "float") else F.col(f"`{c}`") for c, t in df.dtypes])
+
+
 def write_predictions(predictions: DataFrame, path: str) -> None:
     predictions.write.mode("overwrite").csv(path, header=True, nullValue="NA")
 

@@ -7,8 +7,9 @@ import pytest
 from pyspark.sql import functions as F
 
 from tessella.cli import main
-from tessella.model.nn import Network, erf
-from tessella.model.train import Trainer
+from tessella.functions.hashing import integer_hash
+from tessella.model.nn import Bags, Network, erf
+from tessella.model.train import PRESETS, Trainer, preset_keywords
 from tessella.operators import similar, units, vocab
 from tessella.operators.loss import Phase
 from tessella.sources import io
@@ -223,3 +224,81 @@ def test_unknown_features_checkpoint_and_summary(spark, tmp_path):
     # intervals don't depend on how rows come in batches
     a, b = ({r["unit_id"]: r["elevation_low"] for r in t.predict(u.repartition(n), rare, samples=9).collect()} for n in (1, 7))
     assert a.keys() == b.keys() and all(abs(a[k] - b[k]) < 1e-6 * max(1, abs(a[k])) for k in a)
+
+
+def test_bags_are_a_sparse_matrix():
+    rng = np.random.default_rng(3)
+    dense = rng.normal(size=(9, 6)) * (rng.random((9, 6)) < 0.3)
+    starts = np.concatenate([[0], np.cumsum((dense != 0).sum(1))])
+    bags = Bags(starts, np.nonzero(dense)[1], dense[dense != 0])
+    w, d, some = rng.normal(size=(6, 4)), rng.normal(size=(9, 4)), np.array([7, 0, 3, 3])
+    assert np.allclose(bags.times(w), dense @ w) and np.allclose(bags.transposed_times(d, 6), dense.T @ d)
+    assert np.allclose(bags[some].times(w), dense[some] @ w) and bags[some[:0]].times(w).shape == (0, 4)
+    # the gradient of a projection within a network
+    net, x, y = Network(2, [], (5,), {"y": 1}, dropout=0.0, seed=1, bags=[(6, 3)]), rng.normal(size=(9, 2)), rng.normal(size=9)
+    loss = lambda: ((net.head("y", net.latent(x, [bags], None, None, batch_stats=True))[:, 0] - y) ** 2).mean()
+    keep = []
+    h = net.latent(x, [bags], None, keep, batch_stats=True)
+    g = net.backward([bags], keep, h, {"y": 2 * (net.head("y", h)[:, 0] - y)[:, None] / 9})["q0"]
+    at = np.unravel_index(np.argmax(np.abs(g)), g.shape)
+    net.p["q0"][at] += 1e-5
+    up = loss()
+    net.p["q0"][at] -= 2e-5
+    assert (up - loss()) / 2e-5 == pytest.approx(g[at], rel=1e-3)
+
+
+def test_sparse_term(spark, tmp_path):
+    u, o = io.sample_data(spark, 200, 40)
+    liked = o.groupBy("unit_id").agg((F.sum(F.when(F.col("genus") < "g004", F.col("weight")).otherwise(0.0)) / F.sum("weight")).alias("liked"))
+    u = u.join(liked, "unit_id")
+    t = Trainer("liked ~ sparse(item, dim=4)", [Target.regression("liked")], hidden=(16,), epochs=60, batch=32, lr=1e-2, dropout=0.0)
+    t.fit(u, o)
+    got = t.predict(u, o).orderBy("unit_id").toPandas()
+    assert np.corrcoef(got["liked"], u.orderBy("unit_id").toPandas()["liked"])[0, 1] > 0.9
+    assert {len(v) for v in t.embeddings("sparse_item", "item").values()} == {4} and t.net.p["q0"].shape[0] == t.encoder.vocab_size("sparse_item", "item")
+    t.save(str(tmp_path / "m"), spark)
+    again = Trainer.load(str(tmp_path / "m"), spark)
+    assert np.allclose(again.predict(u, o).orderBy("unit_id").toPandas()["liked"], got["liked"])
+    # units without observations, or with unknown items alone, are predicted from an empty bag
+    bare = {r["liked"] for r in t.predict(u, o.limit(0)).collect()} | {r["liked"] for r in t.predict(u, o.withColumn("item", F.lit("new"))).collect()}
+    assert max(bare) - min(bare) < 1e-9
+
+
+def test_presets():
+    assert {n: preset_keywords(n)["hidden"] for n in PRESETS} == {"tiny": (128, 64), "small": (256, 128, 64), "medium": (512, 256, 128, 64), "large": (1024, 512, 256, 128, 64), "xl": (2048, 1024, 512, 256, 128, 64), "max": (2048, 1024, 512, 256, 128, 64, 32)}
+    t = Trainer.preset("max", "y ~ x", [Target.regression("y")], **preset_keywords("tiny", checkpoint="c"))
+    assert t.hidden == (128, 64) and t.checkpoint == "c" and t.checkpoint_every == 50 and t.batch == 16384
+    assert Trainer("y ~ x", t.targets, **t.keywords()).keywords() == t.keywords()
+    with pytest.raises(ValueError):
+        preset_keywords("huge")
+
+
+def test_integer_hash(spark):
+    ids = [0, 1, -1, 7, 2**31, -(2**31), 2**63 - 1, -(2**63), 1234567890123456789, -987654321987654321]
+
+    def plain(x):
+        x %= 2**64
+        for c in (0xFF51AFD7ED558CCD, 0xC4CEB9FE1A85EC53):
+            x = (x ^ x >> 33) * c % 2**64
+        x = (x ^ x >> 33) % 2**32
+        return x - 2**32 if x >= 2**31 else x
+
+    rows = spark.createDataFrame([(x,) for x in [*ids, None]], "x long").select("x", integer_hash(F.col("x")).alias("h")).collect()
+    assert {r["x"]: r["h"] for r in rows} == {x: plain(x) for x in ids} | {None: None}
+
+
+def test_pandas_source(spark):
+    import pandas as pd
+
+    u = pd.DataFrame({"id": ["a", "b", "c"], "v": [1.5, None, 3.0]})
+    o = pd.DataFrame({"id": ["a", "a", "z"], "it": ["i", None, "j"], "w": [2.0, 1.0, float("nan")]})
+    units_, obs = io.from_pandas(spark, u, o, Roles("id", "it", weight="w", covariates=("v",)))
+    plain_u, plain_o = io.from_two_tables(spark.createDataFrame([("a", 1.5), ("b", None), ("c", 3.0)], "id string, v double"), spark.createDataFrame([("a", "i", 2.0), ("a", None, 1.0), ("z", "j", None)], "id string, it string, w double"), Roles("id", "it", weight="w", covariates=("v",)))
+    assert sorted(map(str, units_.collect())) == sorted(map(str, plain_u.collect())) and sorted(map(str, obs.collect())) == sorted(map(str, plain_o.collect()))
+
+
+def test_csv_inference_pads_short_rows_and_ignores_extra_cells(spark, tmp_path):
+    (tmp_path / "a.csv").write_text("id,x,y\n1,2.5,a\n2,3.5\n3,4.5,c,more\n")
+    df = io.read_csv(spark, str(tmp_path / "a.csv"), infer=True)
+    assert dict(df.dtypes) == {"id": "int", "x": "double", "y": "string"}
+    assert sorted(map(tuple, df.collect())) == [(1, 2.5, "a"), (2, 3.5, None), (3, 4.5, "c")]
