@@ -37,6 +37,15 @@ def _power(n: int) -> tuple[np.ndarray, np.ndarray]:
     return _powers[0], _powers[1]
 
 
+def unit_hashes(data: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np.ndarray:
+    """Hashes of the stretches of ``data`` between these places."""
+    power, inverse = _power(len(data) + 1)
+    with np.errstate(over="ignore"):
+        sums = np.zeros(len(data) + 1, np.uint64)
+        np.cumsum(_VALUE[data] * power[: len(data)], out=sums[1:])
+        return mix((sums[ends] - sums[starts]) * inverse[starts] + (ends - starts).astype(np.uint64))
+
+
 def word_bounds(raw: list[bytes]) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
     """Texts as one array of bytes; hashes, starts and ends of all their words; and how many words each text has."""
     sizes = np.fromiter(map(len, raw), np.int64, len(raw)) + 1
@@ -46,11 +55,7 @@ def word_bounds(raw: list[bytes]) -> tuple[np.ndarray, np.ndarray, np.ndarray, n
     if not space[0]:
         edges = np.concatenate([[0], edges])
     starts, ends = edges[0::2], edges[1::2]
-    power, inverse = _power(len(data) + 1)
-    with np.errstate(over="ignore"):
-        sums = np.zeros(len(data) + 1, np.uint64)
-        np.cumsum(_VALUE[data] * power[: len(data)], out=sums[1:])
-        h = mix((sums[ends] - sums[starts]) * inverse[starts] + (ends - starts).astype(np.uint64))
+    h = unit_hashes(data, starts, ends)
     counts = np.diff(np.concatenate([[0], np.searchsorted(starts, np.cumsum(sizes))]))
     return data, h, starts, ends, counts
 

@@ -101,6 +101,10 @@ class Words:
         more = [(w, k) for w, k in zip(new, of[at < 0].tolist(), strict=True) if k not in own]
         got = [ids[stem] + self.marks[end] for stem, end in zip(stems, ends, strict=True)] + [ids[w] for w, _ in more]
         h = np.concatenate([h, np.array([k for _, k in more], np.uint64)])
+        self._keep(h, got)
+
+    def _keep(self, h: np.ndarray, got: list[list[int]]) -> None:
+        """Stores the ids of words with these hashes, in the places that follow the last one's."""
         sizes = np.fromiter(map(len, got), np.int64, len(got))
         n, total = self.n, int(sizes.sum())
         while n + len(got) > len(self.starts):
@@ -129,11 +133,15 @@ class Words:
             at = stop
         return np.concatenate(ids) if ids else np.zeros(0, np.uint32), np.concatenate(offsets)
 
-    def _encode(self, texts: list[str | None]) -> tuple[np.ndarray, np.ndarray]:
+    def _bounds(self, texts: list[str | None]):
+        """The texts as one array of bytes; hashes, starts and ends of their words; and how many each has."""
         raw = [x.encode("utf-8", "replace") if x else b"" for x in texts]
         # the tokenizer lower-cases after composing characters, so texts with combining marks keep their case here
-        raw = [x if b"\xcc" in x or b"\xcd" in x else x.lower() for x in raw]
-        data, h, starts, ends, counts = word_bounds(raw)
+        return word_bounds([x if b"\xcc" in x or b"\xcd" in x else x.lower() for x in raw])
+
+    def _places(self, texts: list[str | None]) -> tuple[np.ndarray, np.ndarray]:
+        """Places of all words in a row, new ones stored now, and how many each text has."""
+        data, h, starts, ends, counts = self._bounds(texts)
         h[h == 0] = 1
         at = self._find(h)
         missing = at < 0
@@ -148,6 +156,10 @@ class Words:
             buffer = data.tobytes()
             self._learn([buffer[x:y].decode() for x, y in zip(starts[here].tolist(), ends[here].tolist(), strict=True)], new)
             at[missing] = before + where
+        return at, counts
+
+    def _encode(self, texts: list[str | None]) -> tuple[np.ndarray, np.ndarray]:
+        at, counts = self._places(texts)
         sizes = self.sizes[at].astype(np.int64)
         stops = np.cumsum(sizes)
         total = int(stops[-1]) if len(stops) else 0
