@@ -5,7 +5,7 @@ from __future__ import annotations
 import importlib
 
 #: Modules in the order of their operators.
-MODULES = ["url_filter", "decontaminate", "materialise", "nndescent", "quality", "html_extract", "pii", "chat", "jaccard", "pack"]
+MODULES = ["url_filter", "decontaminate", "materialise", "nndescent", "quality", "html_extract", "pii", "chat", "jaccard", "pack", "codec", "hard_negatives", "align"]
 
 
 def _merged(name: str) -> dict:
