@@ -1,8 +1,8 @@
 """Training and prediction on encoded units.
 
-Features, targets and scalers are computed by Spark. The network is fitted on the
-driver on at most ``max_train`` units (a bound, chosen by the split's hash), as
-reference-size models are; prediction runs on the executors, a batch at a time, with the weights broadcast.
+Features, targets and scalers are computed by Spark. All labelled units train: they are dealt into shards once, and
+every pass works on all shards at the same time (``passes``), so the driver holds weights only. Prediction runs on the
+executors, a batch at a time, with the weights broadcast.
 """
 
 from __future__ import annotations
@@ -20,12 +20,14 @@ from pyspark.sql import functions as F
 
 from ..functions.scalars import to_double
 from ..operators import metrics, split, vocab
-from ..operators.loss import PHASES, PRESETS as LOSSES, Phase, phase_of
+from ..operators.loss import PHASES, PRESETS as LOSSES, Phase
 from ..plans.encoder import EncoderModel
 from ..plans.formula import lowered
 from ..sources.roles import Target
 from ..sources.shared import written
+from . import passes
 from .nn import AdamW, Bags, Network, UnitRandom
+from .objective import Objective, restored
 from .schedules import cosine_lr, onecycle_lr, step_lr
 
 #: The default loss: absolute error, then with a share of SMAPE, then also with a band penalty; phases begin at the boundaries.
@@ -51,14 +53,6 @@ class Result:
     history: list[dict] = field(default_factory=list)
 
 
-def _restore(x: np.ndarray, transform: str) -> np.ndarray:
-    return np.expm1(np.clip(x, -88, 88)) if transform == "log1p" else x * x if transform == "sqrt" else x
-
-
-def _apply(x: np.ndarray, transform: str) -> np.ndarray:
-    return np.log1p(x) if transform == "log1p" else np.sqrt(x) if transform == "sqrt" else x
-
-
 class Trainer:
     """``fit`` on units and observations, then ``predict``; ``save`` and ``load`` keep everything that either needs.
 
@@ -66,17 +60,19 @@ class Trainer:
     ``min_units`` units, or not seen in training), and the number of such rows. ``clip`` bounds the gradient's norm;
     ``min_delta`` is the least gain that counts as one; the rate rises over the first ``warmup`` epochs. With ``checkpoint``
     everything is saved there every ``checkpoint_every`` epochs: ``load`` it and ``fit(.., resume=True)`` goes on.
+    A step is taken after ``accumulate`` batches; ``shards`` is how many parts of the units train side by side between two
+    averages of the weights (null: as many as the units' number and size ask for).
     """
 
-    def __init__(self, formula: str, targets: list[Target], hidden: tuple[int, ...] = (64, 32), epochs: int = 50, batch: int = 256, lr: float = 1e-3, schedule: str = "none", patience: int = 20, test_share: float = 0.2, dropout: float = 0.1, seed: int = 42, loss: str | list[Phase] = "phased", boundaries: tuple[int, ...] = PHASES, max_train: int = 100_000, callback=None, progress: str | None = None, unknown_features: bool = False, min_units: int = 1, clip: float = 1.0, min_delta: float = 0.0, warmup: int = 0, checkpoint: str | None = None, checkpoint_every: int = 10, decay: float = 1e-4):
+    def __init__(self, formula: str, targets: list[Target], hidden: tuple[int, ...] = (64, 32), epochs: int = 50, batch: int = 256, lr: float = 1e-3, schedule: str = "none", patience: int = 20, test_share: float = 0.2, dropout: float = 0.1, seed: int = 42, loss: str | list[Phase] = "phased", boundaries: tuple[int, ...] = PHASES, callback=None, progress: str | None = None, unknown_features: bool = False, min_units: int = 1, clip: float = 1.0, min_delta: float = 0.0, warmup: int = 0, checkpoint: str | None = None, checkpoint_every: int = 10, decay: float = 1e-4, accumulate: int = 1, shards: int | None = None):
         self.formula, self.targets, self.hidden, self.epochs, self.batch, self.lr = formula, targets, tuple(hidden), epochs, batch, lr
-        self.schedule, self.patience, self.test_share, self.dropout, self.seed, self.loss, self.max_train, self.callback = schedule, patience, test_share, dropout, seed, loss, max_train, callback
+        self.schedule, self.patience, self.test_share, self.dropout, self.seed, self.loss, self.callback = schedule, patience, test_share, dropout, seed, loss, callback
         self.phases = list(PHASED) if loss == "phased" else [LOSSES[loss]] if isinstance(loss, str) else list(loss)
         self.boundaries, self.progress = tuple(boundaries)[: len(self.phases) - 1], progress
         if len(self.phases) != len(self.boundaries) + 1 or list(self.boundaries) != sorted(self.boundaries):
             raise ValueError("n phases need n - 1 ascending boundaries")
         self.unknown_features, self.min_units, self.clip, self.min_delta, self.warmup, self.checkpoint, self.checkpoint_every = unknown_features, min_units, clip, min_delta, warmup, checkpoint, checkpoint_every
-        self.decay = decay
+        self.decay, self.accumulate, self.shards = decay, accumulate, shards
         self.encoder: EncoderModel | None = None
         self.net: Network | None = None
         self.scalers: dict[str, tuple[float, float]] = {}
@@ -121,7 +117,7 @@ class Trainer:
 
     def keywords(self) -> dict:
         """The keyword arguments that make an untrained trainer like this one."""
-        plain = ("hidden", "epochs", "batch", "lr", "schedule", "patience", "test_share", "dropout", "seed", "boundaries", "max_train", "callback", "progress", "unknown_features", "min_units", "clip", "min_delta", "warmup", "checkpoint", "checkpoint_every", "decay")
+        plain = ("hidden", "epochs", "batch", "lr", "schedule", "patience", "test_share", "dropout", "seed", "boundaries", "callback", "progress", "unknown_features", "min_units", "clip", "min_delta", "warmup", "checkpoint", "checkpoint_every", "decay", "accumulate", "shards")
         return {k: getattr(self, k) for k in plain} | {"loss": self.phases}
 
     # --- features
@@ -171,64 +167,78 @@ class Trainer:
             column = self._item_column()
             self.known = written(self._known(obs, column), "known") if column and obs is not None else None
         marked = split.train_test(labelled.select("unit_id"), self.test_share, self.seed)
-        chosen = marked.orderBy(F.xxhash64(F.lit(self.seed), "unit_id"), "unit_id").limit(self.max_train)
-        table = self._table(labelled.join(chosen.select("unit_id"), "unit_id", "left_semi"), obs, self.encoder)
+        table = self._table(labelled, obs, self.encoder)
         if self.unknown_features:
             table = self._certain(table, obs).drop("_sure")
-        rows = table.join(chosen, "unit_id").toArrow().sort_by("unit_id")
-        x, ids = self._arrays(rows, self.encoder)
-        test = np.array(rows.column("is_test").to_pylist(), bool)
-        raw = {t.name: np.array(rows.column(t.name).to_pylist(), float) for t in self.targets}
+        shards = self._dealt(table.join(marked, "unit_id"), labelled.count())
+        regressions = {t.name: t.transform for t in self.targets if t.task == "regression"}
         if not resume or self.net is None:
-            sd = x[~test].std(0, ddof=1) if (~test).sum() > 1 else np.zeros(x.shape[1])
-            self.inputs = (x[~test].mean(0) if (~test).any() else np.zeros(x.shape[1]), np.where(sd < 1e-8, 1.0, sd))
+            found = passes.moments(shards, regressions)
+            wide = self.encoder.continuous_dim + 2 * self.unknown_features
+            n, mean, m2 = found.get("", (0, np.zeros(wide), np.zeros(wide)))
+            sd = np.sqrt(m2 / max(n - 1, 1))
+            self.inputs = (mean, np.where(sd < 1e-8, 1.0, sd))
             for t in self.targets:
-                y = _apply(raw[t.name][~test], t.transform)
-                s = y.std(ddof=1) if len(y) > 1 else 0.0
-                self.scalers[t.name] = (float(y.mean()), float(s) if s >= 1e-8 else 1.0) if t.task == "regression" and len(y) else (0.0, 1.0)
+                n, mean, m2 = found.get(t.name, (0, np.zeros(1), np.zeros(1)))
+                sd = float(np.sqrt(m2[0] / max(n - 1, 1)))
+                self.scalers[t.name] = (float(mean[0]), sd if sd >= 1e-8 else 1.0) if n else (0.0, 1.0)
             heads = {t.name: t.num_classes if t.task == "classification" else 1 for t in self.targets}
             sizes = [(slots, size, dim) for _, _, slots, size, dim in self.encoder.embeddings]
-            self.net = Network(x.shape[1], sizes, self.hidden, heads, self.dropout, self.seed, [(size, dim) for _, _, size, dim in self.encoder.bags])
+            self.net = Network(len(self.inputs[0]), sizes, self.hidden, heads, self.dropout, self.seed, [(size, dim) for _, _, size, dim in self.encoder.bags])
             self.optimizer, self.epoch, self.result = AdamW(self.net.p, self.decay, self.clip), 0, Result()
-        x = (x - self.inputs[0]) / self.inputs[1]
-        rng = np.random.default_rng(self.seed + self.epoch)
-        train, held = np.flatnonzero(~test), np.flatnonzero(test)
-        best, waited = {k: v.copy() for k, v in (self.net.p | self.net.stats).items()}, 0
-        for epoch in range(self.epoch, self.epoch + self.epochs):
-            lr = self._rate(epoch)
-            order = rng.permutation(train)
-            total = 0.0
-            for a in range(0, len(order), self.batch):
-                k = order[a : a + self.batch]
-                keep: list = []
-                h = self.net.latent(x[k], [i[k] for i in ids], rng, keep, batch_stats=True)
-                value, at_heads = self._loss(h, {n: y[k] for n, y in raw.items()}, epoch)
-                total += value * len(k)
-                self.optimizer.step(self.net.p, self.net.backward([i[k] for i in ids], keep, h, at_heads), lr)
-            h = self.net.latent(x[held], [i[held] for i in ids])
-            held_loss = self._loss(h, {n: y[held] for n, y in raw.items()}, epoch)[0] if len(held) else total / max(len(order), 1)
-            row = {"epoch": epoch, "lr": lr, "train_loss": total / max(len(order), 1), "test_loss": held_loss}
-            self.result.history.append(row)
-            if self.callback:
-                self.callback(row)
-            if self.progress:
-                Path(self.progress).write_text(json.dumps(row | {"epochs": self.epochs, "best_epoch": self.result.best_epoch, "best_loss": min(self.result.best_loss, held_loss)}))
-            waited += 1
-            if held_loss < self.result.best_loss - self.min_delta:
-                self.result.best_epoch, self.result.best_loss, waited = epoch, held_loss, 0
-                best = {k: v.copy() for k, v in (self.net.p | self.net.stats).items()}
-            if self.checkpoint and (epoch + 1) % self.checkpoint_every == 0:
-                self.epoch = epoch + 1
-                self.save(self.checkpoint, units.sparkSession)
-            if waited >= self.patience:
-                break
-        self.epoch = epoch + 1 if self.epochs else self.epoch
-        for k in self.net.p:
-            self.net.p[k] = best[k]
-        for k in self.net.stats:
-            self.net.stats[k] = best[k]
+        self._passes(shards, units.sparkSession)
         return self.result
 
+    def _dealt(self, table: DataFrame, n: int) -> DataFrame:
+        """The units' shards."""
+        encoder, wide = _Shape(self.encoder), self.encoder.continuous_dim + 2 * self.unknown_features
+        row_bytes = 8 * (wide + len(self.targets) + sum(e[2] for e in encoder.embeddings) + 64 * len(encoder.bags))
+        many = self.shards or passes.shards_for(n, row_bytes)
+        return passes.sharded(table, lambda rows: Trainer._arrays(rows, encoder), [t.name for t in self.targets], many, self.seed)
+
+    def _passes(self, shards: DataFrame, spark: SparkSession) -> None:
+        """Passes until the epochs are over or the held-out loss has stopped falling; the best weights stay.
+
+        The held-out loss of an epoch comes with the next pass, so the last pass trains in vain when patience ends.
+        """
+        objective = Objective(self.targets, self.scalers, self.phases, self.boundaries)
+        state = passes.State(self.net, self.optimizer)
+        copy = lambda: {k: v.copy() for k, v in (self.net.p | self.net.stats).items()}
+        best, waited, row = copy(), 0, None
+        for epoch in range(self.epoch, self.epoch + self.epochs + 1):
+            more = epoch < self.epoch + self.epochs
+            if not more and row is None:
+                break
+            lr = self._rate(epoch)
+            out = passes.run_pass(shards, state, objective, self.inputs, epoch, lr, self.batch, self.accumulate, self.seed, more, row is not None)
+            if row is not None:
+                held = {k: (value / over if over else 0.0, over) for k, (value, over) in (out.held or {}).items()}
+                row["test_loss"] = objective.total(held) if any(over for _, over in held.values()) else row["train_loss"]
+                waited += 1
+                if row["test_loss"] < self.result.best_loss - self.min_delta:
+                    self.result.best_epoch, self.result.best_loss, waited, best = row["epoch"], row["test_loss"], 0, copy()
+                self._report(row, spark)
+                if waited >= self.patience:
+                    break
+            if out.arrays is not None:
+                state.load({k: v / out.units for k, v in out.arrays.items()}, self.optimizer.t + out.steps)
+            row = {"epoch": epoch, "lr": lr, "train_loss": out.loss / max(out.units, 1), "test_loss": 0.0} if more else None
+        if self.result.history:
+            self.epoch = self.result.history[-1]["epoch"] + 1
+        for of in (self.net.p, self.net.stats):
+            of.update({k: best[k] for k in of})
+
+    def _report(self, row: dict, spark: SparkSession) -> None:
+        self.result.history.append(row)
+        if self.callback:
+            self.callback(row)
+        if self.progress:
+            Path(self.progress).write_text(json.dumps(row | {"epochs": self.epochs, "best_epoch": self.result.best_epoch, "best_loss": self.result.best_loss}))
+        if self.checkpoint and (row["epoch"] + 1) % self.checkpoint_every == 0:
+            first, self.epoch = self.epoch, row["epoch"] + 1
+            self.save(self.checkpoint, spark)
+            self.epoch = first
+
     def _rate(self, epoch: int) -> float:
         """The schedule's rate, rising in equal steps over the warm-up epochs."""
         return self._scheduled(epoch) * min(1.0, (epoch + 1) / self.warmup if self.warmup else 1.0)
@@ -240,46 +250,6 @@ class Trainer:
             return onecycle_lr(epoch, self.lr, self.epochs)
         return cosine_lr(epoch, self.lr, 1e-6, self.epochs) if self.schedule == "cosine" else self.lr
 
-    def _loss(self, h: np.ndarray, raw: dict[str, np.ndarray], epoch: int) -> tuple[float, dict[str, np.ndarray]]:
-        """Weighted loss of all targets and the gradients at their heads' outputs."""
-        total, grads = 0.0, {}
-        n = max(len(h), 1)
-        phase = self.phases[phase_of(epoch, self.boundaries) - 1]
-        for t in self.targets:
-            out = self.net.head(t.name, h)
-            if t.task == "classification":
-                y = raw[t.name].astype(int)
-                z = out - out.max(1, keepdims=True)
-                p = np.exp(z) / np.exp(z).sum(1, keepdims=True)
-                w = np.array(t.class_weights)[y] if t.class_weights else np.ones(len(y))
-                total += t.weight * float(-(w * np.log(p[np.arange(len(y)), y] + 1e-12)).sum() / max(w.sum(), 1e-12))
-                p[np.arange(len(y)), y] -= 1
-                grads[t.name] = t.weight * p * w[:, None] / max(w.sum(), 1e-12)
-                continue
-            mean, scale = self.scalers[t.name]
-            y = (_apply(raw[t.name], t.transform) - mean) / scale
-            d = out[:, 0] - y
-            size = np.abs(d)
-            value, g = 0.0, np.zeros(len(d))
-            if len(d):
-                small = size <= phase.huber_delta
-                curve = np.where(small, 0.5 * d * d, phase.huber_delta * (size - 0.5 * phase.huber_delta))
-                value = phase.mae * float(size.mean()) + phase.mse * float((d * d).mean()) + phase.huber * float(curve.mean())
-                g = (phase.mae * np.sign(d) + phase.mse * 2 * d + phase.huber * np.where(small, d, phase.huber_delta * np.sign(d))) / n
-            if len(d) and (phase.smape or phase.band):  # these two are taken in the original scale
-                original, truth = _restore(out[:, 0] * scale + mean, t.transform), raw[t.name]
-                slope = scale * (original + 1 if t.transform == "log1p" else 2 * np.abs(out[:, 0] * scale + mean) if t.transform == "sqrt" else 1.0)
-                e, s = original - truth, np.abs(original) + np.abs(truth) + 1e-8
-                value += phase.smape * float((np.abs(e) / s).mean())
-                g = g + phase.smape * slope * (np.sign(e) / s - np.abs(e) * np.sign(original) / (s * s)) / n
-                most = np.maximum(np.abs(truth), 1e-7)
-                over = np.abs(e) / most - phase.band_threshold
-                value += phase.band * float(np.maximum(over, 0).mean())
-                g = g + phase.band * slope * (over > 0) * np.sign(e) / most / n
-            total += t.weight * value
-            grads[t.name] = t.weight * g[:, None]
-        return total, grads
-
     # --- prediction
     @property
     def n_params(self) -> int:
@@ -295,8 +265,8 @@ class Trainer:
             raise ValueError("fit or load first")
         inputs = {c for s in self.encoder.specs if s.source == "units" for c in s.columns}
         bare = units.drop(*[t.name for t in self.targets if t.name not in inputs])
-        keep = [c for c in self._table(bare, obs, self.encoder).columns if c not in {t.name for t in self.targets}]
-        table = self._certain(self._table(bare, obs, self.encoder).select(*keep), obs)
+        own = self._table(bare, obs, self.encoder)
+        table = self._certain(own.select(*[c for c in own.columns if c not in {t.name for t in self.targets}]), obs)
         shared = units.sparkSession.sparkContext.broadcast(pickle.dumps((self.net, self.inputs, self.scalers)))
         targets, encoder, seed = self.targets, _Shape(self.encoder), self.seed
 
@@ -311,7 +281,7 @@ class Trainer:
                 def values(t, h, net=net, scalers=scalers):
                     m, s = scalers[t.name]
                     y = net.head(t.name, h)[:, 0] * s + m
-                    return _restore(y, t.transform) if space == "raw" else y
+                    return restored(y, t.transform) if space == "raw" else y
 
                 for t in targets:
                     if t.task == "classification":
@@ -357,16 +327,28 @@ class Trainer:
             out = got if out is None else out.unionByName(got)
         return out
 
-    def embeddings(self, name: str, column: str) -> dict[str, list[float]]:
-        """The learned vector of each vocabulary value, from the first slot's table or the projection of a sparse input."""
-        for k, (n, c, *_rest) in enumerate(self.encoder.bags):
-            if (n, c) == (name, column):
-                return {r["value"]: self.net.p[f"q{k}"][r["idx"]].tolist() for r in self.encoder.vocabularies[f"{name}:{column}"].toLocalIterator()}
-        for k, (n, c, *_rest) in enumerate(self.encoder.embeddings):
-            if (n, c) == (name, column):
-                rows = self.encoder.vocabularies[f"{name}:{column}"].collect()
-                return {r["value"]: self.net.p[f"e{k}"][0, r["idx"]].tolist() for r in rows}
-        raise KeyError(f"no embedding {name} of {column}")
+    def embeddings(self, name: str, column: str) -> DataFrame:
+        """``(value, slot, vector)``: the learned vectors of each vocabulary value, one for each slot (one in all for the projection of a sparse input).
+
+        The table is looked up where the vocabulary's rows are; only the weights are sent.
+        """
+        tables = [(n, c, self.net.p[f"q{k}"][None]) for k, (n, c, *_) in enumerate(self.encoder.bags)]
+        tables += [(n, c, self.net.p[f"e{k}"]) for k, (n, c, *_) in enumerate(self.encoder.embeddings)]
+        found = next((p for n, c, p in tables if (n, c) == (name, column)), None)
+        if found is None:
+            raise KeyError(f"no embedding {name} of {column}")
+        rows = self.encoder.vocabularies[f"{name}:{column}"]
+        shared = rows.sparkSession.sparkContext.broadcast(found)
+
+        def look_up(batches):
+            for b in batches:
+                vectors = shared.value[:, b.column("idx").to_numpy()]
+                for slot, of in enumerate(vectors):
+                    flat = pa.array(np.ascontiguousarray(of).ravel())
+                    at = pa.array(np.arange(len(of) + 1) * of.shape[1], pa.int32())
+                    yield pa.RecordBatch.from_arrays([b.column("value"), pa.array(np.full(len(of), slot)), pa.ListArray.from_arrays(at, flat)], names=["value", "slot", "vector"])
+
+        return rows.select("value", "idx").mapInArrow(look_up, "value string, slot long, vector array<double>")
 
     # --- persistence
     def save(self, path: str, spark: SparkSession) -> None:
@@ -375,7 +357,7 @@ class Trainer:
         known.write.mode("overwrite").parquet(f"{path}/known")
         buffer = io.BytesIO()
         np.savez(buffer, in_mean=self.inputs[0], in_scale=self.inputs[1], **{f"p_{k}": v for k, v in self.net.p.items()}, **{f"s_{k}": v for k, v in self.net.stats.items()}, **{f"om_{k}": v for k, v in self.optimizer.m.items()}, **{f"ov_{k}": v for k, v in self.optimizer.v.items()})
-        about = {"formula": self.formula, "targets": [asdict(t) for t in self.targets], "hidden": self.hidden, "epochs": self.epochs, "batch": self.batch, "lr": self.lr, "schedule": self.schedule, "patience": self.patience, "test_share": self.test_share, "dropout": self.dropout, "seed": self.seed, "loss": [asdict(p) for p in self.phases], "boundaries": self.boundaries, "max_train": self.max_train, **{k: getattr(self, k) for k in ("unknown_features", "min_units", "clip", "min_delta", "warmup", "decay")}, "scalers": self.scalers, "epoch": self.epoch, "t": self.optimizer.t, "result": asdict(self.result)}
+        about = {"formula": self.formula, "targets": [asdict(t) for t in self.targets], "hidden": self.hidden, "epochs": self.epochs, "batch": self.batch, "lr": self.lr, "schedule": self.schedule, "patience": self.patience, "test_share": self.test_share, "dropout": self.dropout, "seed": self.seed, "loss": [asdict(p) for p in self.phases], "boundaries": self.boundaries, **{k: getattr(self, k) for k in ("unknown_features", "min_units", "clip", "min_delta", "warmup", "decay", "accumulate", "shards")}, "scalers": self.scalers, "epoch": self.epoch, "t": self.optimizer.t, "result": asdict(self.result)}
         spark.createDataFrame([(json.dumps(about), bytearray(buffer.getvalue()))], "about string, weights binary").coalesce(1).write.mode("overwrite").parquet(f"{path}/model")
 
     @classmethod
@@ -383,8 +365,8 @@ class Trainer:
         row = spark.read.parquet(f"{path}/model").first()
         a, w = json.loads(row["about"]), np.load(io.BytesIO(bytes(row["weights"])))
         targets = [Target(**(t | {"class_weights": tuple(t["class_weights"])})) for t in a["targets"]]
-        keep = ("hidden", "epochs", "batch", "lr", "schedule", "patience", "test_share", "dropout", "seed", "boundaries", "max_train")
-        more = ("unknown_features", "min_units", "clip", "min_delta", "warmup", "decay")
+        keep = ("hidden", "epochs", "batch", "lr", "schedule", "patience", "test_share", "dropout", "seed", "boundaries")
+        more = ("unknown_features", "min_units", "clip", "min_delta", "warmup", "decay", "accumulate", "shards")
         out = cls(a["formula"], targets, loss=[Phase(**p) for p in a["loss"]], **{k: a[k] for k in keep}, **{k: a[k] for k in more if k in a})
         out.encoder = EncoderModel.load(path, spark)
         out.known = spark.read.parquet(f"{path}/known") if out._item_column() else None

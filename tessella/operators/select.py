@@ -26,13 +26,17 @@ def bottom(items: DataFrame, k: int, by: str = "weight", ties: list[str] | None
 def top_bottom(items: DataFrame, k_top: int, k_bottom: int, by: str = "weight") -> DataFrame:
     """The heaviest items in slots 0 to k_top - 1, then the lightest of the others from slot k_top on, lightest first.
 
-    The item that is n-th from the end in the order of weight is the n-th lightest.
+    The item that is n-th from the end in the order of weight is the n-th lightest. Both ends are group-limited windows, so no
+    unit's items are all ranked in one place; how many a unit has is an aggregate with map-side parts.
     """
-    down = Window.partitionBy("unit_id").orderBy(F.desc(by), "item")
-    both = items.withColumn("rank", F.row_number().over(down)).withColumn("size", F.count("*").over(Window.partitionBy("unit_id")))
-    last = F.col("size") - F.col("rank")
-    slot = F.when(F.col("rank") <= k_top, F.col("rank") - 1).when(last < k_bottom, k_top + last)
-    return both.withColumn("slot", slot.cast("long")).where("slot is not null").drop("rank", "size")
+    up = Window.partitionBy("unit_id").orderBy(F.asc(by), F.desc("item"))
+    heaviest = top(items, k_top, by).withColumn("slot", (F.col("rank") - 1).cast("long")).drop("rank")
+    lightest = items.withColumn("rank", F.row_number().over(up)).where(F.col("rank") <= k_bottom)
+    # where a unit holds few items, those that are among the heaviest too are no longer among the lightest
+    sizes = items.groupBy("unit_id").agg(F.count("*").alias("_size"))
+    rest = lightest.join(sizes, "unit_id").where(F.col("_size") - F.col("rank") >= k_top)
+    rest = rest.withColumn("slot", (k_top + F.col("rank") - 1).cast("long")).select(heaviest.columns)
+    return heaviest.unionByName(rest)
 
 
 def slotted(items: DataFrame, mode: str = "all", k_top: int = 0, k_bottom: int = 0) -> DataFrame:

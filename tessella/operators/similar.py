@@ -1,4 +1,4 @@
-"""Neighbours in a latent space, items that occur together, word vectors of items."""
+"""Neighbours in a latent space, word vectors of items."""
 
 from __future__ import annotations
 
@@ -44,13 +44,6 @@ def clusters(vectors: DataFrame, k: int, seed: int = 1) -> DataFrame:
     return BisectingKMeans(k=k, seed=seed).fit(rows).transform(rows).select("id", F.col("prediction").alias("cluster"))
 
 
-def cooccurrence(obs: DataFrame, min_count: int = 1) -> DataFrame:
-    """``(a, b, n)``, a < b: in how many units two items occur together. A self-join on the unit: use it where units hold few items."""
-    once = obs.select("unit_id", "item").distinct()
-    pairs = once.withColumnRenamed("item", "a").join(once.withColumnRenamed("item", "b"), "unit_id").where("a < b")
-    return pairs.groupBy("a", "b").agg(F.count("*").alias("n")).where(F.col("n") >= min_count)
-
-
 def sentences_of(obs: DataFrame) -> DataFrame:
     """``(unit_id, items)``: all items of each unit, heaviest first, in consecutive lists of up to ``SENTENCE``."""
     ranked = obs.withColumn("_r", F.row_number().over(Window.partitionBy("unit_id").orderBy(F.desc("weight"), "item")))

@@ -1,7 +1,9 @@
 """Encoders: column specifications, fitted on training rows, applied to any.
 
-All specifications of an encoder that share a key share one aggregation of the
-observations. Fitted state (vocabularies and scalers) is DataFrames; it is saved as
+``transform`` lowers all continuous specifications to one plan: each row of a table is expanded to a row for each
+term (the items, values or numbers that a specification reads from it), and all terms are selected, hashed, looked up
+and added up together, so each table is scanned once, however many terms there are. ``fit`` takes all vocabularies from one pass and
+all scalers of a table from one aggregate. Fitted state (vocabularies and scalers) is DataFrames; it is saved as
 Parquet beside a JSON file of the specifications, and loads back to the same encoder.
 """
 
@@ -10,12 +12,15 @@ from __future__ import annotations
 import json
 from dataclasses import asdict, dataclass
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from ..functions.hashing import bucket_and_sign, hash_code
 from ..operators import encode, scale, vocab
+from ..operators.order import numbered
 from ..operators.select import selected, top, top_bottom
 from ..operators.weights import composite_key, item_weights, normalised
+from ..sources.shared import written
 
 KINDS = ("numeric", "raw", "hash", "embed", "onehot", "sparse")
 
@@ -79,30 +84,51 @@ class Encoder:
         return self._add(Spec("onehot", name, tuple(columns), source))
 
     def fit(self, units: DataFrame, obs: DataFrame | None = None) -> EncoderModel:
-        vocabularies, scalers = {}, {}
+        tables = {"units": units, "obs": obs}
         for s in self.specs:
-            rows = units if s.source == "units" else obs
-            if rows is None:
+            if (rows := tables[s.source]) is None:
                 raise ValueError(f"{s.name} needs observations")
             if missing := [c for c in s.columns if c not in rows.columns]:
                 raise ValueError(f"{s.name}: no column {', '.join(missing)} in {s.source}")
-            if s.kind in ("embed", "onehot", "sparse"):
-                for c in s.columns:
-                    vocabularies[f"{s.name}:{c}"] = vocab.alphabetical(rows.select(F.col(c).cast("string").alias(c)), c).persist()
-            elif s.kind == "numeric":
-                data = units if s.source == "units" else _obs_means(s, units, obs)
-                scalers[s.name] = scale.fitted(data, list(s.columns), "population").first().asDict()
-        return EncoderModel(self.specs, vocabularies, scalers)
+        scalers = {}
+        for source in tables:
+            numeric = [s for s in self.specs if s.kind == "numeric" and s.source == source]
+            if columns := list(dict.fromkeys(c for s in numeric for c in s.columns)):
+                data = units if source == "units" else encode.weighted_means(obs, columns).join(units.select("unit_id"), "unit_id", "left_semi")
+                found = scale.fitted(data, columns, "population").first().asDict()
+                scalers |= {s.name: {k: found[k] for c in s.columns for k in (f"{c}_mean", f"{c}_scale")} for s in numeric}
+        return EncoderModel(self.specs, self._vocabularies(tables), scalers)
+
+    def _vocabularies(self, tables: dict[str, DataFrame | None]) -> dict[str, DataFrame]:
+        """The values of all columns that need ids, from one scan of each table, as parts of one written table."""
+        values, keys = None, []
+        for source, rows in tables.items():
+            own = [(s.name, c) for s in self.specs if s.source == source and s.kind in ("embed", "onehot", "sparse") for c in s.columns]
+            columns = list(dict.fromkeys(c for _, c in own))
+            if not columns:
+                continue
+            cells = F.array(*[F.struct(F.lit(f"{source}:{c}").alias("of"), F.col(c).cast("string").alias("value")) for c in columns])
+            found = rows.select(F.inline(cells)).where("value <> ''").distinct()
+            values = found if values is None else values.unionByName(found)
+            keys += [(f"{name}:{c}", f"{source}:{c}") for name, c in own]
+        if values is None:
+            return {}
+        placed = numbered(values, "of", "value", name="place")
+        first = placed.groupBy(F.col("of").alias("_of")).agg(F.min("place").alias("_first"))  # a row for each vocabulary
+        table = written(placed.join(F.broadcast(first), F.col("of") == F.col("_of")).select("of", "value", (F.col("place") - F.col("_first") + 1).alias("idx")), "vocabularies")
+        return {key: table.where(F.col("of") == of).select("value", "idx") for key, of in keys}
 
     def fit_transform(self, units: DataFrame, obs: DataFrame | None = None) -> DataFrame:
         return self.fit(units, obs).transform(units, obs)
 
 
-def _obs_means(s: Spec, units: DataFrame, obs: DataFrame) -> DataFrame:
-    out = units.select("unit_id")
-    for c in s.columns:
-        out = out.join(encode.weighted_mean(obs, c).withColumnRenamed("value", c), "unit_id", "left")
-    return out
+@dataclass(frozen=True)
+class Term:
+    """What one continuous specification reads from a row: its items, or one of its columns; ``at`` is its first slot."""
+
+    spec: Spec
+    column: str
+    at: int
 
 
 class EncoderModel:
@@ -157,38 +183,126 @@ class EncoderModel:
         mode = "top_bottom" if s.top and s.bottom else "top" if s.top else "bottom" if s.bottom else "all"
         return selected(items, mode, s.top, s.bottom)
 
-    def _part(self, s: Spec, units: DataFrame, obs: DataFrame | None) -> DataFrame:
-        if s.kind == "hash":
-            return encode.hashed_items(normalised(self._chosen(s, self._items(s, composite_key(*s.columns), units, obs)), "norm"), s.dim)
-        if s.kind == "onehot":
-            out, at = None, 0
-            for c in s.columns:
-                rows = (units if s.source == "units" else obs).withColumn(c, F.col(c).cast("string"))
-                one = (encode.onehot if s.source == "units" else encode.multihot)(rows, c, self.vocabularies[f"{s.name}:{c}"])
-                one = one.withColumn("slot", F.col("slot") + at)
-                out, at = one if out is None else out.unionByName(one), at + self.vocab_size(s.name, c)
-            return out
-        data = units if s.source == "units" else _obs_means(s, units, obs)
-        cells = []
-        for k, c in enumerate(s.columns):
-            x = F.col(c).try_cast("double")
-            if s.kind == "numeric":
-                x = (x - self.scalers[s.name][f"{c}_mean"]) / self.scalers[s.name][f"{c}_scale"]
-            cells.append(F.struct(F.lit(k).cast("long").alias("slot"), F.coalesce(x, F.lit(0.0)).alias("value")))
-        return data.select("unit_id", F.explode(F.array(*cells)).alias("c")).select("unit_id", "c.*")
-
-    def transform(self, units: DataFrame, obs: DataFrame | None = None) -> DataFrame:
-        """``(unit_id, slot, value)``; slots of all specifications follow each other in their order."""
-        out, at = None, 0
+    def terms(self) -> list[Term]:
+        """The continuous terms, in the order of their slots."""
+        out, at = [], 0
         for s in self.specs:
             if s.kind in ("embed", "sparse"):
                 continue
-            part = self._part(s, units, obs).withColumn("slot", F.col("slot").cast("long") + at)
-            out, at = part if out is None else out.unionByName(part), at + self.width(s)
-        if out is None:
-            raise ValueError("no continuous encoding")
+            if s.kind == "hash":
+                out.append(Term(s, "", at))
+            for k, c in enumerate(s.columns if s.kind != "hash" else ()):
+                before = sum(self.vocab_size(s.name, x) for x in s.columns[:k]) if s.kind == "onehot" else k
+                out.append(Term(s, c, at + before))
+            at += self.width(s)
+        return out
+
+    @staticmethod
+    def _cells(terms: list[Term], source: str) -> list[Column]:
+        """What a row of a table adds to each term: a key with a weight, or a weighted number; ``seen`` counts rows of observations."""
+
+        def cell(k: int, key: Column | None = None, weight: Column | None = None, x: Column | None = None, seen: int = 0) -> Column:
+            none = F.lit(None)
+            values = [F.lit(k), none.cast("string") if key is None else key, none.cast("double") if weight is None else weight, none.cast("double") if x is None else x, F.lit(seen)]
+            return F.struct(*[v.alias(n) for v, n in zip(values, ("term", "key", "weight", "x", "seen"), strict=True)])
+
+        out = []
+        for k, t in enumerate(terms):
+            one = F.lit(1.0)
+            weight = one if t.spec.source == "units" else F.coalesce(F.col(t.spec.by or "weight").cast("double"), one)
+            if t.spec.source != source:
+                if t.spec.kind in ("numeric", "raw"):  # units without observations have a number too
+                    out.append(cell(k))
+            elif t.spec.kind == "hash":
+                out.append(cell(k, composite_key(*t.spec.columns), weight))
+            elif t.spec.kind == "onehot":
+                out.append(cell(k, F.col(t.column).cast("string"), one))
+            else:
+                x = F.col(t.column).try_cast("double")
+                out.append(cell(k, None, F.when(x.isNotNull(), weight), x * weight, 1))
         return out
 
+    def _expanded(self, terms: list[Term], units: DataFrame, obs: DataFrame | None) -> DataFrame:
+        """``(unit_id, term, key, weight, x, seen)``: one scan of each table that a term needs."""
+        out = None
+        for source, rows in (("units", units), ("obs", obs)):
+            if any(t.spec.source == source for t in terms) or (source == "units" and any(t.spec.kind in ("numeric", "raw") for t in terms)):
+                cells = self._cells(terms, source)
+                if source == "obs":
+                    rows = rows.join(units.select("unit_id"), "unit_id", "left_semi") if self._units_only(terms) else rows
+                part = rows.select("unit_id", F.inline(F.array(*cells)))
+                out = part if out is None else out.unionByName(part)
+        return out
+
+    @staticmethod
+    def _units_only(terms: list[Term]) -> bool:
+        """Numbers of observations are a unit's columns, so observations of other units have no place in them."""
+        return any(t.spec.source == "obs" and t.spec.kind in ("numeric", "raw") for t in terms)
+
+    @staticmethod
+    def _selected(rows: DataFrame, terms: list[Term]) -> DataFrame:
+        """Summed items of each unit and term, of which those with a selection keep their heaviest or lightest."""
+        keys = ["unit_id", "term", "key"]
+        items = rows.groupBy(*keys).agg(*[F.sum(c).alias(c) for c in ("weight", "x", "seen")])
+        each = Window.partitionBy("unit_id", "term")
+        keep = F.lit(True)
+        some = [(k, t.spec) for k, t in enumerate(terms) if t.spec.kind == "hash" and (t.spec.top or t.spec.bottom)]
+        down, up = F.row_number().over(each.orderBy(F.desc("weight"), "key")), F.row_number().over(each.orderBy("weight", "key"))
+        if any(s.top for _, s in some):
+            items = items.withColumn("_down", down)
+        if any(s.bottom and not s.top for _, s in some):
+            items = items.withColumn("_up", up)
+        if any(s.bottom and s.top for _, s in some):
+            items = items.withColumn("_last", F.count("*").over(each) - F.col("_down"))
+        for k, s in some:
+            first = F.col("_down") <= s.top if s.top else F.lit(False)
+            last = F.lit(False) if not s.bottom else F.col("_last") < s.bottom if s.top else F.col("_up") <= s.bottom
+            keep = keep & ((F.col("term") != k) | first | last)
+        return items.where(keep).drop("_down", "_up", "_last")
+
+    def _placed(self, rows: DataFrame, terms: list[Term]) -> DataFrame:
+        """Adds ``slot`` and ``signed``: a hashed item's bucket and signed weight, a value's id, a number's place."""
+        of = {kind: [k for k, t in enumerate(terms) if t.spec.kind == kind] for kind in KINDS}
+        first = F.get(F.array(*[F.lit(t.at) for t in terms]), F.col("term")).cast("long")
+        slot, signed = first, F.lit(None).cast("double")
+        if of["hash"]:
+            hashed = F.col("term").isin(of["hash"])
+            rows = rows.withColumn("_code", hash_code(F.when(hashed, F.col("key"))))
+            bucket, sign = bucket_and_sign(F.col("_code"), F.get(F.array(*[F.lit(max(1, t.spec.dim)) for t in terms]), F.col("term")))
+            slot, signed = F.when(hashed, first + bucket).otherwise(slot), F.when(hashed, sign * F.col("weight"))
+        if of["onehot"]:
+            known = None
+            for k in of["onehot"]:
+                one = self.vocabularies[f"{terms[k].spec.name}:{terms[k].column}"].select(F.lit(k).alias("term"), F.col("value").alias("key"), F.col("idx").alias("_idx"))
+                known = one if known is None else known.unionByName(one)
+            rows = rows.join(known, ["term", "key"], "left")
+            slot = F.when(F.col("term").isin(of["onehot"]), first + F.coalesce("_idx", F.lit(0))).otherwise(slot)
+        return rows.select("unit_id", "term", slot.alias("slot"), signed.alias("signed"), "weight", "x", "seen")
+
+    def transform(self, units: DataFrame, obs: DataFrame | None = None) -> DataFrame:
+        """``(unit_id, slot, value)``; slots of all specifications follow each other in their order."""
+        terms = self.terms()
+        if not terms:
+            raise ValueError("no continuous encoding")
+        rows = self._expanded(terms, units, obs)
+        if any(t.spec.kind == "hash" and (t.spec.top or t.spec.bottom) for t in terms):
+            rows = self._selected(rows, terms)
+        sums = self._placed(rows, terms).groupBy("unit_id", "term", "slot").agg(*[F.sum(c).alias(c) for c in ("signed", "weight", "x", "seen")])
+        value = F.lit(1.0)  # a value that is there
+        for k, t in enumerate(terms):
+            if t.spec.kind == "hash":
+                continue
+            if t.spec.kind in ("numeric", "raw"):
+                x = F.try_divide("x", "weight")
+                x = F.when(F.col("seen") > 0, F.coalesce(x, F.lit(0.0))) if t.spec.source == "obs" else x
+                if t.spec.kind == "numeric":
+                    x = (x - self.scalers[t.spec.name][f"{t.column}_mean"]) / self.scalers[t.spec.name][f"{t.column}_scale"]
+                value = F.when(F.col("term") == k, F.coalesce(x, F.lit(0.0))).otherwise(value)
+        if hashes := [k for k, t in enumerate(terms) if t.spec.kind == "hash"]:
+            total = F.sum("weight").over(Window.partitionBy("unit_id", "term"))
+            value = F.when(F.col("term").isin(hashes), F.col("signed") / F.when(total < 1e-8, 1.0).otherwise(total)).otherwise(value)
+        return sums.select("unit_id", "slot", value.alias("value"))
+
     def features(self, units: DataFrame, obs: DataFrame | None = None) -> DataFrame:
         """Units with an array ``features`` of ``continuous_dim`` doubles."""
         return encode.dense(units, self.transform(units, obs), self.continuous_dim)

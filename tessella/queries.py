@@ -11,6 +11,7 @@ from .functions.hashing import hash_column, integer_bucket_and_sign, integer_has
 from .functions.scalars import argmax_first, expm1_clamped, finite, linear, restored, softmax_max, to_double, transformed
 from .model.schedules import cosine_lr, onecycle_lr, step_lr
 from .operators import encode, loss, metrics, scale, select, similar, split, units, vocab, weights
+from .operators.cooccur import cooccurrence
 from .plans.formula import lowered
 from .plans.items import ItemEncoder
 from .sources.io import from_one_table, from_two_tables
@@ -359,7 +360,7 @@ def presence_absence(s, d):
     return encode.sparse_vector(o, vocab.alphabetical(o, "item", 30), presence=True)
 
 
-@query(f"WITH {OBS}, {W}, {KNOWN}, {VECTOR}, m AS (SELECT i AS idx, j AS slot, ((i * 7 + j * 3) % 11 - 5) / 10 AS weight FROM range(0, 3000) a(i), range(0, 4) b(j)) SELECT unit_id, slot, round(sum(x.value * m.weight), 6) + 0.0 AS value FROM x JOIN m USING (idx) GROUP BY ALL")
+@query(f"WITH {OBS}, {W}, {KNOWN}, {VECTOR}, m AS (SELECT i AS idx, j AS slot, ((i * 7 + j * 3) % 11 - 5) / 10 AS weight FROM (SELECT idx AS i FROM v UNION ALL SELECT 0) a, range(0, 4) b(j)) SELECT unit_id, slot, round(sum(x.value * m.weight), 6) + 0.0 AS value FROM x JOIN m USING (idx) GROUP BY ALL")
 def sparse_projection(s, d):
     o = ol_obs(s, d)
     known = vocab.alphabetical(o, "item", 30)
@@ -702,22 +703,27 @@ def latent_clusters(s, d):
 
 @query(f"WITH {OBS}, o AS (SELECT DISTINCT unit_id, genus AS item FROM obs) SELECT x.item AS a, y.item AS b, count(*) AS n FROM o x JOIN o y ON x.unit_id = y.unit_id AND x.item < y.item GROUP BY ALL HAVING count(*) >= 2")
 def item_cooccurrence(s, d):
-    return similar.cooccurrence(ol_obs(s, d).select("unit_id", F.col("genus").alias("item")), 2)
+    return cooccurrence(ol_obs(s, d).select("unit_id", F.col("genus").alias("item")), 2)
 
 
-@query("SELECT i AS epoch, round(0.001 * pow(0.1, i // 100), 10) AS lr FROM range(0, 500) t(i)")
+@query("WITH o AS (SELECT DISTINCT l_orderkey AS unit_id, l_partkey AS item FROM lineitem) SELECT x.item AS a, y.item AS b, count(*) AS n FROM o x JOIN o y ON x.unit_id = y.unit_id AND x.item < y.item GROUP BY ALL HAVING count(*) >= 2")
+def item_cooccurrence_parts(s, d):
+    return cooccurrence(table(s, d, "lineitem").select(F.col("l_orderkey").alias("unit_id"), F.col("l_partkey").alias("item")), 2)
+
+
+@query("SELECT o_orderkey AS unit_id, round(0.001 * pow(0.1, (o_orderkey % 500) // 100), 10) AS lr FROM orders")
 def lr_step(s, d):
-    return s.range(500).select(F.col("id").alias("epoch"), F.round(step_lr(F.col("id"), 1e-3, 100, 0.1), 10).alias("lr"))
+    return table(s, d, "orders").select(F.col("o_orderkey").alias("unit_id"), F.round(step_lr(F.col("o_orderkey") % 500, 1e-3, 100, 0.1), 10).alias("lr"))
 
 
-@query("SELECT i AS epoch, round(1e-6 + (0.001 - 1e-6) * 0.5 * (1 + cos(pi() * i / 500)), 10) AS lr FROM range(0, 500) t(i)")
+@query("SELECT o_orderkey AS unit_id, round(1e-6 + (0.001 - 1e-6) * 0.5 * (1 + cos(pi() * (o_orderkey % 500) / 500)), 10) AS lr FROM orders")
 def lr_cosine(s, d):
-    return s.range(500).select(F.col("id").alias("epoch"), F.round(cosine_lr(F.col("id"), 1e-3, 1e-6, 500), 10).alias("lr"))
+    return table(s, d, "orders").select(F.col("o_orderkey").alias("unit_id"), F.round(cosine_lr(F.col("o_orderkey") % 500, 1e-3, 1e-6, 500), 10).alias("lr"))
 
 
-@query("SELECT i AS step, round(CASE WHEN i <= 150 THEN 0.01 / 25 + i / 150 * (0.01 - 0.01 / 25) ELSE 0.01 / 1e4 + 0.5 * (1 + cos(pi() * (i - 150) / 350)) * (0.01 - 0.01 / 1e4) END, 10) AS lr FROM range(0, 501) t(i)")
+@query("SELECT unit_id, round(CASE WHEN i <= 150 THEN 0.01 / 25 + i / 150 * (0.01 - 0.01 / 25) ELSE 0.01 / 1e4 + 0.5 * (1 + cos(pi() * (i - 150) / 350)) * (0.01 - 0.01 / 1e4) END, 10) AS lr FROM (SELECT o_orderkey AS unit_id, o_orderkey % 501 AS i FROM orders)")
 def lr_onecycle(s, d):
-    return s.range(501).select(F.col("id").alias("step"), F.round(onecycle_lr(F.col("id"), 0.01, 500), 10).alias("lr"))
+    return table(s, d, "orders").select(F.col("o_orderkey").alias("unit_id"), F.round(onecycle_lr(F.col("o_orderkey") % 501, 0.01, 500), 10).alias("lr"))
 
 
 @query("WITH e AS (SELECT date_trunc('hour', ts) AS t, user_id AS unit_id, event_type AS item, value AS weight FROM events), " + f"k AS (SELECT item, {h('item', 0)} % 16 AS slot, CASE WHEN {h('item', 1)} % 2 = 0 THEN 1.0::DOUBLE ELSE -1.0::DOUBLE END AS sign FROM (SELECT DISTINCT item FROM e)) SELECT strftime(t, '%Y-%m-%d %H:%M:%S') AS hour, unit_id, slot, round(sum(sign * weight), 4) + 0.0 AS value FROM e JOIN k USING (item) GROUP BY ALL")
@@ -740,7 +746,7 @@ def train_predict_regression(s, d):
     from .sources.roles import Target
 
     u, o = ol_units(s, d), ol_obs(s, d)
-    t = Trainer("price ~ custkey + hash(item, dim=16, top=3)", [Target.regression("price", "log1p")], epochs=4, hidden=(32, 16), max_train=20_000)
+    t = Trainer("price ~ custkey + hash(item, dim=16, top=3)", [Target.regression("price", "log1p")], epochs=4, hidden=(32, 16))
     t.fit(u, o)
     return t.predict(u, o)
 
@@ -752,7 +758,7 @@ def train_predict_classification(s, d):
 
     u, o = ol_units(s, d), ol_obs(s, d)
     u = split.class_codes(u, "priority").withColumnRenamed("code", "level")
-    t = Trainer("level ~ price + embed(genus, top=2)", [Target.classification("level", 5)], epochs=3, hidden=(16,), max_train=20_000)
+    t = Trainer("level ~ price + embed(genus, top=2)", [Target.classification("level", 5)], epochs=3, hidden=(16,))
     t.fit(u, o)
     return t.predict(u, o)
 

@@ -11,6 +11,7 @@ from tessella.functions.hashing import integer_hash
 from tessella.model.nn import Bags, Network, erf
 from tessella.model.train import PRESETS, Trainer, preset_keywords
 from tessella.operators import similar, units, vocab
+from tessella.operators.cooccur import cooccurrence
 from tessella.operators.loss import Phase
 from tessella.sources import io
 from tessella.sources.roles import Roles, Target
@@ -91,7 +92,8 @@ def test_train_predict(spark, tmp_path):
     assert all(x["habitat"] is None for x in again.predict(u, o, threshold=1.1).collect())
     again.epochs = 2
     assert again.fit(u, o, resume=True).history[-1]["epoch"] == t.epoch + 1
-    assert len(t.embeddings("embed_genus", "genus")) > 3
+    vectors, idx = t.embeddings("embed_genus", "genus").collect(), {r["value"]: r["idx"] for r in t.encoder.vocabularies["embed_genus:genus"].collect()}
+    assert len(vectors) == 2 * len(idx) > 6 and all(r["vector"] == t.net.p["e0"][r["slot"], idx[r["value"]]].tolist() for r in vectors)
 
 
 def test_cli(spark, tmp_path, capsys):
@@ -111,7 +113,7 @@ def test_similar(spark):
     got = similar.nearest(v, v.where("id = 1"), 2).orderBy("rank").collect()
     assert [r["id"] for r in got] == [2, 3]
     obs = spark.createDataFrame([("a", "x"), ("a", "y"), ("b", "x"), ("b", "y"), ("b", "z")], "unit_id string, item string")
-    assert [tuple(r) for r in similar.cooccurrence(obs, 2).collect()] == [("x", "y", 2)]
+    assert [tuple(r) for r in cooccurrence(obs, 2).collect()] == [("x", "y", 2)]
 
 
 def test_stream(spark, tmp_path):
@@ -255,7 +257,7 @@ def test_sparse_term(spark, tmp_path):
     t.fit(u, o)
     got = t.predict(u, o).orderBy("unit_id").toPandas()
     assert np.corrcoef(got["liked"], u.orderBy("unit_id").toPandas()["liked"])[0, 1] > 0.9
-    assert {len(v) for v in t.embeddings("sparse_item", "item").values()} == {4} and t.net.p["q0"].shape[0] == t.encoder.vocab_size("sparse_item", "item")
+    assert {(len(r["vector"]), r["slot"]) for r in t.embeddings("sparse_item", "item").collect()} == {(4, 0)} and t.net.p["q0"].shape[0] == t.encoder.vocab_size("sparse_item", "item")
     t.save(str(tmp_path / "m"), spark)
     again = Trainer.load(str(tmp_path / "m"), spark)
     assert np.allclose(again.predict(u, o).orderBy("unit_id").toPandas()["liked"], got["liked"])
