@@ -30,6 +30,8 @@ def parser() -> argparse.ArgumentParser:
     t.add_argument("--epochs", type=int, default=50)
     t.add_argument("--hidden", type=int, nargs="+", default=[64, 32])
     t.add_argument("--seed", type=int, default=42)
+    t.add_argument("--accumulate", type=int, default=1, help="batches for each step")
+    t.add_argument("--calibrate", action="store_true", help="fit a temperature for the confidences of classes")
     q.add_argument("--out", required=True)
     q.add_argument("--threshold", type=float, default=0.0)
     sub.add_parser("info").add_argument("--model", required=True)
@@ -47,7 +49,7 @@ def main(args: list[str] | None = None, spark: SparkSession | None = None) -> in
     units, obs = read_table(spark, a.units), read_table(spark, a.obs)
     if a.command == "train":
         targets = [Target.parse(x) for x in a.target]
-        t = Trainer(a.formula, targets, hidden=tuple(a.hidden), epochs=a.epochs, seed=a.seed)
+        t = Trainer(a.formula, targets, hidden=tuple(a.hidden), epochs=a.epochs, seed=a.seed, accumulate=a.accumulate, calibrate=a.calibrate)
         u, o = from_two_tables(units, obs, roles, keep=tuple(x.name for x in targets if x.name not in a.covariate))
         result = t.fit(u, o)
         t.save(a.model, spark)

@@ -214,3 +214,19 @@ def run_pass(shards: DataFrame, state: State, objective: Objective, inputs: tupl
     out = _mapped(rows, of, _joined) or Outcome()
     shared.destroy()
     return out
+
+
+def held_logits(shards: DataFrame, net: Network, inputs: tuple[np.ndarray, np.ndarray], name: str) -> DataFrame:
+    """``(logits, target)`` of a classification target for the held-out units."""
+    shared = shards.sparkSession.sparkContext.broadcast(pickle.dumps((net, inputs), 5))
+
+    def score(batches):
+        own, (mean, scale) = pickle.loads(shared.value)
+        for b in batches:
+            for data in b.column("data"):
+                x, ids, raw = pickle.loads(data.as_py())
+                z = own.head(name, own.latent((x - mean) / scale, ids))
+                at = pa.array(np.arange(len(z) + 1) * z.shape[1], pa.int32())
+                yield pa.RecordBatch.from_arrays([pa.ListArray.from_arrays(at, pa.array(z.ravel())), pa.array(raw[name].astype(np.int64))], names=["logits", "target"])
+
+    return shards.where("is_test").select("data").mapInArrow(score, "logits array<double>, target long")

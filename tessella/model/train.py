@@ -20,6 +20,7 @@ from pyspark.sql import functions as F
 
 from ..functions.scalars import to_double
 from ..operators import metrics, split, vocab
+from ..operators.calibrate import temperature
 from ..operators.loss import PHASES, PRESETS as LOSSES, Phase
 from ..plans.encoder import EncoderModel
 from ..plans.formula import lowered
@@ -61,10 +62,11 @@ class Trainer:
     ``min_delta`` is the least gain that counts as one; the rate rises over the first ``warmup`` epochs. With ``checkpoint``
     everything is saved there every ``checkpoint_every`` epochs: ``load`` it and ``fit(.., resume=True)`` goes on.
     A step is taken after ``accumulate`` batches; ``shards`` is how many parts of the units train side by side between two
-    averages of the weights (null: as many as the units' number and size ask for).
+    averages of the weights (null: as many as the units' number and size ask for). With ``calibrate`` the confidences of classes
+    come from scores divided by a temperature that is fitted on the held-out units. ``tables`` holds the vectors that a formula names.
     """
 
-    def __init__(self, formula: str, targets: list[Target], hidden: tuple[int, ...] = (64, 32), epochs: int = 50, batch: int = 256, lr: float = 1e-3, schedule: str = "none", patience: int = 20, test_share: float = 0.2, dropout: float = 0.1, seed: int = 42, loss: str | list[Phase] = "phased", boundaries: tuple[int, ...] = PHASES, callback=None, progress: str | None = None, unknown_features: bool = False, min_units: int = 1, clip: float = 1.0, min_delta: float = 0.0, warmup: int = 0, checkpoint: str | None = None, checkpoint_every: int = 10, decay: float = 1e-4, accumulate: int = 1, shards: int | None = None):
+    def __init__(self, formula: str, targets: list[Target], hidden: tuple[int, ...] = (64, 32), epochs: int = 50, batch: int = 256, lr: float = 1e-3, schedule: str = "none", patience: int = 20, test_share: float = 0.2, dropout: float = 0.1, seed: int = 42, loss: str | list[Phase] = "phased", boundaries: tuple[int, ...] = PHASES, callback=None, progress: str | None = None, unknown_features: bool = False, min_units: int = 1, clip: float = 1.0, min_delta: float = 0.0, warmup: int = 0, checkpoint: str | None = None, checkpoint_every: int = 10, decay: float = 1e-4, accumulate: int = 1, shards: int | None = None, calibrate: bool = False, tables: dict[str, DataFrame] | None = None):
         self.formula, self.targets, self.hidden, self.epochs, self.batch, self.lr = formula, targets, tuple(hidden), epochs, batch, lr
         self.schedule, self.patience, self.test_share, self.dropout, self.seed, self.loss, self.callback = schedule, patience, test_share, dropout, seed, loss, callback
         self.phases = list(PHASED) if loss == "phased" else [LOSSES[loss]] if isinstance(loss, str) else list(loss)
@@ -72,7 +74,9 @@ class Trainer:
         if len(self.phases) != len(self.boundaries) + 1 or list(self.boundaries) != sorted(self.boundaries):
             raise ValueError("n phases need n - 1 ascending boundaries")
         self.unknown_features, self.min_units, self.clip, self.min_delta, self.warmup, self.checkpoint, self.checkpoint_every = unknown_features, min_units, clip, min_delta, warmup, checkpoint, checkpoint_every
-        self.decay, self.accumulate, self.shards = decay, accumulate, shards
+        self.decay, self.accumulate, self.shards, self.calibrate = decay, accumulate, shards, calibrate
+        self.temperatures: dict[str, float] = {}
+        self.tables = tables
         self.encoder: EncoderModel | None = None
         self.net: Network | None = None
         self.scalers: dict[str, tuple[float, float]] = {}
@@ -82,7 +86,7 @@ class Trainer:
 
     def _item_column(self) -> str | None:
         """The column of the observations whose unseen values make predictions less certain."""
-        return next((s.columns[0] for s in self.encoder.specs if s.source == "obs" and s.kind in ("hash", "embed", "sparse")), None)
+        return next((s.columns[0] for s in self.encoder.specs if s.source == "obs" and s.kind in ("hash", "embed", "sparse", "vectors")), None)
 
     def _certain(self, table: DataFrame, obs: DataFrame | None) -> DataFrame:
         """Adds ``_sure``: 1 less the share of a unit's weight in unknown items; and the unknown features to the others, if wanted."""
@@ -117,7 +121,7 @@ class Trainer:
 
     def keywords(self) -> dict:
         """The keyword arguments that make an untrained trainer like this one."""
-        plain = ("hidden", "epochs", "batch", "lr", "schedule", "patience", "test_share", "dropout", "seed", "boundaries", "callback", "progress", "unknown_features", "min_units", "clip", "min_delta", "warmup", "checkpoint", "checkpoint_every", "decay", "accumulate", "shards")
+        plain = ("hidden", "epochs", "batch", "lr", "schedule", "patience", "test_share", "dropout", "seed", "boundaries", "callback", "progress", "unknown_features", "min_units", "clip", "min_delta", "warmup", "checkpoint", "checkpoint_every", "decay", "accumulate", "shards", "calibrate", "tables")
         return {k: getattr(self, k) for k in plain} | {"loss": self.phases}
 
     # --- features
@@ -163,7 +167,7 @@ class Trainer:
             ok = F.col(t.name).isNotNull() if t.task == "classification" else to_double(t.name).isNotNull()
             labelled = labelled.where(ok)
         if not resume or self.encoder is None:
-            self.encoder = lowered(self.formula, units, obs).fit(units, obs)
+            self.encoder = lowered(self.formula, units, obs, tables=self.tables).fit(units, obs)
             column = self._item_column()
             self.known = written(self._known(obs, column), "known") if column and obs is not None else None
         marked = split.train_test(labelled.select("unit_id"), self.test_share, self.seed)
@@ -185,8 +189,16 @@ class Trainer:
             heads = {t.name: t.num_classes if t.task == "classification" else 1 for t in self.targets}
             sizes = [(slots, size, dim) for _, _, slots, size, dim in self.encoder.embeddings]
             self.net = Network(len(self.inputs[0]), sizes, self.hidden, heads, self.dropout, self.seed, [(size, dim) for _, _, size, dim in self.encoder.bags])
+            starts = self.encoder.starts()
+            for k, (name, column, *_) in enumerate(self.encoder.bags):
+                if f"{name}:{column}" in starts:
+                    self.net.p[f"q{k}"] = starts[f"{name}:{column}"]
             self.optimizer, self.epoch, self.result = AdamW(self.net.p, self.decay, self.clip), 0, Result()
         self._passes(shards, units.sparkSession)
+        self.temperatures = {}
+        for t in self.targets if self.calibrate else ():
+            if t.task == "classification":
+                self.temperatures[t.name], *_ = temperature(written(passes.held_logits(shards, self.net, self.inputs, t.name), "logits"))
         return self.result
 
     def _dealt(self, table: DataFrame, n: int) -> DataFrame:
@@ -268,7 +280,7 @@ class Trainer:
         own = self._table(bare, obs, self.encoder)
         table = self._certain(own.select(*[c for c in own.columns if c not in {t.name for t in self.targets}]), obs)
         shared = units.sparkSession.sparkContext.broadcast(pickle.dumps((self.net, self.inputs, self.scalers)))
-        targets, encoder, seed = self.targets, _Shape(self.encoder), self.seed
+        targets, encoder, seed, temperatures = self.targets, _Shape(self.encoder), self.seed, dict(self.temperatures)
 
         def forward(batches):
             net, (mean, scale), scalers = pickle.loads(shared.value)
@@ -285,7 +297,7 @@ class Trainer:
 
                 for t in targets:
                     if t.task == "classification":
-                        z = net.head(t.name, h)
+                        z = net.head(t.name, h) / temperatures.get(t.name, 1.0)
                         z = z - z.max(1, keepdims=True)
                         p = np.exp(z) / np.exp(z).sum(1, keepdims=True)
                         sure = p.max(1)
@@ -357,7 +369,7 @@ class Trainer:
         known.write.mode("overwrite").parquet(f"{path}/known")
         buffer = io.BytesIO()
         np.savez(buffer, in_mean=self.inputs[0], in_scale=self.inputs[1], **{f"p_{k}": v for k, v in self.net.p.items()}, **{f"s_{k}": v for k, v in self.net.stats.items()}, **{f"om_{k}": v for k, v in self.optimizer.m.items()}, **{f"ov_{k}": v for k, v in self.optimizer.v.items()})
-        about = {"formula": self.formula, "targets": [asdict(t) for t in self.targets], "hidden": self.hidden, "epochs": self.epochs, "batch": self.batch, "lr": self.lr, "schedule": self.schedule, "patience": self.patience, "test_share": self.test_share, "dropout": self.dropout, "seed": self.seed, "loss": [asdict(p) for p in self.phases], "boundaries": self.boundaries, **{k: getattr(self, k) for k in ("unknown_features", "min_units", "clip", "min_delta", "warmup", "decay", "accumulate", "shards")}, "scalers": self.scalers, "epoch": self.epoch, "t": self.optimizer.t, "result": asdict(self.result)}
+        about = {"formula": self.formula, "targets": [asdict(t) for t in self.targets], "hidden": self.hidden, "epochs": self.epochs, "batch": self.batch, "lr": self.lr, "schedule": self.schedule, "patience": self.patience, "test_share": self.test_share, "dropout": self.dropout, "seed": self.seed, "loss": [asdict(p) for p in self.phases], "boundaries": self.boundaries, **{k: getattr(self, k) for k in ("unknown_features", "min_units", "clip", "min_delta", "warmup", "decay", "accumulate", "shards", "calibrate")}, "scalers": self.scalers, "temperatures": self.temperatures, "epoch": self.epoch, "t": self.optimizer.t, "result": asdict(self.result)}
         spark.createDataFrame([(json.dumps(about), bytearray(buffer.getvalue()))], "about string, weights binary").coalesce(1).write.mode("overwrite").parquet(f"{path}/model")
 
     @classmethod
@@ -366,7 +378,7 @@ class Trainer:
         a, w = json.loads(row["about"]), np.load(io.BytesIO(bytes(row["weights"])))
         targets = [Target(**(t | {"class_weights": tuple(t["class_weights"])})) for t in a["targets"]]
         keep = ("hidden", "epochs", "batch", "lr", "schedule", "patience", "test_share", "dropout", "seed", "boundaries")
-        more = ("unknown_features", "min_units", "clip", "min_delta", "warmup", "decay", "accumulate", "shards")
+        more = ("unknown_features", "min_units", "clip", "min_delta", "warmup", "decay", "accumulate", "shards", "calibrate")
         out = cls(a["formula"], targets, loss=[Phase(**p) for p in a["loss"]], **{k: a[k] for k in keep}, **{k: a[k] for k in more if k in a})
         out.encoder = EncoderModel.load(path, spark)
         out.known = spark.read.parquet(f"{path}/known") if out._item_column() else None
@@ -377,6 +389,7 @@ class Trainer:
         out.net.stats = {k[2:]: w[k].copy() for k in w.files if k.startswith("s_")}
         out.optimizer, out.epoch, out.result = AdamW(out.net.p, out.decay, out.clip), a["epoch"], Result(**a["result"])
         out.optimizer.t = a["t"]
+        out.temperatures = a.get("temperatures", {})
         out.optimizer.m, out.optimizer.v = ({k[3:]: w[k].copy() for k in w.files if k.startswith(x)} for x in ("om_", "ov_"))
         return out
 

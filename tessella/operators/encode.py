@@ -91,6 +91,21 @@ def weighted_means(obs: DataFrame, columns: list[str]) -> DataFrame:
     return obs.groupBy("unit_id").agg(*[mean(F.col(c).try_cast("double")).alias(c) for c in columns])
 
 
+def pooled_vectors(rows: DataFrame, vectors: DataFrame, dim: int, key: str = "item", by: str | None = None) -> DataFrame:
+    """``(unit_id, vector, unknown_fraction)``: the weighted mean of the vectors of a unit's items, from a table ``(item, vector)`` of others.
+
+    Components are summed one by one with map-side parts, so no row per component is made. Items without a vector count as unknown; a unit without any known item has zeros.
+    """
+    fits = F.when(F.size("vector") == dim, F.col("vector").cast("array<double>")).otherwise(F.raise_error(F.lit(f"a vector has not {dim} components")).cast("array<double>"))
+    known = vectors.where("item is not null").select(F.col("item").cast("string").alias("_item"), fits.alias("_v"))
+    weight = F.coalesce(F.col(by).cast("double"), F.lit(1.0)) if by else F.lit(1.0)
+    both = rows.select("unit_id", F.col(key).cast("string").alias("_item"), weight.alias("_w")).join(known, "_item", "left")
+    total, held = F.sum("_w"), F.sum(F.when(F.col("_v").isNotNull(), F.col("_w")))
+    sums = both.groupBy("unit_id").agg(total.alias("_total"), held.alias("_held"), *[F.sum(F.col("_w") * F.get("_v", F.lit(k))).alias(f"_s{k}") for k in range(dim)])
+    mean = F.array(*[F.coalesce(F.try_divide(f"_s{k}", "_held"), F.lit(0.0)) for k in range(dim)])
+    return sums.select("unit_id", mean.alias("vector"), (1 - F.coalesce(F.try_divide(F.coalesce("_held", F.lit(0.0)), F.col("_total")), F.lit(0.0))).alias("unknown_fraction"))
+
+
 def assembled(units: DataFrame, columns: list[str], per_unit: DataFrame | None = None, extra: list[str] | None = None, out: str = "features") -> DataFrame:
     """``(unit_id, features)``: numeric columns of the units, then those of a table with a row per unit; what is missing is 0."""
     extra = extra or []

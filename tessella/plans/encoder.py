@@ -12,6 +12,7 @@ from __future__ import annotations
 import json
 from dataclasses import asdict, dataclass
 
+import numpy as np
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
@@ -22,12 +23,12 @@ from ..operators.select import selected, top, top_bottom
 from ..operators.weights import composite_key, item_weights, normalised
 from ..sources.shared import written
 
-KINDS = ("numeric", "raw", "hash", "embed", "onehot", "sparse")
+KINDS = ("numeric", "raw", "hash", "embed", "onehot", "sparse", "vectors")
 
 
 @dataclass(frozen=True)
 class Spec:
-    """One encoding. ``source`` is ``units`` or ``obs``; ``by`` names the weight column (null: the observations' weight)."""
+    """One encoding. ``source`` is ``units`` or ``obs``; ``by`` names the weight column (null: the observations' weight); ``table`` a table of vectors."""
 
     kind: str
     name: str
@@ -37,6 +38,7 @@ class Spec:
     top: int = 0
     bottom: int = 0
     by: str | None = None
+    table: str | None = None
 
     def __post_init__(self) -> None:
         if self.kind not in KINDS:
@@ -53,8 +55,8 @@ class Spec:
 class Encoder:
     """Collects specifications; ``fit`` gives an ``EncoderModel``."""
 
-    def __init__(self, specs: list[Spec] | None = None):
-        self.specs = list(specs or [])
+    def __init__(self, specs: list[Spec] | None = None, tables: dict[str, DataFrame] | None = None):
+        self.specs, self.tables = list(specs or []), dict(tables or {})
 
     def _add(self, spec: Spec) -> Encoder:
         if any(s.name == spec.name for s in self.specs):
@@ -83,6 +85,17 @@ class Encoder:
     def add_onehot(self, name: str, columns: list[str], source: str = "units") -> Encoder:
         return self._add(Spec("onehot", name, tuple(columns), source))
 
+    def add_vectors(self, name: str, column: str, table: str, vectors: DataFrame, by: str | None = None, source: str = "obs", tune: bool = False) -> Encoder:
+        """The weighted mean of the vectors ``(item, vector)`` that others have learned for a column's values.
+
+        They stay as they are, or (``tune``) are where a sparse input's projection starts, which the network then goes on to learn.
+        """
+        first = vectors.select(F.size("vector")).first()
+        if first is None:
+            raise ValueError(f"{table} has no vectors")
+        self.tables[table] = vectors.select(F.col("item").cast("string").alias("item"), F.col("vector").cast("array<double>").alias("vector"))
+        return self._add(Spec("sparse" if tune else "vectors", name, (column,), source, first[0], by=by, table=table))
+
     def fit(self, units: DataFrame, obs: DataFrame | None = None) -> EncoderModel:
         tables = {"units": units, "obs": obs}
         for s in self.specs:
@@ -97,13 +110,17 @@ class Encoder:
                 data = units if source == "units" else encode.weighted_means(obs, columns).join(units.select("unit_id"), "unit_id", "left_semi")
                 found = scale.fitted(data, columns, "population").first().asDict()
                 scalers |= {s.name: {k: found[k] for c in s.columns for k in (f"{c}_mean", f"{c}_scale")} for s in numeric}
-        return EncoderModel(self.specs, self._vocabularies(tables), scalers)
+        return EncoderModel(self.specs, self._vocabularies(tables), scalers, self.tables)
 
     def _vocabularies(self, tables: dict[str, DataFrame | None]) -> dict[str, DataFrame]:
-        """The values of all columns that need ids, from one scan of each table, as parts of one written table."""
+        """The values of all columns that need ids, from one scan of each table, as parts of one written table; where vectors are given, their items."""
         values, keys = None, []
-        for source, rows in tables.items():
-            own = [(s.name, c) for s in self.specs if s.source == source and s.kind in ("embed", "onehot", "sparse") for c in s.columns]
+        tuned = {s.name: s for s in self.specs if s.kind == "sparse" and s.table}
+        needed = {source: [(s.name, c) for s in self.specs if s.source == source and s.table is None and s.kind in ("embed", "onehot", "sparse") for c in s.columns] for source in tables}
+        for s in tuned.values():
+            needed.setdefault(s.table, []).append((s.name, "item"))
+        for source, own in needed.items():
+            rows = tables[source] if source in tables else self.tables[source]
             columns = list(dict.fromkeys(c for _, c in own))
             if not columns:
                 continue
@@ -111,6 +128,7 @@ class Encoder:
             found = rows.select(F.inline(cells)).where("value <> ''").distinct()
             values = found if values is None else values.unionByName(found)
             keys += [(f"{name}:{c}", f"{source}:{c}") for name, c in own]
+        keys = [(f"{s.name}:{s.columns[0]}" if (s := tuned.get(key.partition(":")[0])) else key, of) for key, of in keys]
         if values is None:
             return {}
         placed = numbered(values, "of", "value", name="place")
@@ -134,8 +152,8 @@ class Term:
 class EncoderModel:
     """A fitted encoder. ``transform`` gives the long table ``(unit_id, slot, value)`` of continuous features, ``ids`` the embedding ids."""
 
-    def __init__(self, specs: list[Spec], vocabularies: dict[str, DataFrame], scalers: dict[str, dict]):
-        self.specs, self.vocabularies, self.scalers = specs, vocabularies, scalers
+    def __init__(self, specs: list[Spec], vocabularies: dict[str, DataFrame], scalers: dict[str, dict], tables: dict[str, DataFrame] | None = None):
+        self.specs, self.vocabularies, self.scalers, self.tables = specs, vocabularies, scalers, tables or {}
         self._sizes: dict[str, int] = {}
 
     def vocab_size(self, name: str, column: str) -> int:
@@ -146,7 +164,7 @@ class EncoderModel:
         return self._sizes[key]
 
     def width(self, s: Spec) -> int:
-        if s.kind == "hash":
+        if s.kind in ("hash", "vectors"):
             return s.dim
         return sum(self.vocab_size(s.name, c) for c in s.columns) if s.kind == "onehot" else 0 if s.kind in ("embed", "sparse") else len(s.columns)
 
@@ -164,6 +182,17 @@ class EncoderModel:
         """(name, column, vocabulary size, dimension) of each sparse input."""
         return [(s.name, c, self.vocab_size(s.name, c), s.dim) for s in self.specs if s.kind == "sparse" for c in s.columns]
 
+    def starts(self) -> dict[str, np.ndarray]:
+        """Where the projections of sparse inputs with vectors start: a row for each id, zeros for unknown values. They become weights of the network."""
+        out = {}
+        for s in self.specs:
+            if s.kind == "sparse" and s.table:
+                key = f"{s.name}:{s.columns[0]}"
+                rows = self.vocabularies[key].join(self.tables[s.table].withColumnRenamed("item", "value"), "value").select("idx", "vector").toArrow()
+                out[key] = np.zeros((self.vocab_size(s.name, s.columns[0]), s.dim))
+                out[key][rows.column("idx").to_numpy()] = rows.column("vector").combine_chunks().flatten().to_numpy(zero_copy_only=False).reshape(-1, s.dim)
+        return out
+
     def sparse(self, units: DataFrame, obs: DataFrame | None, name: str, column: str) -> DataFrame:
         """``(unit_id, idx, value)``: the shares of a unit's (selected) weight in the known values; never made dense."""
         s = next((s for s in self.specs if s.name == name and s.kind == "sparse"), None)
@@ -191,7 +220,7 @@ class EncoderModel:
                 continue
             if s.kind == "hash":
                 out.append(Term(s, "", at))
-            for k, c in enumerate(s.columns if s.kind != "hash" else ()):
+            for k, c in enumerate(s.columns if s.kind not in ("hash", "vectors") else ()):
                 before = sum(self.vocab_size(s.name, x) for x in s.columns[:k]) if s.kind == "onehot" else k
                 out.append(Term(s, c, at + before))
             at += self.width(s)
@@ -281,9 +310,11 @@ class EncoderModel:
 
     def transform(self, units: DataFrame, obs: DataFrame | None = None) -> DataFrame:
         """``(unit_id, slot, value)``; slots of all specifications follow each other in their order."""
-        terms = self.terms()
+        terms, pooled = self.terms(), self._pooled(units, obs)
         if not terms:
-            raise ValueError("no continuous encoding")
+            if pooled is None:
+                raise ValueError("no continuous encoding")
+            return pooled
         rows = self._expanded(terms, units, obs)
         if any(t.spec.kind == "hash" and (t.spec.top or t.spec.bottom) for t in terms):
             rows = self._selected(rows, terms)
@@ -301,7 +332,21 @@ class EncoderModel:
         if hashes := [k for k, t in enumerate(terms) if t.spec.kind == "hash"]:
             total = F.sum("weight").over(Window.partitionBy("unit_id", "term"))
             value = F.when(F.col("term").isin(hashes), F.col("signed") / F.when(total < 1e-8, 1.0).otherwise(total)).otherwise(value)
-        return sums.select("unit_id", "slot", value.alias("value"))
+        out = sums.select("unit_id", "slot", value.alias("value"))
+        return out if pooled is None else out.unionByName(pooled)
+
+    def _pooled(self, units: DataFrame, obs: DataFrame | None) -> DataFrame | None:
+        """The components of pooled vectors, an aggregate for each such specification."""
+        out, at = None, 0
+        for s in self.specs:
+            if s.kind == "vectors":
+                rows = units if s.source == "units" else obs
+                by = s.by or ("weight" if s.source == "obs" else None)
+                one = encode.pooled_vectors(rows, self.tables[s.table], s.dim, s.columns[0], by).select("unit_id", F.posexplode("vector").alias("slot", "value"))
+                one = one.select("unit_id", (F.col("slot") + at).cast("long").alias("slot"), "value")
+                out = one if out is None else out.unionByName(one)
+            at += self.width(s)
+        return out
 
     def features(self, units: DataFrame, obs: DataFrame | None = None) -> DataFrame:
         """Units with an array ``features`` of ``continuous_dim`` doubles."""
@@ -327,11 +372,15 @@ class EncoderModel:
         for key, df in self.vocabularies.items():
             rows = rows.unionByName(df.select(F.lit(key).alias("vocabulary"), F.col("value").cast("string").alias("value"), "idx"))
         rows.write.mode("overwrite").parquet(f"{path}/vocabularies")
+        rows = spark.createDataFrame([], "name string, item string, vector array<double>")
+        for name, df in self.tables.items():
+            rows = rows.unionByName(df.select(F.lit(name).alias("name"), "item", "vector"))
+        rows.write.mode("overwrite").parquet(f"{path}/tables")
 
     @classmethod
     def load(cls, path: str, spark: SparkSession) -> EncoderModel:
         found = json.loads(spark.read.text(f"{path}/encoder").first()[0])
         specs = [Spec(**(s | {"columns": tuple(s["columns"])})) for s in found["specs"]]
-        rows = spark.read.parquet(f"{path}/vocabularies")
+        rows, tables = spark.read.parquet(f"{path}/vocabularies"), spark.read.parquet(f"{path}/tables")
         keys = [f"{s.name}:{c}" for s in specs if s.kind in ("embed", "onehot", "sparse") for c in s.columns]
-        return cls(specs, {k: rows.where(F.col("vocabulary") == k).select("value", "idx") for k in keys}, found["scalers"])
+        return cls(specs, {k: rows.where(F.col("vocabulary") == k).select("value", "idx") for k in keys}, found["scalers"], {n: tables.where(F.col("name") == n).select("item", "vector") for n in {s.table for s in specs if s.table}})

@@ -1,4 +1,4 @@
-"""Formulas such as ``price ~ depth + hash(item, dim=32, top=3, by="cover") + embed(genus, family, top=2) + sparse(item) + onehot(soil)``.
+"""Formulas such as ``price ~ depth + hash(item, dim=32, top=3, by="cover") + embed(genus, family, top=2) + sparse(item) + vectors(item, from="known") + onehot(soil)``.
 
 A formula is tokenised and parsed to terms, checked against both tables'
 columns, and lowered to an encoder. ``cbind(a, b)`` names several targets.
@@ -14,7 +14,7 @@ from pyspark.sql import DataFrame
 from .encoder import Encoder
 
 _TOKEN = re.compile(r"""\s*(?:(?P<name>[A-Za-z_.][\w.]*)|(?P<number>\d+)|(?P<text>"[^"]*"|'[^']*')|(?P<mark>[~+(),=]))""")
-CALLS = {"raw": set(), "hash": {"dim", "top", "bottom", "by"}, "embed": {"dim", "top", "bottom", "by"}, "onehot": set(), "sparse": {"dim", "top", "bottom", "by"}}
+CALLS = {"raw": set(), "hash": {"dim", "top", "bottom", "by"}, "embed": {"dim", "top", "bottom", "by"}, "onehot": set(), "sparse": {"dim", "top", "bottom", "by"}, "vectors": {"from", "by", "tune"}}
 
 
 @dataclass
@@ -112,8 +112,8 @@ def parse(text: str) -> Formula:
     return _Parser(text).formula()
 
 
-def lowered(formula: Formula | str, units: DataFrame, obs: DataFrame | None, key: str = "unit_id") -> Encoder:
-    """The formula's encoder; a ValueError says what does not fit the tables."""
+def lowered(formula: Formula | str, units: DataFrame, obs: DataFrame | None, key: str = "unit_id", tables: dict[str, DataFrame] | None = None) -> Encoder:
+    """The formula's encoder; a ValueError says what does not fit the tables. ``tables`` holds ``(item, vector)`` tables for ``vectors(column, from="name")``."""
     f = parse(formula) if isinstance(formula, str) else formula
     unit_types, obs_types = dict(units.dtypes), dict(obs.dtypes) if obs is not None else {}
     for table, types in (("units", unit_types), ("observations", obs_types)):
@@ -136,6 +136,11 @@ def lowered(formula: Formula | str, units: DataFrame, obs: DataFrame | None, key
             if (unit_types if in_units else obs_types)[c] == "string":
                 raise ValueError(f"{c} is categorical; write onehot({c}), embed({c}) or hash({c})")
             out.add_numeric(t.name, t.columns, source)
+        elif t.kind == "vectors":
+            name = t.options.get("from")
+            if name not in (tables or {}):
+                raise ValueError(f"vectors({t.columns[0]}): no table {name}")
+            out.add_vectors(t.name, t.columns[0], name, tables[name], by, "obs" if in_obs else "units", bool(t.options.get("tune")))
         elif t.kind in ("raw", "onehot"):
             getattr(out, f"add_{t.kind}")(t.name, t.columns, source="units" if in_units else "obs")
         else:

@@ -10,7 +10,8 @@ from pyspark.sql import functions as F
 from .functions.hashing import hash_column, integer_bucket_and_sign, integer_hash
 from .functions.scalars import argmax_first, expm1_clamped, finite, linear, restored, softmax_max, to_double, transformed
 from .model.schedules import cosine_lr, onecycle_lr, step_lr
-from .operators import encode, loss, metrics, scale, select, similar, split, units, vocab, weights
+from .operators import encode, loss, metrics, scale, select, similar, skipgram, split, units, vocab, weights
+from .operators.calibrate import calibration_sums
 from .operators.cooccur import cooccurrence
 from .plans.formula import lowered
 from .plans.items import ItemEncoder
@@ -434,6 +435,13 @@ def feature_assembly(s, d):
     return rounded(x.select("unit_id", F.size("x").cast("long").alias("width"), *cells), "first", "third")
 
 
+@query(f"WITH {OBS}, k AS (SELECT p_partkey::VARCHAR AS item, [p_size / 50.0, p_retailprice / 1000.0]::DOUBLE[] AS v FROM part WHERE p_partkey % 4 <> 0) SELECT unit_id, round(coalesce(sum(weight * v[1]) / sum(CASE WHEN v IS NOT NULL THEN weight END), 0), 6) AS first, round(coalesce(sum(weight * v[2]) / sum(CASE WHEN v IS NOT NULL THEN weight END), 0), 6) AS second, round(1 - coalesce(sum(CASE WHEN v IS NOT NULL THEN weight END), 0) / sum(weight), 6) AS unknown_fraction FROM obs LEFT JOIN k USING (item) GROUP BY unit_id")
+def pretrained_vectors(s, d):
+    known = table(s, d, "part").where("p_partkey % 4 <> 0").select(F.col("p_partkey").cast("string").alias("item"), F.array(F.col("p_size") / 50.0, F.col("p_retailprice") / 1000.0).alias("vector"))
+    x = encode.pooled_vectors(ol_obs(s, d), known, 2, by="weight")
+    return rounded(x.select("unit_id", F.get("vector", F.lit(0)).alias("first"), F.get("vector", F.lit(1)).alias("second"), "unknown_fraction"), "first", "second", "unknown_fraction")
+
+
 FREQUENT = "v AS (SELECT item AS value, row_number() OVER (ORDER BY item) AS idx FROM obs GROUP BY item HAVING count(DISTINCT unit_id) >= 20)"
 
 
@@ -739,6 +747,16 @@ def finite_filter(s, d):
     return table(s, d, "lineitem").where(finite(x)).agg(F.count("*").alias("n_valid"))
 
 
+@query("""WITH r AS (SELECT [o_totalprice / 100000, (o_orderkey % 7) / 2.0, (o_custkey % 5) * 1.0]::DOUBLE[] AS z, CASE WHEN o_totalprice < 100000 THEN 2 WHEN o_totalprice < 250000 THEN 1 ELSE 0 END AS t FROM orders),
+p AS (SELECT list_transform(z, lambda x: x - list_max(z)) AS z, z[t + 1] - list_max(z) AS y FROM r),
+e AS (SELECT y, list_sum(list_transform(z, lambda x: exp(0.5 * x))) AS s0, list_sum(list_transform(z, lambda x: x * exp(0.5 * x))) AS s1, list_sum(list_transform(z, lambda x: x * x * exp(0.5 * x))) AS s2 FROM p)
+SELECT count(*) AS n, round(avg(ln(s0) - 0.5 * y), 6) AS loss, round(avg(s1 / s0 - y), 6) AS slope, round(avg(s2 / s0 - (s1 / s0) * (s1 / s0)), 6) AS curvature FROM e""")
+def temperature_step(s, d):
+    z = F.array(F.col("o_totalprice") / 100000, (F.col("o_orderkey") % 7) / 2.0, (F.col("o_custkey") % 5).cast("double"))
+    target = F.when(F.col("o_totalprice") < 100000, 2).when(F.col("o_totalprice") < 250000, 1).otherwise(0)
+    return rounded(calibration_sums(table(s, d, "orders").select(z.alias("logits"), target.alias("target")), 0.5), "loss", "slope", "curvature")
+
+
 # --- rows only: training, and models that SQL can't express
 @query()
 def train_predict_regression(s, d):
@@ -768,6 +786,11 @@ def word2vec_items(s, d):
     return similar.item_vectors(ol_obs(s, d).select("unit_id", "item", "weight"), 8).getVectors().select(F.col("word").alias("item"), F.col("vector").cast("string").alias("vector"))
 
 
+@query()
+def skipgram_items(s, d):
+    return skipgram.item_vectors(table(s, d, "lineitem").select(F.col("l_orderkey").alias("unit_id"), F.col("l_partkey").cast("string").alias("item"), F.col("l_quantity").alias("weight")), dim=8, epochs=1)
+
+
 @query()
 def pca_latent(s, d):
     return similar.principal_components(table(s, d, "embeddings").select(F.col("vec_id").alias("id"), F.col("embedding").alias("vector")), 3)
