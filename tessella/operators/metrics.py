@@ -10,6 +10,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.scalars import finite
+from ..sources.shared import written
 from .order import running
 
 EPS = 1e-8
@@ -135,14 +136,63 @@ def pr_auc(df: DataFrame) -> DataFrame:
     return steps.agg(F.try_divide(F.sum(F.col("p") * F.col("tp") / (F.col("tp") + F.col("fp"))), F.sum("p").cast("double")).alias("pr_auc"))
 
 
-def intervals(samples: DataFrame, key: str, value: str, low: float = 0.05, high: float = 0.95) -> DataFrame:
-    """``(key, low, mid, high)``: quantiles by index of each key's sorted samples; ranked rows, no lists."""
+#: Samples of a key from which its quantiles are searched for rather than sorted out, and the accuracy of the sketch that the search starts from.
+LARGE, ACCURACY = 200_000, 10_000
+
+
+def intervals(samples: DataFrame, key: str, value: str, low: float = 0.05, high: float = 0.95, large: int = LARGE) -> DataFrame:
+    """``(key, low, mid, high)``: quantiles by index of each key's sorted samples (nulls first); the values are exact.
+
+    Keys with few samples are ranked in a window. Samples of a key with more than ``large`` are never brought together: a sketch
+    with map-side parts gives bounds around each index, the samples below them are counted, and only those within are put in order,
+    equal ones as one row. Where a sketch was wrong (its error is bounded, but for this nothing is left to chance) the key is ranked after all.
+    """
+    rows = samples.select(F.col(key), F.col(value).alias("v"))
+    many = written(rows.groupBy(key).agg(F.count("*").alias("n"), F.count("v").alias("held")).where(F.col("n") > large), "large")
+    if not many.head(1):
+        return _ranked(rows, key, low, high)
+    same = F.col(key).eqNullSafe(F.col("_key"))
+    names = many.select(F.col(key).alias("_key"))
+    found = written(_searched(rows.join(names, same, "left_semi"), many, key, low, high), "quantiles")
+    sure_ = found.where("sure")
+    rest = rows.join(sure_.select(F.col(key).alias("_key")), same, "left_anti")
+    return _ranked(rest, key, low, high).unionByName(sure_.drop("sure"))
+
+
+def _ranked(rows: DataFrame, key: str, low: float, high: float) -> DataFrame:
     w = Window.partitionBy(key)
-    rows = samples.select(key, F.col(value).alias("v"), F.row_number().over(w.orderBy(value)).alias("r"), F.count("*").over(w).alias("n"))
+    rows = rows.select(key, "v", F.row_number().over(w.orderBy("v")).alias("r"), F.count("*").over(w).alias("n"))
     at = lambda i: F.max(F.when(F.col("r") == F.least(i + 1, F.col("n")), F.col("v")))
     return rows.groupBy(key).agg(at(F.floor(low * F.col("n"))).alias("low"), at(F.floor(F.col("n") / 2)).alias("mid"), at(F.floor(high * F.col("n"))).alias("high"))
 
 
+def _searched(rows: DataFrame, many: DataFrame, key: str, low: float, high: float) -> DataFrame:
+    """``(key, low, mid, high, sure)`` of large keys; ``many``: their numbers of samples, and of those that are not null."""
+    shares = {"low": low, "mid": 0.5, "high": high}
+    near = [p for share in shares.values() for p in (max(0.0, share - 4 / ACCURACY), min(1.0, share + 4 / ACCURACY))]
+    sketch = rows.groupBy(key).agg(F.percentile_approx("v", near, ACCURACY).alias("near"))
+    same = F.col(key).eqNullSafe(F.col("_key"))
+    # a row for each large key: their number is at most that of all samples over ``large``
+    plan = many.join(sketch.withColumnRenamed(key, "_key"), same, "left").select(F.col(key).alias("_key"), "n", "held", "near")
+    plan = written(plan, "bounds")
+    index = [F.least(F.floor((F.col("n") / 2) if name == "mid" else share * F.col("n")), F.col("n") - 1) - (F.col("n") - F.col("held")) for name, share in shares.items()]
+    bounds = plan.select("_key", F.posexplode(F.array(*index)).alias("q", "index"), "near").select("_key", "q", "index", F.get("near", 2 * F.col("q")).alias("least"), F.get("near", 2 * F.col("q") + 1).alias("most"))
+    held = rows.where("v is not null").join(bounds, same)
+    below = held.groupBy("_key", "q", "index").agg(F.count_if(F.col("v") < F.col("least")).alias("below"))
+    inside = held.where("v >= least and v <= most").groupBy("_key", "q", "v").agg(F.count("*").alias("m"))
+    up = Window.partitionBy("_key", "q").orderBy("v").rowsBetween(Window.unboundedPreceding, 0)
+    inside = inside.withColumn("upto", F.sum("m").over(up)).withColumnRenamed("_key", "_k").withColumnRenamed("q", "_q")
+    both = below.join(inside, F.col("_key").eqNullSafe(F.col("_k")) & (F.col("q") == F.col("_q")), "left")
+    rank = F.col("index") - F.col("below")
+    hit = (rank >= F.col("upto") - F.col("m")) & (rank < F.col("upto"))
+    one = both.groupBy("_key", "q").agg(F.max(F.when(hit, F.col("v"))).alias("v"), F.max(F.coalesce(hit, F.lit(False))).alias("hit"), F.first("index").alias("index"))
+    out = plan.select("_key").join(one.withColumnRenamed("_key", "_k"), F.col("_key").eqNullSafe(F.col("_k")), "left")
+    value = lambda k: F.max(F.when(F.col("q") == k, F.col("v"))).alias(list(shares)[k])
+    # an index below 0 is among the nulls, and so is everything where all are null
+    good = F.coalesce(F.min(F.col("hit") | (F.col("index") < 0)), F.lit(True))
+    return out.groupBy("_key").agg(*[value(k) for k in range(3)], good.alias("sure")).withColumnRenamed("_key", key)
+
+
 def sure(prediction: Column, confidence: Column, threshold: float) -> Column:
     """The prediction, or null where the confidence is below the threshold."""
     return F.when(confidence >= threshold, prediction)
