@@ -22,7 +22,6 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ..sources.shared import written
 from .nn import AdamW, Network
 from .objective import Objective, transformed
 
@@ -68,7 +67,7 @@ def sharded(table: DataFrame, arrays: Callable, names: list[str], shards: int, s
     rest = [c for c in table.columns if c not in names]
     dealt = table.select(*rest, *own).withColumn("_shard", F.pmod(F.xxhash64(F.lit(seed), "unit_id"), F.lit(shards)).cast("int"))
     order = F.xxhash64(F.lit(seed + 1), "unit_id")
-    return written(dealt.repartition(shards, "_shard").sortWithinPartitions("_shard", "is_test", order, "unit_id").mapInArrow(pack, PACKED), "shards")
+    return dealt.repartition(shards, "_shard").sortWithinPartitions("_shard", "is_test", order, "unit_id").mapInArrow(pack, PACKED)
 
 
 def _added(payloads: DataFrame, add: Callable[[list], object]) -> object:

@@ -25,6 +25,7 @@ from ..operators.loss import PHASES, PRESETS as LOSSES, Phase
 from ..plans.encoder import EncoderModel
 from ..plans.formula import lowered
 from ..sources.roles import Target
+from ..sources.cache import Cache
 from ..sources.shared import written
 from . import passes
 from .nn import AdamW, Bags, Network, UnitRandom
@@ -64,9 +65,10 @@ class Trainer:
     A step is taken after ``accumulate`` batches; ``shards`` is how many parts of the units train side by side between two
     averages of the weights (null: as many as the units' number and size ask for). With ``calibrate`` the confidences of classes
     come from scores divided by a temperature that is fitted on the held-out units. ``tables`` holds the vectors that a formula names.
+    With ``cache``, a folder, the encoded units are kept there and read again while files, formula and split are the same.
     """
 
-    def __init__(self, formula: str, targets: list[Target], hidden: tuple[int, ...] = (64, 32), epochs: int = 50, batch: int = 256, lr: float = 1e-3, schedule: str = "none", patience: int = 20, test_share: float = 0.2, dropout: float = 0.1, seed: int = 42, loss: str | list[Phase] = "phased", boundaries: tuple[int, ...] = PHASES, callback=None, progress: str | None = None, unknown_features: bool = False, min_units: int = 1, clip: float = 1.0, min_delta: float = 0.0, warmup: int = 0, checkpoint: str | None = None, checkpoint_every: int = 10, decay: float = 1e-4, accumulate: int = 1, shards: int | None = None, calibrate: bool = False, tables: dict[str, DataFrame] | None = None):
+    def __init__(self, formula: str, targets: list[Target], hidden: tuple[int, ...] = (64, 32), epochs: int = 50, batch: int = 256, lr: float = 1e-3, schedule: str = "none", patience: int = 20, test_share: float = 0.2, dropout: float = 0.1, seed: int = 42, loss: str | list[Phase] = "phased", boundaries: tuple[int, ...] = PHASES, callback=None, progress: str | None = None, unknown_features: bool = False, min_units: int = 1, clip: float = 1.0, min_delta: float = 0.0, warmup: int = 0, checkpoint: str | None = None, checkpoint_every: int = 10, decay: float = 1e-4, accumulate: int = 1, shards: int | None = None, calibrate: bool = False, tables: dict[str, DataFrame] | None = None, cache: str | None = None):
         self.formula, self.targets, self.hidden, self.epochs, self.batch, self.lr = formula, targets, tuple(hidden), epochs, batch, lr
         self.schedule, self.patience, self.test_share, self.dropout, self.seed, self.loss, self.callback = schedule, patience, test_share, dropout, seed, loss, callback
         self.phases = list(PHASED) if loss == "phased" else [LOSSES[loss]] if isinstance(loss, str) else list(loss)
@@ -76,7 +78,7 @@ class Trainer:
         self.unknown_features, self.min_units, self.clip, self.min_delta, self.warmup, self.checkpoint, self.checkpoint_every = unknown_features, min_units, clip, min_delta, warmup, checkpoint, checkpoint_every
         self.decay, self.accumulate, self.shards, self.calibrate = decay, accumulate, shards, calibrate
         self.temperatures: dict[str, float] = {}
-        self.tables = tables
+        self.tables, self.cache = tables, cache
         self.encoder: EncoderModel | None = None
         self.net: Network | None = None
         self.scalers: dict[str, tuple[float, float]] = {}
@@ -121,7 +123,7 @@ class Trainer:
 
     def keywords(self) -> dict:
         """The keyword arguments that make an untrained trainer like this one."""
-        plain = ("hidden", "epochs", "batch", "lr", "schedule", "patience", "test_share", "dropout", "seed", "boundaries", "callback", "progress", "unknown_features", "min_units", "clip", "min_delta", "warmup", "checkpoint", "checkpoint_every", "decay", "accumulate", "shards", "calibrate", "tables")
+        plain = ("hidden", "epochs", "batch", "lr", "schedule", "patience", "test_share", "dropout", "seed", "boundaries", "callback", "progress", "unknown_features", "min_units", "clip", "min_delta", "warmup", "checkpoint", "checkpoint_every", "decay", "accumulate", "shards", "calibrate", "tables", "cache")
         return {k: getattr(self, k) for k in plain} | {"loss": self.phases}
 
     # --- features
@@ -170,11 +172,7 @@ class Trainer:
             self.encoder = lowered(self.formula, units, obs, tables=self.tables).fit(units, obs)
             column = self._item_column()
             self.known = written(self._known(obs, column), "known") if column and obs is not None else None
-        marked = split.train_test(labelled.select("unit_id"), self.test_share, self.seed)
-        table = self._table(labelled, obs, self.encoder)
-        if self.unknown_features:
-            table = self._certain(table, obs).drop("_sure")
-        shards = self._dealt(table.join(marked, "unit_id"), labelled.count())
+        shards = self._shards(labelled, obs)
         regressions = {t.name: t.transform for t in self.targets if t.task == "regression"}
         if not resume or self.net is None:
             found = passes.moments(shards, regressions)
@@ -201,6 +199,22 @@ class Trainer:
                 self.temperatures[t.name], *_ = temperature(written(passes.held_logits(shards, self.net, self.inputs, t.name), "logits"))
         return self.result
 
+    def _shards(self, labelled: DataFrame, obs: DataFrame | None) -> DataFrame:
+        """The labelled units' shards; kept ones if nothing that they are made from has changed."""
+
+        def build() -> DataFrame:
+            marked = split.train_test(labelled.select("unit_id"), self.test_share, self.seed)
+            table = self._table(labelled, obs, self.encoder)
+            if self.unknown_features:
+                table = self._certain(table, obs).drop("_sure")
+            return self._dealt(table.join(marked, "unit_id"), labelled.count())
+
+        if self.cache is None or self.tables:
+            return written(build(), "shards")
+        spec = {"specs": [asdict(s) for s in self.encoder.specs], "scalers": self.encoder.scalers, "targets": [t.name for t in self.targets], **{k: getattr(self, k) for k in ("test_share", "seed", "shards", "unknown_features", "min_units")}}
+        inputs = [labelled] + ([obs] if obs is not None else [])
+        return Cache(labelled.sparkSession, self.cache).table("shards", inputs, spec, build)
+
     def _dealt(self, table: DataFrame, n: int) -> DataFrame:
         """The units' shards."""
         encoder, wide = _Shape(self.encoder), self.encoder.continuous_dim + 2 * self.unknown_features
