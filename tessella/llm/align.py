@@ -33,7 +33,7 @@ from .pieces import BYTES, PIECES, two_ways
 from .store import mark, sweep, written
 from .tokens import tidy
 
-HEAD, BLOCK = 65_536, 1 << 22
+HEAD, BLOCK = 65_536, 1 << 21
 #: Bits of an id in a pair.
 BITS = 24
 _SIDE = "{0} array<array<int>>, {0}_ends array<array<int>>, {0}_by array<array<int>>"
@@ -92,6 +92,7 @@ def tokenised(docs: DataFrame, a: str = BYTES, b: str = PIECES, block: int = BLO
                     n = len(text or "")
                     if kept and held + n > block:
                         yield done()
+                        tidy()
                         held = 0
                     kept.append((doc_id, text))
                     held += n + 64
@@ -169,19 +170,19 @@ def of_units(units: Column, values: Column) -> Column:
 
 
 def counted(blocks: DataFrame) -> DataFrame:
-    """``(pair, n, best)`` of ``blocks (docs, unit_links)``: how many documents hold a pair, and whether no other pair of its A id has more."""
-    pairs = _let(F.transform("unit_links", lambda x: x["pair"]), lambda p: F.flatten(F.transform("docs", lambda d: F.array_distinct(F.flatten(of_units(F.array_distinct(d["units"]), p))))))
-    counts = written(blocks.select(F.explode(pairs).alias("pair")).groupBy("pair").agg(F.count("*").alias("n")), "pairs")
+    """``(pair, n, best)`` of ``blocks (units, pairs)``: how many documents hold a pair, and whether no other pair of its A id has more."""
+    own = F.transform("units", lambda units: F.array_distinct(F.flatten(of_units(F.array_distinct(units), F.col("pairs")))))
+    counts = written(blocks.select(F.explode(F.flatten(own)).alias("pair")).groupBy("pair").agg(F.count("*").alias("n")), "pairs")
     highest = counts.groupBy(F.shiftright("pair", BITS).alias("a")).agg(F.max("n").alias("most"))
     both = counts.join(F.broadcast(highest), F.shiftright("pair", BITS) == F.col("a"))  # at most a row for each id of A's vocabulary
     return both.select("pair", "n", (F.col("n") == F.col("most")).alias("best"))
 
 
 def valued(blocks: DataFrame, counts: DataFrame) -> DataFrame:
-    """``(block, unit, n_links, n_best, count_sum)``: sums over the links of each unit of a block."""
+    """``(block, unit, n_links, n_best, count_sum)``: sums over the links of each unit of ``blocks (block, pairs, times)``."""
     whole = counts.agg(F.sum("n")).first()[0] or 0
     head, tail = counts.where(F.col("n") > whole / HEAD), counts.where(F.col("n") <= whole / HEAD)
-    each = blocks.select("block", F.posexplode("unit_links").alias("unit", "links")).select("block", "unit", F.inline("links"))
+    each = blocks.select("block", F.posexplode(F.arrays_zip("pairs", "times")).alias("unit", "links")).select("block", "unit", F.inline(F.arrays_zip("links.pairs", "links.times"))).toDF("block", "unit", "pair", "times")
     values = [F.sum("times").alias("n_links"), F.sum(F.when(F.col("best"), F.col("times")).otherwise(0)).alias("n_best"), F.sum(F.col("n") * F.col("times")).alias("count_sum")]
     frequent = each.join(F.broadcast(head), "pair").select("block", "unit", "times", "n", "best")
     rare = each.join(F.broadcast(head.select("pair")), "pair", "left_anti").join(tail, "pair").select("block", "unit", "times", "n", "best")
@@ -192,7 +193,7 @@ def aligned(docs: DataFrame, a: str = BYTES, b: str = PIECES, with_groups: bool
     """Per row of ``docs (doc_id, text)``: doc_id, n_a, n_b, n_groups, n_links, n_best, count_sum, groups_sha256; ``with_groups`` adds the groups as text."""
     since = mark()
     found = grouped(tokenised(docs, a, b))
-    found = found.select("block", "docs", "unit_groups", F.transform("unit_groups", written_groups).alias("texts"), F.transform("unit_groups", links_of).alias("unit_links"))
+    found = found.select("block", "docs", F.transform("unit_groups", written_groups).alias("texts"), F.transform("unit_groups", links_of).alias("links"))
 
     def text_of(d: Column, texts: Column) -> Column:
         return F.when(F.size(d["units"]) > 0, F.array_join(of_units(d["units"], texts), ";")).otherwise("")
@@ -200,31 +201,28 @@ def aligned(docs: DataFrame, a: str = BYTES, b: str = PIECES, with_groups: bool
     def doc(d: Column, text: Column) -> Column:
         n_groups = F.when(text != "", F.length(text) - F.length(F.replace(text, F.lit(";"))) + 1).otherwise(0)
         sha = F.when(text != "", F.sha2(text, 256)).otherwise("")
-        return F.struct(*[d[c].alias(c) for c in ("row", "doc_id", "n_a", "n_b", "units")], n_groups.cast("long").alias("n_groups"), sha.alias("groups_sha256"))
+        more = [text.alias("groups")] if with_groups else []
+        return F.struct(*[d[c].alias(c) for c in ("doc_id", "n_a", "n_b", "units")], n_groups.cast("long").alias("n_groups"), sha.alias("groups_sha256"), *more)
 
     # what a lambda reads more than once is bound first: else the planner may move its expression into the lambda
     summary = _let(F.col("texts"), lambda t: F.transform("docs", lambda d: _let(text_of(d, t), lambda text: doc(d, text))))
-    texts = _let(F.col("texts"), lambda t: F.transform("docs", lambda d: F.struct(d["row"].alias("row"), text_of(d, t).alias("groups")))) if with_groups else None
-    texts = found.select(F.inline(texts)) if with_groups else None
-    blocks = written(found.select("block", summary.alias("docs"), "unit_links"), "blocks")
+    keep = ["doc_id", "n_a", "n_b", "n_groups", "groups_sha256", *(["groups"] if with_groups else [])]
+    # a column for each part, so that a pass reads no more than it needs
+    parts = found.select("block", summary.alias("docs"), "links").select("block", *[F.col(f"docs.{c}").alias(c) for c in [*keep, "units"]], F.transform("links", lambda x: x["pair"]).alias("pairs"), F.transform("links", lambda x: x["times"]).alias("times"))
+    blocks = written(parts, "blocks")
     counts = written(counted(blocks), "counts")
     one = F.array_sort(F.collect_list(F.struct("unit", "n_links", "n_best", "count_sum")))
     values = written(valued(blocks, counts).groupBy("block").agg(one.alias("v")), "values")
     sweep(docs.sparkSession, since, [blocks, values])
     names = ["n_links", "n_best", "count_sum"]
-    each = blocks.select("block", "docs").join(values.select("block", *[F.col(f"v.{c}").alias(c) for c in names]), "block", "left")
-    keep = ["row", "doc_id", "n_a", "n_b", "n_groups", "groups_sha256"]
+    each = blocks.select("block", *keep, "units").join(values.select("block", *[F.col(f"v.{c}").alias(c) for c in names]), "block", "left")
 
     def total(units: Column, of: Column) -> Column:
         return F.aggregate(units, F.lit(0).cast("long"), lambda s, i: s + F.get(of, i))
 
-    def summed(v: Column) -> Column:
-        return F.transform("docs", lambda d: F.struct(*[d[c].alias(c) for c in keep], *[total(d["units"], v[c]).alias(c) for c in names]))
-
-    out = each.select(F.inline(_let(F.struct(*names), summed)))
-    if texts is not None:
-        out = out.join(texts, "row")
-    return out.select("doc_id", "n_a", "n_b", "n_groups", *names, "groups_sha256", *(["groups"] if with_groups else []))
+    sums = _let(F.struct(*names), lambda v: F.transform("units", lambda u: F.struct(*[total(u, v[c]).alias(c) for c in names])))
+    rows = each.select(*keep, sums.alias("sums")).select(F.inline(F.arrays_zip(*keep, "sums")))
+    return rows.select("doc_id", "n_a", "n_b", "n_groups", *[F.col(f"sums.{c}").alias(c) for c in names], *keep[4:])
 
 
 def op13_align(spark: SparkSession, sf_dir: str) -> DataFrame:

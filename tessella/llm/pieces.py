@@ -194,9 +194,28 @@ class Units(Words):
         counts = np.diff(np.searchsorted(starts, np.append(first, len(data))))
         return data, unit_hashes(data, starts, ends), starts, ends, counts
 
+    def _empty(self) -> None:
+        super()._empty()
+        self.emptied = getattr(self, "emptied", 0) + 1
+
+    def _all_places(self, texts: list[str | None], chunk: int = 1 << 18) -> tuple[np.ndarray, np.ndarray]:
+        """``_places`` of many texts, about ``chunk`` characters at a time; at once if the store is too small to hold their units beside what it has."""
+        for _ in range(2):
+            before, found, at = self.emptied, [], 0
+            while at < len(texts):
+                stop, size = at, 0
+                while stop < len(texts) and (stop == at or size + len(texts[stop] or "") <= chunk):
+                    size += len(texts[stop] or "")
+                    stop += 1
+                found.append(self._places(texts[at:stop]))
+                at = stop
+            if self.emptied == before:  # else places found earlier are gone
+                return np.concatenate([np.zeros(0, np.int64), *(p for p, _ in found)]), np.concatenate([np.zeros(0, np.int64), *(n for _, n in found)])
+        return self._places(texts)
+
     def units(self, texts: list[str | None]) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
         """The ids of the texts' distinct units in a row, and how many each unit has; then all units of all texts, by number, and how many each text has."""
-        at, counts = self._places(texts)
+        at, counts = self._all_places(texts)
         places, order = np.unique(at, return_inverse=True)
         sizes = self.sizes[places].astype(np.int64)
         stops = np.cumsum(sizes)
@@ -275,7 +294,7 @@ class TwoWays(Units):
     what follows; where no piece goes across either, both begin a new unit. Units whose tokens, joined, are not the unit have no ids.
     """
 
-    def __init__(self, first: str = BYTES, second: str = PIECES, capacity: int = 2_080_000):
+    def __init__(self, first: str = BYTES, second: str = PIECES, capacity: int = 1_040_000):
         (tokenizer, raw), pieces = byte_model(first), piece_model(second)
         self.first, self.raw = len(raw), raw + pieces.raw
         apart = piece_units(second).cut

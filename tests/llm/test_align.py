@@ -3,6 +3,7 @@
 import hashlib
 from collections import Counter
 
+import numpy as np
 import public_tokenizers
 import pytest
 from sentencepiece import SentencePieceProcessor
@@ -61,6 +62,23 @@ def test_aligned(spark, awkward, nothing, monkeypatch, head):
     assert align.aligned(nothing).collect() == []
 
 
+def test_a_store_that_is_too_small(awkward):
+    """Places of a block stay valid when the store is emptied on the way."""
+    from tessella.llm.pieces import TwoWays
+
+    large, small = TwoWays(), TwoWays(capacity=40)
+    texts = [f"word{k} and {k * 7} more, thouinor{k}." * 3 for k in range(60)]
+    for store in (large, small):
+        ids, sizes, order, counts = store.units(texts)
+        starts = np.cumsum(sizes) - sizes
+        found, at = [], 0
+        for n in counts:
+            whole = np.concatenate([ids[starts[u] : starts[u] + sizes[u]] for u in order[at : at + n]])
+            found.append([i for i in whole.tolist() if i < store.first])
+            at += n
+        assert found == [first.encode(" " + x, add_special_tokens=False).ids for x in texts]
+
+
 def test_blocks_do_not_matter(spark, awkward):
     docs = awkward.select("doc_id", "text")
     one = align.grouped(align.tokenised(docs.coalesce(1))).selectExpr("size(docs) as n").collect()
