@@ -12,8 +12,8 @@ discards message ``target`` and every later one begun so far.
 
 Edge cases: null text is empty; null role is the empty role; a null ``event`` is
 ``message``; rows whose conv_id is null form one conversation; repeated rows
-are separate events, ordered by seq (nulls first), then role, then text; deltas and
-edits of unknown messages do nothing; columns other than those named are ignored.
+are separate events, ordered by seq (nulls first), then role, text, event, target; deltas and
+edits of unknown or discarded messages do nothing; columns other than those named are ignored.
 """
 
 from __future__ import annotations
@@ -41,7 +41,7 @@ def fold(events: DataFrame) -> DataFrame:
     for name, kind in want.items():
         if name not in events.columns:
             events = events.withColumn(name, F.lit(None).cast(kind))
-    order = [F.col("seq").asc_nulls_first(), F.col("role").asc_nulls_first(), F.col("text").asc_nulls_first()]
+    order = [F.col(c).asc_nulls_first() for c in ("seq", "role", "text", "event", "target")]
     log = events.select("conv_id", "seq", "target", "role", F.coalesce("text", F.lit("")).alias("text"), F.coalesce("event", F.lit("message")).alias("event"))
     by_time = Window.partitionBy("conv_id").orderBy(*order)
     log = log.withColumn("at", F.row_number().over(by_time))
@@ -60,7 +60,8 @@ def fold(events: DataFrame) -> DataFrame:
         F.max(F.when(is_message, F.col("role"))).alias("role"),
         F.max(F.when(F.col("event") != "delta", F.col("at"))).alias("base"),
         F.sort_array(F.collect_list(F.struct("at", "text"))).alias("pieces"),
-    )
+        F.max(is_message).alias("begun"),
+    ).where("begun")  # what comes after a message was discarded does not bring it back
     text = F.concat_ws("", F.transform(F.filter("pieces", lambda x: x["at"] >= F.col("base")), lambda x: x["text"]))
     pos = F.row_number().over(Window.partitionBy("conv_id").orderBy("key")) - 1
     return parts.select("conv_id", pos.cast("long").alias("pos"), F.coalesce("role", F.lit("")).alias("role"), text.alias("text"))
