@@ -6,8 +6,8 @@ each level; a container's points are discounted by the share of its text that
 lies in links. The container with the most is the best, wherever it stands, article element
 or not; elements whose tag, ARIA role or class and id words name them page furniture
 hold no points. From the best container the way leads up while it is
-inside an ``article`` or ``main``, else one level: siblings are kept if they are headings,
-prose, or score well themselves, and boxes of links, teasers and stray text are not.
+inside an ``article`` or ``main``, else as long as something beside it scores well too: siblings are kept if they hold a container that scores a
+fifth of the best or more, next to the best container also if they are headings, prose, or hold a paragraph of ``LONG_PROSE`` letters; boxes of links, teasers and stray text are not.
 
 Edge cases: null or empty html gives empty text; pages without any paragraph fall
 back to whatever text the body holds after pruning; malformed tags are text;
@@ -53,15 +53,18 @@ CONTENT = set("article main content post entry story body text page".split())
 BOXES = set("ul ol div section table dl article".split())
 READERS = set("comment comments reply replies respond".split())
 KEEP = set("html body article main h1 h2 h3 h4 h5 h6 p".split())
+LONG_PROSE = 80
+HEADINGS = set("h1 h2 h3 h4 h5 h6".split())
 
 
 class Node:
-    __slots__ = ("tag", "parent", "items", "own", "links", "commas", "score", "junk")
+    __slots__ = ("tag", "parent", "items", "own", "links", "commas", "score", "junk", "peak", "prose")
 
     def __init__(self, tag: str, parent: Node | None, junk: bool):
         self.tag, self.parent, self.items = tag, parent, []  # items: texts and nodes in page order
         self.own = self.links = self.commas = 0  # of the whole subtree, once measured
         self.score, self.junk = 0.0, junk
+        self.peak, self.prose = 0.0, 0  # the best value in the subtree, the longest paragraph there
 
 
 def furniture(tag: str, attributes: str, inside_article: bool) -> bool:
@@ -208,25 +211,35 @@ def pass_points(order: list[Node]) -> list[Node]:
         prose = x.tag in ("p", "pre", "td", "blockquote", "dd", "li") or (x.tag in BLOCK and x.tag[0] != "h" and not has_block)
         if not prose or has_block or not x.own:
             continue
+        x.prose = x.own
         points = min(x.own / 25, 1) + x.commas + min(x.own / 100, 3)
         up, level = x.parent, 0
         while up is not None and level < 4:
             up.score += points / (1, 2, 6, 9)[level]
             scored[up] = None
             up, level = up.parent, level + 1
+    for x in reversed(order):
+        x.peak = max(x.peak, value(x))
+        if x.parent is not None:
+            x.parent.peak, x.parent.prose = max(x.parent.peak, x.peak), max(x.parent.prose, x.prose)
     return list(scored)
 
 
-def _kept(y: Node, top: float, inside: bool) -> bool:
-    """Whether a sibling of the best container (or of what holds it) belongs to the text."""
+def _kept(y: Node, top: float, inside: bool, near: bool) -> bool:
+    """Whether a sibling of the best container (``near``: or else of what holds it) belongs to the text."""
     if y.junk or not y.own:
         return False
-    good = y.score > 0 and value(y) >= 0.2 * top
+    good = y.peak > 0 and y.peak >= 0.2 * top
     if inside:  # the article's own parts, but no boxes of links and no teasers
         return not is_menu(y, 0.5) and (y.tag != "article" or good)
-    heading = y.tag in ("h1", "h2", "h3", "h4", "h5", "h6", "header")
     prose = y.tag in ("p", "blockquote", "pre") and density(y) < 0.25
-    return heading or prose or (good and value(y) >= 10)
+    long = y.prose >= LONG_PROSE and density(y) < 0.25
+    return good or (near and (prose or long or y.tag in HEADINGS or y.tag == "header"))
+
+
+def _is_heading(y: Node) -> bool:
+    """Whether all the text of an element stands in headings."""
+    return bool(y.own) and not y.junk and y.own == sum(x.own for x in nodes(y) if x.tag in HEADINGS)
 
 
 def main_nodes(root: Node) -> list[Node]:
@@ -250,20 +263,29 @@ def main_nodes(root: Node) -> list[Node]:
         if up.tag in ("article", "main"):
             framed.add(up)
         up = up.parent
+    near = True  # no level with other text was passed yet
     while at.parent is not None:
         inside, same = bool(framed), at.tag in ("article", "main")
-        around = []
+        around, open_, others, more = [], [], 0, 0
         for y in at.parent.items:
             if y is at:
-                around += kept
+                around, open_ = around + open_ + kept, []
             elif isinstance(y, str):
                 around += [y] * inside
-            elif (same and not inside and not y.junk and y.tag == at.tag and value(y) >= 0.2 * top) or ((inside or not same) and _kept(y, top, inside)):
-                around.append(y)
+            elif (same and not inside and not y.junk and y.tag == at.tag and value(y) >= 0.2 * top) or ((inside or not same) and _kept(y, top, inside, near)):
+                around, open_ = around + open_ + [y], []
+                more += 1
+            elif not inside and not same and _is_heading(y):
+                open_.append(y)  # kept if text that it may head follows
+            else:
+                others += bool(y.own and not y.junk)
         at, kept = at.parent, around
         framed.discard(at)
-        if not inside or (at.tag in ("article", "main") and not framed):
+        if inside and at.tag in ("article", "main") and not framed:
             break
+        if not inside and (same or (others and not more)):
+            break  # beyond an article, or where nothing beside it belongs to the text
+        near = near and not others and not more
     return kept
 
 

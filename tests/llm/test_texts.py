@@ -105,6 +105,49 @@ SCORED = {
 }
 
 
+#: Text that is split over containers.
+SPLIT = {
+    f"<div><div><p>{LONG}</p></div><div><h2>Sub</h2></div><div><p>{LONG}</p></div></div>": f"{LONG}\nSub\n{LONG}",
+    f'<div><div class="row"><div><p>{LONG}</p></div></div><div class="row"><div><p>{LONG}</p></div></div></div>': f"{LONG}\n{LONG}",
+    f"<table><tr><td>{LONG}</td></tr><tr><td>{LONG}</td></tr></table>": f"{LONG}\n{LONG}",
+    f"<body><div><a href=1>a</a> <a href=2>b</a> <a href=3>c</a></div><div><div><div><p>{LONG}<p>{LONG}</div></div><div><div><p>{LONG}</div></div></div><div>Imprint</div></body>": f"{LONG}\n{LONG}\n{LONG}",
+}
+
+
+def test_html_split_text():
+    for page, text in SPLIT.items():
+        assert extract(page) == text, page
+
+
+def _random_page(rng):
+    """A page without telling names, and its article: sections in wrappers, among boxes of links and teasers."""
+    words = "alpha beta gamma delta epsilon zeta eta theta iota kappa".split()
+    sentence = lambda n: " ".join(rng.choice(words) for _ in range(n)) + rng.choice([", ", ". "])
+    text, sections = [], []
+    for k in range(rng.randint(1, 5)):
+        own = [f"Heading {k} {rng.random():.6f}"] * rng.randint(0, 1) + [f"{rng.random():.6f} " + "".join(sentence(rng.randint(4, 12)) for _ in range(rng.randint(4, 12))).strip() for _ in range(rng.randint(1, 4))]
+        text += own
+        body = "".join(f"<h2>{x}</h2>" if x.startswith("Heading") else f"<p>{x}</p>" for x in own)
+        wrap = rng.randint(0, 2)
+        sections.append("<div>" * wrap + f"<section>{body}</section>" + "</div>" * wrap)
+    links = lambda n: "<div>" + "".join(f"<a href={k}>{rng.choice(words)} {rng.choice(words)}</a> " for k in range(n)) + "</div>"
+    teaser = lambda: f"<div><span>{rng.choice(words)} {rng.choice(words)}</span><a href=1>{rng.choice(words)}</a></div>"
+    outer = rng.randint(1, 2)
+    around = [links(rng.randint(3, 9)), teaser(), links(4)]
+    rng.shuffle(around)
+    return "<html><body>" + around[0] + "<div>" * outer + "".join(sections) + "</div>" * outer + around[1] + around[2] + "</body></html>", text
+
+
+def test_html_random_pages():
+    rng = random.Random(8)
+    found = wanted = right = 0
+    for _ in range(300):
+        page, text = _random_page(rng)
+        got = extract(page).split("\n")
+        found, wanted, right = found + len(got), wanted + len(text), right + len(set(got) & set(text))
+    assert right / wanted > 0.99 and right / found > 0.99, (right / wanted, right / found)
+
+
 def test_html_points_choose(spark):
     for page, text in SCORED.items():
         assert extract(page) == text, page
