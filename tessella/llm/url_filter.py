@@ -10,9 +10,9 @@ levels and a tail. At each node of a host's tree
    all others, the variable ones, are one branch ``*``;
 2. each branch has labelled evidence: its own labels, and up to ``alpha`` pseudo-labels
    at the rate of the same branch over all hosts, so that hosts without labels have some;
-3. branches are put in order of their bad rate, and neighbours whose rates do not
-   differ significantly (two-proportion test, ``z``) merge, as do all without evidence:
-   a merged branch is ``{a|b}``, or ``*`` if the variable one is among them.
+3. branches are put in order of their bad rate; a branch joins the group before it unless it differs
+   significantly (two-proportion test, ``z``) from that group's first, so no group holds two that differ, however many
+   lie between them. All without evidence merge. A merged branch is ``{a?b}``, or ``*`` if the variable one is among them.
 
 A template is judged by its purity, its labelled bad rate smoothed by ``alpha``
 pseudo-labels at an inherited rate. Hosts inherit from their domain (the last two names)
@@ -36,7 +36,7 @@ is blocked. Very long segments are segments like others. Other columns, whatever
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, SparkSession, Window
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .decontaminate import ascii_lower
@@ -78,15 +78,24 @@ def _branches(children: DataFrame, support: int, share: float, z: float, alpha:
     both = own.where("key <> ''").join(world, ["template", "key"]).withColumn("pseudo", pseudo)
     both = both.select("host", "template", "key", (F.col("lab") + F.col("pseudo")).alias("k"), (F.col("bads") + F.coalesce(F.try_divide(F.col("pseudo") * F.col("wbads"), "wlab"), F.lit(0.0))).alias("b"))
     both = both.withColumn("rate", F.try_divide("b", "k"))
-    node = Window.partitionBy("host", "template").orderBy(F.col("rate").asc_nulls_last(), "key")
-    before = lambda c: F.lag(c).over(node)
-    pooled = F.try_divide(F.col("b") + before("b"), F.col("k") + before("k"))
-    gap = F.col("rate") - before("rate")
-    # a difference, or evidence beside none, begins a new group
-    differs = (gap * gap > z * z * pooled * (1 - pooled) * (F.try_divide(F.lit(1.0), "k") + F.try_divide(F.lit(1.0), before("k")))) | (F.col("rate").isNull() & before("rate").isNotNull())
-    groups = both.withColumn("first", F.when(F.coalesce(differs, F.lit(False)), 1).otherwise(0)).withColumn("part", F.sum("first").over(node))
-    of = groups.groupBy("host", "template", "part").agg(F.array_sort(F.collect_list("key")).alias("keys"), F.max(F.col("rate").isNull()).alias("unknown"))
-    name = F.when(F.array_contains("keys", "*") | F.col("unknown"), "*").when(F.size("keys") == 1, F.get("keys", F.lit(0))).otherwise(F.concat(F.lit("{"), F.array_join("keys", "|"), F.lit("}")))
+    # at most 1/share branches and the variable one, by their rates
+    members = F.array_sort(F.collect_list(F.struct(F.col("rate").isNull().alias("none"), "rate", "key", "k", "b")))
+    none = F.lit(None).cast("double")
+    begin = F.struct(F.lit(0).alias("part"), none.alias("rate"), none.alias("k"), none.alias("b"), F.lit(True).alias("none"), F.array().cast("array<struct<part:int,key:string,none:boolean>>").alias("out"))
+
+    def placed(state: Column, x: Column) -> Column:
+        """A branch joins the group unless it differs from the group's first, its lowest rate; evidence beside none differs too."""
+        pooled, gap = F.try_divide(x["b"] + state["b"], x["k"] + state["k"]), x["rate"] - state["rate"]
+        differs = gap * gap > z * z * pooled * (1 - pooled) * (F.try_divide(F.lit(1.0), x["k"]) + F.try_divide(F.lit(1.0), state["k"]))
+        new = (state["part"] == 0) | (x["none"] & ~state["none"]) | F.coalesce(differs, F.lit(False))
+        part = state["part"] + F.when(new, 1).otherwise(0)
+        first = [F.when(new, x[c]).otherwise(state[c]).alias(c) for c in ("rate", "k", "b", "none")]
+        return F.struct(part.alias("part"), *first, F.concat(state["out"], F.array(F.struct(part.alias("part"), x["key"].alias("key"), x["none"].alias("none")))).alias("out"))
+
+    groups = both.groupBy("host", "template").agg(members.alias("m")).select("host", "template", F.inline(F.aggregate("m", begin, placed, lambda state: state["out"])))
+    of = groups.groupBy("host", "template", "part").agg(F.array_sort(F.collect_list("key")).alias("keys"), F.max("none").alias("unknown"))
+    # a segment holds no question mark, so no other template has this name
+    name = F.when(F.array_contains("keys", "*") | F.col("unknown"), "*").when(F.size("keys") == 1, F.get("keys", F.lit(0))).otherwise(F.concat(F.lit("{"), F.array_join("keys", "?"), F.lit("}")))
     return of.select("host", "template", F.explode("keys").alias("seg"), name.alias("branch")).where("seg <> '*'")
 
 
@@ -152,6 +161,8 @@ def op1_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
 def _sql() -> str:
     case = lambda of: "CASE " + " ".join(f"WHEN (host = '{r.partition('/')[0]}' OR host LIKE '%.{r.partition('/')[0]}') AND starts_with(path, '/{r.partition('/')[2]}') THEN '{of(r, v)}'" for r, v in sorted(RULES, key=lambda x: -len(x[0]))) + " END"
     odds = lambda r: f"(least(greatest({r}, {EDGE}), {1 - EDGE}) / (1 - least(greatest({r}, {EDGE}), {1 - EDGE})))"
+    # whether a branch begins a new group: it differs from the first of the one before
+    new = f"(s.part = 0 OR (x.rate IS NULL AND s.rate IS NOT NULL) OR coalesce((x.rate - s.rate) * (x.rate - s.rate) > {Z * Z} * ((x.b + s.b) / (x.k + s.k)) * (1 - (x.b + s.b) / (x.k + s.k)) * (1 / x.k + 1 / s.k), false))"
     levels = ""
     for k in range(DEPTH):
         levels += f""",
@@ -162,11 +173,11 @@ w{k} AS (SELECT template, key, sum(lab) AS wlab, sum(bads) AS wbads FROM o{k} GR
 e{k} AS (SELECT host, template, key, lab + pseudo AS k, bads + CASE WHEN wlab > 0 THEN pseudo * wbads / wlab ELSE 0 END AS b
   FROM (SELECT *, CASE WHEN wlab > 0 THEN least({ALPHA}::DOUBLE, wlab::DOUBLE) ELSE 0::DOUBLE END AS pseudo FROM o{k} JOIN w{k} USING (template, key) WHERE key <> '')),
 f{k} AS (SELECT *, CASE WHEN k > 0 THEN b / k END AS rate FROM e{k}),
-g{k} AS (SELECT *, lag(k) OVER w AS k0, lag(b) OVER w AS b0, lag(rate) OVER w AS rate0 FROM f{k} WINDOW w AS (PARTITION BY host, template ORDER BY rate ASC NULLS LAST, key)),
-h{k} AS (SELECT *, sum(CASE WHEN (rate - rate0) * (rate - rate0) > {Z * Z} * ((b + b0) / (k + k0)) * (1 - (b + b0) / (k + k0)) * (1 / k + 1 / k0) OR (rate IS NULL AND rate0 IS NOT NULL) THEN 1 ELSE 0 END)
-  OVER (PARTITION BY host, template ORDER BY rate ASC NULLS LAST, key) AS part FROM g{k}),
-n{k} AS (SELECT host, template, list(key ORDER BY key) AS keys, bool_or(rate IS NULL) AS nothing FROM h{k} GROUP BY host, template, part),
-l{k} AS (SELECT host, template, unnest(keys) AS seg, CASE WHEN list_contains(keys, '*') OR nothing THEN '*' WHEN len(keys) = 1 THEN keys[1] ELSE '{{' || array_to_string(keys, '|') || '}}' END AS branch FROM n{k}),
+g{k} AS (SELECT host, template, list({{'key': key, 'k': k, 'b': b, 'rate': rate, 'part': 0, 'out': []::STRUCT(key VARCHAR, part INTEGER, nothing BOOLEAN)[]}} ORDER BY rate ASC NULLS LAST, key) AS m FROM f{k} GROUP BY host, template),
+h{k} AS (SELECT host, template, unnest(list_reduce(m, lambda s, x: {{'key': '', 'k': CASE WHEN {new} THEN x.k ELSE s.k END, 'b': CASE WHEN {new} THEN x.b ELSE s.b END, 'rate': CASE WHEN {new} THEN x.rate ELSE s.rate END, 'part': s.part + CASE WHEN {new} THEN 1 ELSE 0 END,
+  'out': list_append(s.out, {{'key': x.key, 'part': s.part + CASE WHEN {new} THEN 1 ELSE 0 END, 'nothing': x.rate IS NULL}})}}, {{'key': '', 'k': 0::DOUBLE, 'b': 0::DOUBLE, 'rate': NULL::DOUBLE, 'part': 0, 'out': []::STRUCT(key VARCHAR, part INTEGER, nothing BOOLEAN)[]}}).out) AS o FROM g{k}),
+n{k} AS (SELECT host, template, list(o.key ORDER BY o.key) AS keys, bool_or(o.nothing) AS nothing FROM h{k} GROUP BY host, template, o.part),
+l{k} AS (SELECT host, template, unnest(keys) AS seg, CASE WHEN list_contains(keys, '*') OR nothing THEN '*' WHEN len(keys) = 1 THEN keys[1] ELSE '{{' || array_to_string(keys, '?') || '}}' END AS branch FROM n{k}),
 r{k + 1} AS (SELECT s.* EXCLUDE (seg, template), s.template || CASE WHEN s.seg = '' THEN '' ELSE '/' || coalesce(l.branch, '*') END AS template
   FROM s{k} s LEFT JOIN (SELECT * FROM l{k} WHERE seg <> '*') l ON s.host = l.host AND s.template = l.template AND s.seg = l.seg)"""
     return f"""

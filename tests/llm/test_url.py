@@ -89,7 +89,16 @@ def test_similar_siblings_merge(spark):
     urls = [(k, f"http://h.net/{('bad1', 'bad2', 'good1', 'good2')[k % 4]}/{k}") for k in range(400)]
     labels = spark.createDataFrame([(k, int(k % 4 < 2)) for k in range(400)], "page_id long, bad int")
     got = filter_urls(spark.createDataFrame(urls, "page_id long, url string"), [], labels).collect()
-    assert {r["template"] for r in got} == {"/{bad1|bad2}/*", "/{good1|good2}/*"}
+    assert {r["template"] for r in got} == {"/{bad1?bad2}/*", "/{good1?good2}/*"}
+
+
+def test_branches_that_differ_stay_apart(spark):
+    """Six branches of 20 labelled urls each, bad at 0, 20, .. 100 %: neighbours alone are alike, 20 % and 80 % are not."""
+    urls = [(20 * b + k, f"http://h.net/b{b}/{k}") for b in range(6) for k in range(20)] + [(900 + k, f"http://h.net/{{b1|b2}}/{k}") for k in range(20)]
+    labels = spark.createDataFrame([(20 * b + k, int(k < 4 * b)) for b in range(6) for k in range(20)] + [(900 + k, 1) for k in range(20)], "page_id long, bad int")
+    got = filter_urls(spark.createDataFrame(urls, "page_id long, url string"), [], labels).collect()
+    of = {r["page_id"] // 20: r["template"] for r in got}
+    assert of == {0: "/b0/*", 1: "/{b1?b2}/*", 2: "/{b1?b2}/*", 3: "/{b3?b4}/*", 4: "/{b3?b4}/*", 5: "/{b5?{b1|b2}}/*", 45: "/{b5?{b1|b2}}/*"}
 
 
 def test_equal_rules_and_long_urls(spark):
