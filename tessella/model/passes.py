@@ -229,3 +229,16 @@ def held_logits(shards: DataFrame, net: Network, inputs: tuple[np.ndarray, np.nd
                 yield pa.RecordBatch.from_arrays([pa.ListArray.from_arrays(at, pa.array(z.ravel())), pa.array(raw[name].astype(np.int64))], names=["logits", "target"])
 
     return shards.where("is_test").select("data").mapInArrow(score, "logits array<double>, target long")
+
+
+def scored(rows: DataFrame, net: Network, target: str, vector: str) -> DataFrame:
+    """``rows`` with ``scores``: a target's head applied to a column of latent vectors, where the rows are."""
+    shared = rows.sparkSession.sparkContext.broadcast(pickle.dumps(net, 5))
+
+    @F.arrow_udf("array<double>")
+    def head(vectors: pa.Array) -> pa.Array:
+        x = vectors.cast(pa.list_(pa.float64()))
+        out = pickle.loads(shared.value).head(target, x.flatten().to_numpy(zero_copy_only=False).reshape(len(x), -1))
+        return pa.ListArray.from_arrays(pa.array(np.arange(len(out) + 1) * out.shape[1], pa.int32()), pa.array(out.ravel()))
+
+    return rows.withColumn("scores", head(vector))

@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .functions.hashing import hash_column, integer_bucket_and_sign, integer_hash
-from .functions.scalars import argmax_first, expm1_clamped, finite, linear, restored, softmax_max, to_double, transformed
+from .functions.scalars import argmax_first, expm1_clamped, finite, restored, softmax_max, to_double, transformed
 from .model.schedules import cosine_lr, onecycle_lr, step_lr
 from .operators import encode, loss, metrics, scale, select, similar, skipgram, split, units, vocab, weights
 from .operators.calibrate import calibration_sums
@@ -687,8 +687,16 @@ def mc_quantiles(s, d):
 
 @query("SELECT vec_id, round(list_dot_product(embedding::DOUBLE[], list_transform(range(1, len(embedding) + 1), lambda i: (i % 5 - 2) / 10)) + 0.25, 6) AS value FROM embeddings")
 def linear_head_forward(s, d):
-    w = F.transform(F.sequence(F.lit(1), F.size("embedding")), lambda i: (i % 5 - 2) / 10)
-    return table(s, d, "embeddings").select("vec_id", F.round(linear("embedding", w, 0.25), 6).alias("value"))
+    import numpy as np
+
+    from .model.nn import Network
+    from .model.passes import scored
+
+    rows = table(s, d, "embeddings").select("vec_id", "embedding").where("embedding is not null")
+    wide = rows.agg(F.max(F.size("embedding"))).first()[0] or 0
+    net = Network(wide, [], (), {"value": 1})
+    net.p["hw_value"], net.p["hb_value"] = ((np.arange(1, wide + 1) % 5 - 2) / 10)[:, None], np.array([0.25])
+    return rounded(scored(rows, net, "value", "embedding").select("vec_id", F.get("scores", F.lit(0)).alias("value")), "value")
 
 
 @query("WITH e AS (SELECT vec_id AS id, embedding::DOUBLE[] AS v FROM embeddings), p AS (SELECT a.id AS query, b.id AS id, list_dot_product(a.v, b.v) / (sqrt(list_dot_product(a.v, a.v)) * sqrt(list_dot_product(b.v, b.v))) AS similarity FROM e a, e b WHERE a.id % 100 = 0 AND a.id <> b.id) SELECT query, id, round(similarity, 6) AS similarity, CAST(row_number() OVER (PARTITION BY query ORDER BY similarity DESC, id) AS INT) AS rank FROM p QUALIFY rank <= 5")
