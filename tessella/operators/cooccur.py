@@ -43,15 +43,15 @@ def _bucket(buckets: int) -> Column:
 def cooccurrence(obs: DataFrame, min_count: int = 1, block: int = BLOCK, buckets: int = BUCKETS) -> DataFrame:
     """``(a, b, n)``, a < b: in how many units two items occur together, if in ``min_count`` at least. Rows without an item or unit are left out."""
     once = obs.select("unit_id", "item").where("unit_id is not null and item is not null").distinct()
+    filtered = False
     if min_count > 1:
-        once = written(once, "once")
-        often = once.groupBy("item").agg(F.count("*").alias("n")).where(F.col("n") >= min_count).select("item")
+        often = written(once.groupBy("item").agg(F.count("*").alias("n")).where(F.col("n") >= min_count).select("item"), "often")
+        n = often.count()
+        filtered = n * (n - 1) // 2 > buckets  # else the pairs that can occur are no more than buckets are
         once = once.join(often, "item", "left_semi")
-    blocks = _blocks(once, block)
-    if min_count > 1:
-        blocks = written(blocks, "blocks")
+    blocks = written(_blocks(once, block), "blocks") if filtered else _blocks(once, block)
     pairs = _pairs(blocks)
-    if min_count > 1:
+    if filtered:
         full = pairs.groupBy(_bucket(buckets).alias("bucket")).agg(F.count("*").alias("n")).where(F.col("n") >= min_count).select("bucket")
         full = F.broadcast(written(full, "full"))  # at most ``buckets`` numbers
         pairs = pairs.withColumn("bucket", _bucket(buckets)).join(full, "bucket", "left_semi").select("a", "b")
