@@ -70,8 +70,11 @@ def by_rules(host: Column, path: Column, rules: list[tuple[str, str]]) -> tuple[
 def _branches(children: DataFrame, support: int, share: float, z: float, alpha: float) -> DataFrame:
     """``(host, template, seg, branch)`` of the frequent segments; ``children``: ``(host, template, seg, n, lab, bads)``."""
     total = children.groupBy("host", "template").agg(F.sum("n").alias("pn"))
-    frequent = (F.col("n") >= support) & (F.col("n") >= share * F.col("pn")) & ~F.col("seg").isin("", "*")
-    named = children.join(total, ["host", "template"]).withColumn("key", F.when(F.col("seg") == "", "").when(frequent, F.col("seg")).otherwise("*"))
+    # only segments with enough urls need their node's total, so what meets at a node is few; the variable ones are added up with map-side parts
+    often = children.where((F.col("n") >= support) & ~F.col("seg").isin("", "*")).select("host", "template", "seg", "n").join(total, ["host", "template"])
+    often = often.where(F.col("n") >= share * F.col("pn")).select("host", "template", "seg", F.lit(True).alias("often"))
+    key = F.when(F.col("seg") == "", "").when(F.col("often"), F.col("seg")).otherwise("*")
+    named = children.join(often, ["host", "template", "seg"], "left").withColumn("key", key)
     own = named.groupBy("host", "template", "key").agg(F.sum("lab").alias("lab"), F.sum("bads").alias("bads"))
     world = own.groupBy("template", "key").agg(F.sum("lab").alias("wlab"), F.sum("bads").alias("wbads"))
     pseudo = F.when(F.col("wlab") > 0, F.least(F.lit(alpha), F.col("wlab").cast("double"))).otherwise(0.0)
