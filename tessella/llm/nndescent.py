@@ -4,31 +4,28 @@ Vectors are compared only within their label (and dimension), by cosine in doubl
 precision. Equal vectors are one weighted node from the start.
 
 1. A first graph: in each of several tables nodes are sorted by a code of random
-   hyperplanes and compared with the ``WINDOW`` nodes that follow in their bucket.
+   hyperplanes and compared with the ``WINDOW`` nodes that follow in their bucket. The
+   tables grow with the number of nodes.
 2. Descent: neighbours of a node (up to ``K_MAX`` of them, others in each round) are
    compared with each other, all at once in the task that holds the node's list; each
    node keeps its best ``K`` of the neighbours above ``FLOOR`` (two neighbours of one
    node, both at the threshold, can't be farther apart), and up to ``K_MAX`` links. This
-   repeats until hardly any edge is new. While lists are saturated with links they are
-   enlarged, up to ``K_TOP``, and the descent goes on.
+   repeats until hardly any edge is new.
 3. Links are the edges at or above the threshold; components come from the
-   distributed graph step. Only links between two nodes with ``K_TOP`` nearer ones
-   each (lists that stay saturated) can have been dropped, so the nodes of all components
-   with such a list are compared exactly, those of a label block against block: links are
-   counted, not listed, and a spanning forest of them joins the components.
-4. Audit: nodes chosen by hash, ``AUDIT`` at first, are compared with all nodes by
-   brute force; the sample grows until ``SEEN`` nodes with links are among them. If
-   less than ``RECALL`` of their links were found, a mean over these nodes, more
-   tables are added and the descent goes on. The tables of a pass grow with the
-   number of nodes. Where links are too rare for a sample to tell and there are more
-   than ``EXACT`` nodes, the audit is by recapture: new tables are searched on their own,
-   and the share of their links that was known already is the recall.
-5. Where the audit fails after ``PASSES`` passes, or can't tell among up to ``EXACT`` nodes,
-   all nodes of a label are compared exactly, as in 3. Each audit's figures are
-   logged; the last recall is in ``last_recall`` (1.0 if all were compared).
-
-Work per node is bounded in every step but the exact comparison, which is quadratic in
-a label's nodes of components with saturated lists, or in all its nodes after a failed audit. Vectors of a third of all rows that are equal are one node.
+   distributed graph step.
+4. An exact check follows, at any size: all pairs of a label that bounds leave are compared,
+   block against block. Links are counted, not listed, and those between components that the
+   descent left apart join them, so what its lists or tables missed is not lost. Labels of more than ``EXACT`` nodes are
+   cut into cells around centres; a node meets a cell only if its angle to the centre is at most
+   the cell's radius and the threshold's angle. The inner product of a quarter of the components and the norms of the
+   rest bound each pair from above; what that leaves is compared in full. Neither changes a result.
+5. Audit: nodes chosen by hash, ``AUDIT`` at first, are compared with all nodes without any bound;
+   the sample grows until ``SEEN`` nodes with links are among them. The share of their links that the check
+   counted is in ``last_recall`` (1.0 where the sample has too few links to tell: all pairs were compared). How many
+   links the descent had found by itself is logged.
+
+Work per node is bounded in the descent. The check is quadratic in a label's nodes where the cells' bounds leave
+all (as with vectors that point anywhere), with a small constant. Vectors of a third of all rows that are equal are one node.
 
 Edge cases: vectors that are null, empty, zero or hold nulls or non-finite numbers, and rows
 whose label or id is null, link with nothing: they are components of their own. Every row
@@ -50,9 +47,8 @@ from pyspark.sql import functions as F
 from .graph import components
 from .store import mark, sweep, written
 
-THRESHOLD, FLOOR, K, K_MAX, WINDOW, TABLES, ROUNDS, AUDIT, RECALL, BLOCK, TILE = 0.93, 0.72, 12, 24, 10, 6, 8, 256, 0.98, 8192, 1024
-PASSES, SEEN, AUDIT_MAX = 3, 128, 16_384
-K_TOP, EXACT = 96, 262_144
+THRESHOLD, FLOOR, K, K_MAX, WINDOW, TABLES, ROUNDS, AUDIT, BLOCK, TILE = 0.93, 0.72, 12, 24, 10, 6, 8, 256, 8192, 1024
+SEEN, AUDIT_MAX, EXACT = 128, 16_384, 262_144
 log = logging.getLogger(__name__)
 last_recall: float | None = None
 
@@ -181,49 +177,124 @@ def neighbours_of_neighbours(lists: DataFrame, nodes: DataFrame, k: int, turn: i
     return ordered.mapInArrow(local, "a long, b long, sim double").groupBy("a", "b").agg(F.max("sim").alias("sim"))
 
 
-def descend(edges: DataFrame, nodes: DataFrame, k: int, threshold: float) -> tuple[DataFrame, int]:
-    """Refined lists, and how many links one could hold in the end."""
-    cap = K_MAX
-    lists = written(best(edges, k, threshold, cap), "lists")
+def descend(edges: DataFrame, nodes: DataFrame, k: int, threshold: float) -> DataFrame:
+    """Refined lists."""
+    lists = written(best(edges, k, threshold, K_MAX), "lists")
     n = lists.count()
     for turn in range(ROUNDS):
         if not n:
             break
         found = neighbours_of_neighbours(lists, nodes, K_MAX, turn)
         known = lists.select(F.col("u").alias("a"), F.col("v").alias("b"), "sim")
-        before, lists = lists, written(best(known.unionByName(found), k, threshold, cap), "lists")
+        before, lists = lists, written(best(known.unionByName(found), k, threshold, K_MAX), "lists")
         n = lists.count()
-        full = cap < K_TOP and lists.where(F.col("sim") >= threshold).groupBy("u").count().where(F.col("count") >= cap).head(1)
-        if full:
-            cap = min(4 * cap, K_TOP)
-        elif lists.join(before, ["u", "v"], "left_anti").count() <= 0.001 * n:
+        if lists.join(before, ["u", "v"], "left_anti").count() <= 0.001 * n:
             break
-    return lists, cap
+    return lists
+
+
+def _keyed(b: pa.RecordBatch):
+    """``(label, dim)`` and row numbers of each such group in a batch."""
+    of: dict[tuple, list[int]] = {}
+    for k, key in enumerate(zip(b.column("label").to_pylist(), b.column("dim").to_pylist(), strict=True)):
+        of.setdefault(key, []).append(k)
+    return of.items()
+
+
+def in_blocks(nodes: DataFrame, threshold: float) -> DataFrame:
+    """``nodes`` with ``own``, their block, once for each pair of blocks ``(i, j)`` of their label that they may have links in.
+
+    A block is a part of a cell, the nodes nearest to one of the label's centres. The driver holds a centre for ``BLOCK`` nodes.
+    """
+    keys = ["label", "dim"]
+    centres, cells = F.ceil(F.col("n") / BLOCK), {}
+    large = nodes.groupBy(*keys).agg(F.count("*").alias("n")).where(F.col("n") > BLOCK).withColumn("centres", F.when(F.col("n") > EXACT, centres).otherwise(1))
+    by = Window.partitionBy(*keys).orderBy(F.xxhash64(F.lit("centre"), "node"), "node")
+    for r in nodes.join(F.broadcast(large), keys).withColumn("r", F.row_number().over(by)).where(F.col("r") <= F.col("centres")).orderBy("r").collect():
+        cells.setdefault((r["label"], r["dim"]), []).append(bytes(r["vec"]))
+    cells = {key: _matrix(vecs, key[1]) for key, vecs in cells.items()}
+
+    def nearest(batches):
+        for b in batches:
+            vecs = b.column("vec").to_pylist()
+            for key, at in _keyed(b):
+                y = _matrix([vecs[k] for k in at], key[1]) @ cells[key].T if key in cells else np.ones((len(at), 1))
+                rows, cell = b.take(pa.array(at)), y.argmax(1)
+                yield pa.RecordBatch.from_arrays([rows.column("label"), rows.column("dim"), pa.array(cell.astype(np.int32)), pa.array(y.max(1))], names=["label", "dim", "cell", "near"])
+
+    radius, blocks = {key: np.zeros(len(c)) for key, c in cells.items()}, {key: np.zeros(len(c), np.int64) for key, c in cells.items()}
+    if cells:
+        for r in nodes.mapInArrow(nearest, "label string, dim int, cell int, near double").groupBy(*keys, "cell").agg(F.min("near").alias("near"), F.count("*").alias("n")).where(F.col("n") > 0).collect():
+            if (key := (r["label"], r["dim"])) in cells:
+                radius[key][r["cell"]], blocks[key][r["cell"]] = math.acos(max(-1.0, min(1.0, r["near"]))), math.ceil(r["n"] / BLOCK)
+    names = ["label", "dim", "node", "weight", "component", "vec"]
+    reach = math.acos(min(1.0, max(-1.0, threshold))) + 1e-6
+
+    def placed(batches):
+        def out(rows, own, other):
+            i, j = np.minimum(own, other), np.maximum(own, other)
+            return pa.RecordBatch.from_arrays([pa.array(x.astype(np.int32)) for x in (i, j, own)] + [rows.column(c) for c in names], names=["i", "j", "own", *names])
+
+        for b in batches:
+            vecs = b.column("vec").to_pylist()
+            for key, at in _keyed(b):
+                rows = b.take(pa.array(at))
+                if key not in cells:
+                    none = np.zeros(len(at), np.int64)
+                    yield out(rows, none, none)
+                    continue
+                y = np.clip(_matrix([vecs[k] for k in at], key[1]) @ cells[key].T, -1, 1)
+                cell, first = y.argmax(1), np.cumsum(blocks[key]) - blocks[key]
+                own = first[cell] + rows.column("part").to_numpy() % blocks[key][cell]
+                for c in range(len(first)):
+                    may = np.flatnonzero((cell == c) | (np.arccos(y[:, c]) <= radius[key][c] + reach))
+                    if len(may):
+                        some = rows.take(pa.array(may))
+                        for block in range(first[c], first[c] + blocks[key][c]):
+                            yield out(some, own[may], np.full(len(may), block))
+
+    parts = nodes.select(*names, F.shiftrightunsigned(F.xxhash64("node"), 1).alias("part"))
+    return parts.mapInArrow(placed, "i int, j int, own int, label string, dim int, node long, weight long, component long, vec binary")
+
+
+def _bounded(x: np.ndarray) -> np.ndarray:
+    """Rows whose inner products are at least those of the unit vectors ``x``: a quarter of the components, and the norm of the rest."""
+    k = max(1, x.shape[1] // 4)
+    return np.column_stack([x[:, :k], np.sqrt(np.einsum("ij,ij->i", x[:, k:], x[:, k:]))]).astype(np.float32)
+
+
+def _near(x: np.ndarray, y: np.ndarray, bx: np.ndarray, by: np.ndarray, threshold: float) -> np.ndarray | None:
+    """Which rows of x and y link, None if no bound (``bx``, ``by``) reaches the threshold; the margin is above what single precision can lose."""
+    may = bx @ by.T >= np.float32(threshold - 1e-6 * (bx.shape[1] + 8))
+    n = np.count_nonzero(may)
+    if not n:
+        return None
+    if 16 * n > may.size:
+        return x @ y.T >= threshold
+    r, c = np.nonzero(may)
+    may[r, c] = np.einsum("ij,ij->i", x[r], y[c]) >= threshold
+    return may
 
 
 def compared(nodes: DataFrame, threshold: float) -> DataFrame:
-    """``(a, b, linked)`` by brute force within each label and dimension of ``nodes (node, label, dim, weight, vec)``, block by block.
+    """``(a, b, linked)`` by comparison within each label and dimension of ``nodes (node, label, dim, weight, component, vec)``, block by block.
 
     With b null, ``linked`` is the weight of all nodes of a pair of blocks that a links with, itself included;
-    the other rows are links, a spanning forest for each pair of blocks.
+    the other rows are links between components, a spanning forest for each pair of blocks.
     """
-    keys = ["label", "dim"]
-    sizes = nodes.groupBy(*keys).agg(F.ceil(F.count("*") / BLOCK).cast("int").alias("blocks"))
-    rows = nodes.join(sizes, keys).withColumn("own", F.pmod(F.xxhash64("node"), F.col("blocks")).cast("int"))
-    rows = rows.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
-    rows = rows.select(*keys, F.least("own", "other").alias("i"), F.greatest("own", "other").alias("j"), "own", "node", "weight", "vec")
 
     def compare(table: pa.Table) -> pa.Table:
         own, ids, weight = (table.column(c).to_numpy() for c in ("own", "node", "weight"))
         i, j = table.column("i")[0].as_py(), table.column("j")[0].as_py()
         x = _matrix(table.column("vec").to_pylist(), table.column("dim")[0].as_py())
+        bound = _bounded(x)
         a, b = np.flatnonzero(own == i), np.flatnonzero(own == j)
-        linked, tree, forest = np.zeros(len(ids), np.int64), np.arange(len(ids)), []
+        linked, tree, forest = np.zeros(len(ids), np.int64), np.unique(table.column("component").to_numpy(), return_inverse=True)[1], []
         for s in range(0, len(a), TILE):
             for t in range(s if i == j else 0, len(b), TILE):
                 p, q = a[s : s + TILE], b[t : t + TILE]
-                near = x[p] @ x[q].T >= threshold
-                if not near.any():
+                near = _near(x[p], x[q], bound[p], bound[q], threshold)
+                if near is None or not near.any():
                     continue
                 linked[p] += near @ weight[q]
                 if i != j or s != t:
@@ -239,7 +310,7 @@ def compared(nodes: DataFrame, threshold: float) -> DataFrame:
         columns = [pa.array(ids[np.concatenate([seen, f[:, 0]])]), pa.array(ids[np.concatenate([seen, f[:, 1]])], mask=~late), pa.array(linked[np.concatenate([seen, f[:, 0]])], mask=late)]
         return pa.table(dict(zip(("a", "b", "linked"), columns, strict=True)))
 
-    return rows.groupBy(*keys, "i", "j").applyInArrow(compare, "a long, b long, linked long")
+    return in_blocks(nodes, threshold).groupBy("label", "dim", "i", "j").applyInArrow(compare, "a long, b long, linked long")
 
 
 def _audit(nodes: DataFrame, linked: DataFrame, threshold: float, n: int) -> float | None:
@@ -284,14 +355,6 @@ def _sampled(nodes: DataFrame, linked: DataFrame, threshold: float, size: int) -
     return row[0], row[1] or 0.0
 
 
-def _recaptured(again: DataFrame, links: DataFrame) -> float:
-    """The share of the links ``again`` of an independent search that ``links`` hold; 1.0 if there are none."""
-    held = links.select(F.col("u").alias("a"), F.col("v").alias("b"), F.lit(1).alias("held"))
-    row = again.join(held, ["a", "b"], "left").agg(F.count("*"), F.avg(F.coalesce("held", F.lit(0)))).first()
-    log.info("recapture: %d links of new tables, share known before %s", row[0], row[1])
-    return 1.0 if row[0] == 0 else row[1]
-
-
 def near_links(vectors: DataFrame, threshold: float = THRESHOLD) -> DataFrame:
     """``(vec_id, n_links, component_id, kept)`` for each row of ``vectors (vec_id, embedding, label)``."""
     global last_recall
@@ -302,38 +365,20 @@ def near_links(vectors: DataFrame, threshold: float = THRESHOLD) -> DataFrame:
     nodes = can.groupBy(*classes).agg(F.min("vec_id").alias("first"), F.count("*").alias("weight"), F.min("vec").alias("vec"))
     nodes = written(nodes.withColumn("node", F.monotonically_increasing_id()), "nodes")  # numbers are fixed once written
     bare = nodes.select("node", "label", "dim", "weight", "vec")
-    n, edges, tables = nodes.count(), None, 0
-    more = TABLES * max(1, math.ceil(math.log2(max(1, n / 65_536))))
-    fresh = first_graph(bare, n, range(tables, more))
-    for turn in range(PASSES):
-        tables += more
-        edges, cap = descend(fresh if edges is None else fresh.unionByName(edges.select(F.col("u").alias("a"), F.col("v").alias("b"), "sim")), nodes, K, threshold)
-        links = edges.where(F.col("sim") >= threshold)
-        of = written(components(links, "u", "v"), "components")
-        full = links.groupBy("u").count().where(F.col("count") >= cap).select(F.col("u").alias("node"))
-        dense = written(full.join(of, "node").select("component").distinct(), "dense")
-        pairs = written(compared(of.join(dense, "component", "left_semi").join(bare, "node"), threshold), "pairs")
-        exact, bridges = pairs.where("b is null").groupBy(F.col("a").alias("node")).agg(F.sum("linked").alias("linked")), pairs.where("b is not null").select("a", "b")
-        if bridges.head(1):
-            of = written(components(of.select(F.col("node").alias("a"), F.col("component").alias("b")).unionByName(bridges)), "components")
-        listed = links.join(nodes.select(F.col("node").alias("v"), "weight"), "v").groupBy("u").agg(F.sum("weight").alias("w")).withColumnRenamed("u", "node")
-        listed = listed.join(nodes.select("node", "weight"), "node").select("node", (F.col("w") + F.col("weight")).alias("linked"))
-        both = listed.join(exact.withColumnRenamed("linked", "all"), "node", "left")
-        linked = written(both.select("node", F.coalesce("all", "linked").alias("linked")), "linked")
-        last_recall = _audit(bare, linked, threshold, n)
-        fresh = first_graph(bare, n, range(tables, tables + more))
-        if last_recall is None and n > EXACT:
-            fresh = written(fresh, "fresh")
-            last_recall = _recaptured(fresh.where(F.col("sim") >= threshold).select("a", "b").distinct(), links)
-        if last_recall is not None and last_recall >= RECALL:
-            break
-        if last_recall is None or turn == PASSES - 1:
-            log.info("exact comparison of all %d nodes: recall %s after %d tables", n, last_recall, tables)
-            pairs = written(compared(bare, threshold), "pairs")
-            linked = written(pairs.where("b is null").groupBy(F.col("a").alias("node")).agg(F.sum("linked").alias("linked")), "linked")
-            of = written(components(pairs.where("b is not null").select("a", "b")), "components")
-            last_recall = 1.0
-            break
+    n = nodes.count()
+    tables = TABLES * max(1, math.ceil(math.log2(max(1, n / 65_536))))
+    lists = descend(first_graph(bare, n, range(tables)), nodes, K, threshold)
+    links = lists.where(F.col("sim") >= threshold)
+    of = written(components(links, "u", "v"), "components")
+    pairs = written(compared(bare.join(of, "node", "left").withColumn("component", F.coalesce("component", "node")), threshold), "pairs")
+    linked = written(pairs.where("b is null").groupBy(F.col("a").alias("node")).agg(F.sum("linked").alias("linked")), "linked")
+    bridges = pairs.where("b is not null").select("a", "b")
+    if bridges.head(1):
+        of = written(components(of.select(F.col("node").alias("a"), F.col("component").alias("b")).unionByName(bridges)), "components")
+    listed, missed = links.where("u < v").count(), bridges.count()
+    log.info("the descent listed %d links; the check joined what it left apart by %d more", listed, missed)
+    share = _audit(bare, linked, threshold, n)
+    last_recall = 1.0 if share is None else share
     sweep(vectors.sparkSession, since, [rows, nodes, linked, of])
     # components are named by node numbers so far: their smallest id names them from here on
     named = of.join(nodes.select("node", "first"), "node").groupBy("component").agg(F.min("first").alias("smallest"))

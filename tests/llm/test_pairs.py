@@ -234,3 +234,17 @@ def test_recapture(spark, monkeypatch):
     n = near.sum(1) - 1
     got = {r["vec_id"]: r["n_links"] for r in N.near_links(spark.createDataFrame([(k, v.tolist(), 1) for k, v in enumerate(x)], "vec_id long, embedding array<double>, label int")).collect()}
     assert n.sum() > 0 and N.last_recall is not None and sum(got.values()) >= 0.9 * n.sum() and all(v <= n[k] for k, v in got.items())
+
+
+@pytest.mark.parametrize("exact", [0, 262_144])
+def test_size_does_not_matter(spark, monkeypatch, exact):
+    # links too rare for the sample and too few tables to find them: all are found on both sides of EXACT
+    for name, value in {"EXACT": exact, "TABLES": 1, "WINDOW": 2, "AUDIT_MAX": 256, "BLOCK": 256}.items():
+        monkeypatch.setattr(N, name, value)
+    x = np.concatenate([sparse(1500, 20), sparse(40, 3) * 0.2 + np.eye(64)[0], sparse(30, 3) * 0.2 + np.eye(64)[1]])
+    x /= np.linalg.norm(x, axis=1)[:, None]
+    near = x @ x.T >= 0.93
+    n = near.sum(1) - 1
+    want = joined(range(len(x)), [(int(a), int(b)) for a, b in zip(*np.nonzero(np.triu(near, 1)), strict=True)])
+    got = {r["vec_id"]: r for r in N.near_links(spark.createDataFrame([(k, v.tolist(), 1) for k, v in enumerate(x)], "vec_id long, embedding array<double>, label int")).collect()}
+    assert n[:1500].sum() == 40 and {k: (r["n_links"], r["component_id"]) for k, r in got.items()} == {k: (n[k], want[k]) for k in want}
