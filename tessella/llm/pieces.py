@@ -58,7 +58,7 @@ class Pieces:
         n = model.vocab_size()
         if model.normalize(" ﬁ  x ") != f"{SPACE}{SPACE}ﬁ{SPACE}{SPACE}x{SPACE}":
             raise ValueError(f"{path}: texts are normalised in a way that is not built here")
-        self.vocabulary, self.end, self.kept_pairs = n, model.eos_id(), kept_pairs
+        self.vocabulary, self.end, self.kept_pairs, self.library = n, model.eos_id(), kept_pairs, model
         special = [model.is_control(i) or model.is_unknown(i) or model.is_byte(i) for i in range(n)]
         self.text = [model.id_to_piece(i) for i in range(n)]
         self.byte_ids = [model.piece_to_id(f"<0x{b:02X}>") for b in range(256)]
@@ -301,8 +301,11 @@ class TwoWays(Units):
 
         def encode(units: list[str]) -> list[list[int]]:
             out = []
-            for x, e in zip(units, tokenizer.encode_batch_fast(units, add_special_tokens=False), strict=True):
-                b, whole = pieces.encode(x.replace(" ", SPACE)), x.encode()
+            # the library puts a space before what it encodes, so it takes the units that begin with one
+            spaced = [len(x) > 1 and x[0] == " " for x in units]
+            ready = iter(pieces.library.encode([x[1:] for x, own in zip(units, spaced, strict=True) if own], num_threads=1))
+            for x, own, e in zip(units, spaced, tokenizer.encode_batch_fast(units, add_special_tokens=False), strict=True):
+                b, whole = next(ready) if own else pieces.encode(x.replace(" ", SPACE)), x.encode()
                 good = b"".join(map(raw.__getitem__, e.ids)) == whole == pieces.decode_bytes(b)
                 out.append(e.ids + [i + self.first for i in b] if good else [])
             return out

@@ -1,5 +1,6 @@
 """Alignment against plain loops over whole texts."""
 
+import functools
 import hashlib
 from collections import Counter
 
@@ -87,3 +88,23 @@ def test_blocks_do_not_matter(spark, awkward):
     rows = align.aligned(docs).collect()
     long = {r["doc_id"]: r for r in rows}
     assert len(rows) == docs.count() and long[7]["n_links"] > 0 and long[1]["groups_sha256"] == "" and long[1]["n_a"] == 0
+
+
+def test_counts_join_once_for_each_pair_of_a_block(spark, monkeypatch):
+    # many documents and units of a block share pairs; blocks of a few documents, several of them in a task
+    rows = [f"the enqueeau of, {k % 7} it's {'-' * (k % 5)} the of the{k % 3}x" for k in range(60)] + ["a▁b", None, " ", "日本語 the of"]
+    docs = spark.createDataFrame(list(enumerate(rows)), "doc_id long, text string").repartition(2).localCheckpoint()
+    small = functools.partial(align.tokenised, block=500)
+    blocks = align.grouped(small(docs)).localCheckpoint()
+    held = [r["pairs"] for r in blocks.collect()]
+    assert len(held) > 6 and all(len(p) == len(set(p)) for p in held)
+    counts = align.counted(blocks).localCheckpoint()
+    assert align.valued(blocks, counts).count() == sum(map(len, held)) < 0.5 * sum(f[3] for f in plain([x or "" for x in rows]))
+    monkeypatch.setattr(align, "tokenised", small)
+    order = [r["text"] for r in docs.collect()]
+    assert sorted(map(tuple, align.aligned(docs, with_groups=True).drop("doc_id").collect())) == sorted(plain(order))
+
+
+def test_packed():
+    for x in ([], [0], [5, 0, 1 << 40, 255, 256], list(range(1000))):
+        assert align.unpacked(align.packed(np.array(x, np.int64))).tolist() == x
