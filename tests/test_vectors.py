@@ -102,3 +102,29 @@ def test_formula_term(spark, tmp_path, tune):
         assert again == pytest.approx(sums)
     with pytest.raises(ValueError):
         lowered(formula, units, obs)
+
+
+def test_pairs_are_kept_once_and_rounds_go(spark, monkeypatch):
+    from collections import Counter
+
+    from tessella.sources import shared
+
+    rows, of = {}, {}
+
+    def kept(df, name, **more):
+        out = shared.written(df, name, **more)
+        if name in ("pairs", "items"):
+            rows[name] = [r.asDict() for r in out.collect()]
+        return out
+
+    monkeypatch.setattr(skipgram, "STRETCH", 7)
+    monkeypatch.setattr(skipgram, "written", kept)
+    rng, since = np.random.default_rng(3), shared.mark()
+    obs = spark.createDataFrame([(u, f"i{rng.integers(60)}", float(rng.random())) for u in "abcd" for _ in range(40)], "unit_id string, item string, weight double")
+    vectors = skipgram.item_vectors(obs, dim=4, min_count=1, epochs=2, blocks=3)
+    assert len(shared._made) - since == 2  # items and the last round, not six rounds and all pairs
+    of = {(r["block"], r["idx"]): r["item"] for r in rows["items"]}
+    found = Counter((of[r["a_block"], a], of[r["b_block"], b]) for r in rows["pairs"] for a, b in zip(r["a"], r["b"], strict=True))
+    want = Counter(map(tuple, skipgram.near_pairs(obs).collect()))
+    assert found + Counter({(b, a): n for (a, b), n in found.items()}) == want
+    assert {r["item"] for r in vectors.collect()} == {a for a, _ in want}
