@@ -128,3 +128,17 @@ def test_pairs_are_kept_once_and_rounds_go(spark, monkeypatch):
     want = Counter(map(tuple, skipgram.near_pairs(obs).collect()))
     assert found + Counter({(b, a): n for (a, b), n in found.items()}) == want
     assert {r["item"] for r in vectors.collect()} == {a for a, _ in want}
+
+
+def test_word2vec_needs_no_vocabulary_in_the_driver(spark, monkeypatch):
+    import pyspark.ml.feature
+
+    from tessella.operators import similar
+
+    def refused(*_, **__):
+        raise AssertionError("a model with all vectors in one task and its vocabulary in the driver")
+
+    monkeypatch.setattr(pyspark.ml.feature, "Word2Vec", refused)
+    obs = spark.createDataFrame([("u", "twice", 1.0), ("u", "twice", 2.0), ("v", "a", 1.0), ("v", "b", None), ("w", "a", 1.0), ("x", "b", 3.0), ("x", "once", 1.0)], "unit_id string, item string, weight double")
+    got = {r["word"]: r["vector"] for r in similar.item_vectors(obs, 4).getVectors().collect()}
+    assert set(got) == {"twice", "a", "b"} and all(len(v) == 4 and np.isfinite(v.toArray()).all() for v in got.values())  # records count, in pairs or not
