@@ -153,6 +153,23 @@ def test_projection_of_all_items(spark, tmp_path):
     assert got == {j: 4 * ((3099 * 7 + j * 3) % 11 - 5) / 10 for j in range(4)}
 
 
+def test_projection_and_large_vocabulary_are_not_broadcast(spark, monkeypatch):
+    import duckdb
+
+    from tessella.operators import order
+    from tessella.queries import ORACLE, sparse_projection
+
+    monkeypatch.setitem(order.numbered.__kwdefaults__, "one_task", 100)
+    sf = "/root/testdata/sf0.01"
+    df = sparse_projection(spark, sf)
+    plan = df._jdf.queryExecution().executedPlan().toString()
+    assert "BroadcastHashJoin [_part" in plan and "BroadcastHashJoin [idx" not in plan and "BroadcastHashJoin [item" not in plan
+    with duckdb.connect() as c:
+        for t in ("orders", "lineitem", "part"):
+            c.sql(f"CREATE VIEW {t} AS SELECT * FROM '{sf}/{t}.parquet'")
+        assert sorted(map(tuple, df.collect())) == sorted(c.sql(ORACLE["sparse_projection"]).fetchall())
+
+
 def test_item_vectors_of_long_units(spark):
     obs = spark.range(2500).select(F.lit("a").alias("unit_id"), F.format_string("i%04d", "id").alias("item"), (5000 - F.col("id")).cast("double").alias("weight"))
     model = similar.item_vectors(obs, 2, min_count=1)
